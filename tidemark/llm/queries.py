@@ -16,6 +16,20 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
+OP10_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<turn >') + 1 + length('</turn>') + 1 + length(regexp_replace(role, '([\\<>])', '\\\1', 'g'))
+           + length(regexp_replace(text, '([\\<])', '\\\1', 'g')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,6 +67,15 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors.filter("vec_id % 50 = 0"), build_index(vectors), k=5)
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.chat import digests, format_conversations
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.sql("SELECT -7L AS conv_id, turn, role, text FROM VALUES (0L, 'user', :hard), (1L, 'assistant', :hard) AS t(turn, role, text)", args={"hard": hard})
+    return digests(format_conversations(turns.union(extra)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
 
@@ -60,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from tidemark.llm import mixing_sql
 
-    return {"op5_mixing_sources": mixing_sql.SQL, "op7_exact_top_k": OP7_SQL}
+    return {"op5_mixing_sources": mixing_sql.SQL, "op7_exact_top_k": OP7_SQL, "op10_chat_formatting": OP10_SQL}
