@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The queries' key, fixed so that they can be compared; a real run takes its own from a secret store.
+PII_KEY = b"tidemark queries"
+
 OP3_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
@@ -57,6 +60,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(archive_pages(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix
 
