@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Signals of a call to action.
 CTA_KEYWORDS = ["订阅", "会员", "newsletter", "ad-free", "立即订阅", "注册", "联系我们", "we're hiring", "we are hiring", "apply", "join our team", "subscribe", "sign up", "sign-up"]
@@ -36,7 +37,7 @@ def strip_tags(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"[ \t\r\n]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Decodes HTML entities."""
     return text.map(lambda t: html.unescape(t) if t is not None else None)
@@ -96,7 +97,7 @@ def clean_text(raw: str | None, title: str | None = None) -> str:
     return before if before and (len(after) < LEAST_KEPT * len(before) or len(after) < LEAST_CHARS) else after
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_article(raw: pd.Series, title: pd.Series) -> pd.Series:
     return pd.Series([clean_text(r, t) for r, t in zip(raw, title, strict=True)])
 
@@ -184,7 +185,7 @@ def parse_model_json(response: Column) -> Column:
     return F.coalesce(*good, braces(response))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def braces(response: pd.Series) -> pd.Series:
     """The first balanced object in prose, with braces inside strings passed over."""
 
@@ -250,7 +251,7 @@ def fill(template: str, values: dict[str, str]) -> str:
     return _HOLE.sub(one, template)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def render_template(template: pd.Series, values: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else fill(t, dict(v or {})) for t, v in zip(template, values, strict=True)])
 
@@ -263,7 +264,7 @@ def flatten(markdown: str) -> str:
     return re.sub(r"\[([^\]]*)\]\(([^)\s]*(?:\([^)]*\))?[^)\s]*)\)", lambda m: m[0] if safe(m[2]) else m[1], text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def flatten_markdown(markdown: pd.Series) -> pd.Series:
     return markdown.map(lambda t: None if t is None else flatten(t))
 

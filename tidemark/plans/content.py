@@ -288,11 +288,11 @@ def c33_block_batches(spark, sf_dir):
     return lines.select("doc_id", F.posexplode(T.block_batches(F.col("blocks"))).alias("at", "batch"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN upper(text) END AS translated, CASE WHEN doc_id % 3 <> 0 THEN 'translated' ELSE 'failed' END AS status FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN array_to_string(list_transform(string_split(text, chr(10)), lambda l: 'x' || l), chr(10)) END AS translated, CASE WHEN doc_id % 3 <> 0 THEN 'translated' ELSE 'failed' END AS status FROM documents""")
 def c34_apply_translations(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
     blocks = d.select("doc_id", F.posexplode("lines").alias("at", "text")).withColumn("batch", F.expr("at div 7"))
     cut = F.when(F.col("doc_id") % 3 == 0, F.lit(1)).otherwise(F.lit(0))
-    answers = blocks.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(F.struct("at", F.upper("text").alias("t")))).alias("p"))
+    answers = blocks.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(F.struct("at", F.concat(F.lit("x"), "text").alias("t")))).alias("p"))
     answers = answers.select("doc_id", "batch", F.slice(F.transform("p", lambda p: p["t"]), F.lit(1), F.size("p") - cut).alias("texts"))
     return E.apply_translations(blocks, answers)
