@@ -203,10 +203,13 @@ def braces(response: pd.Series) -> pd.Series:
 
 
 def parse_yes_no(response: Column) -> Column:
-    """The verdict of {"relevant": ...}, else whether the text begins with y or 是; null if neither says."""
-    said = F.lower(F.get_json_object(response, "$.relevant"))
-    first = F.lower(F.substring(F.trim(response), 1, 1))
-    return F.when(said.isin("true", "yes", "1"), True).when(said.isin("false", "no", "0"), False).when(first.isin("y", "是"), True).when(first.isin("n", "否"), False)
+    """True if the JSON answer's r, or else relevant, is 是; without readable JSON, if the text begins with 是 or y. A cut JSON answer is closed first."""
+    t = F.trim(response)
+    closed = F.when(t.contains("{") & ~t.endswith("}"), F.concat(t, F.lit('"}'))).otherwise(t)
+    readable = t.contains("{") & F.try_parse_json(closed).isNotNull()
+    field = lambda name: F.nullif(F.get_json_object(closed, f"$.{name}"), F.lit(""))
+    said = F.coalesce(F.coalesce(field("r"), field("relevant")) == "是", F.lit(False))
+    return F.when(readable, said).otherwise(F.coalesce(F.substring(t, 1, 1).isin("是", "Y", "y"), F.lit(False)))
 
 
 def pangu(text: Column) -> Column:

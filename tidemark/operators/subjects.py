@@ -1,0 +1,131 @@
+"""Topics: classification, bridges to items, sections, and the match of interests to sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+# arXiv codes by unified topic.
+ARXIV_TOPICS = {
+    "computer-vision": "cs.CV cs.GR eess.IV", "nlp-llm": "cs.CL", "machine-learning": "cs.LG cs.AI cs.NE stat.ML", "embodied-robotics": "cs.RO",
+    "agent-multi-agent": "cs.MA", "interdisciplinary": "cs.HC cs.IR cs.CE cs.CR", "multimodal": "cs.MM", "ai-systems": "cs.SE cs.DC cs.AR cs.PF", "speech-audio": "cs.SD eess.AS eess.SP",
+}
+#: Names of a catalogue's topics by unified topic; our own choice.
+CATALOGUE_TOPICS = {"nlp-llm": ["Natural Language Processing Techniques", "Topic Modeling"], "computer-vision": ["Advanced Neural Network Applications"], "reinforcement-learning": ["Reinforcement Learning in Robotics"], "speech-audio": ["Speech Recognition and Synthesis"]}
+#: Keywords in order of preference; our own choice.
+KEYWORDS = {
+    "machine-learning": ["machine learning", "transfer learning", "federated learning", "zero-shot"],
+    "deep-learning": ["deep learning", "neural network", "transformer", "attention mechanism"],
+    "reinforcement-learning": ["reinforcement learning", "policy gradient", "reward function"],
+    "nlp-llm": ["language model", "machine translation", "question answering", "llm"],
+    "computer-vision": ["image", "object detection", "segmentation"],
+    "agent-multi-agent": ["agent", "tool use"],
+}
+# Sections of a daily list by the slug of an item's content form.
+SECTIONS = {"model-release": "模型与产品", "product-update": "模型与产品", "benchmark-evaluation": "模型与产品", "industry-news": "行业与趋势", "phenomenon-trend": "行业与趋势", "policy-regulation": "行业与趋势", "paper-research": "论文与研究", "tutorial-practice": "技巧与观点", "expert-opinion": "技巧与观点"}
+DEFAULT_SECTION, CONTENT_FORM, DEFAULT_FORM = "行业与趋势", "内容形态", "industry-news"
+
+
+def _mapping(table: dict[str, list[str] | str]) -> Column:
+    pairs = [(name, topic) for topic, names in table.items() for name in (names.split() if isinstance(names, str) else names)]
+    return F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+
+
+def paper_topics(papers: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
+    """(id, slug, confidence, reason) of papers (id, title, abstract, categories).
+
+    Catalogue names and codes give 0.85, of several names of one topic the last; a keyword gives 0.7 where these gave
+    nothing, of several the first; papers without any topic get other with 0.5. One row at a time, without a shuffle.
+    """
+    text = F.lower(F.concat_ws(" ", "title", "abstract"))
+
+    def found(table: dict, label: str) -> Column:
+        mapping = _mapping(table)
+        return F.filter(F.transform("categories", lambda c: F.struct(mapping[c].alias("slug"), F.lit(0.85).alias("confidence"), F.concat(F.lit(f"{label}: "), c).alias("reason"))), lambda s: s["slug"].isNotNull())
+
+    def once(entries: Column, last: bool) -> Column:
+        """One entry per slug: the last or the first."""
+        ordered = F.reverse(entries) if last else entries
+        return F.aggregate(ordered, F.slice(entries, 1, 0), lambda kept, e: F.when(F.exists(kept, lambda k: k["slug"] == e["slug"]), kept).otherwise(F.concat(kept, F.array(e))))
+
+    words = []
+    for slug, terms in keywords.items():
+        hit = F.coalesce(*(F.when(text.contains(t), t) for t in terms))
+        words.append(F.when(hit.isNotNull(), F.struct(F.lit(slug).alias("slug"), F.lit(0.7).alias("confidence"), F.concat(F.lit("keyword: "), hit).alias("reason"))))
+    other = F.array(F.struct(F.lit("other").alias("slug"), F.lit(0.5).alias("confidence"), F.lit("no topic matched").alias("reason")))
+    named = papers.withColumn("_n", once(found(CATALOGUE_TOPICS, "catalogue topic"), True)).withColumn("_c", once(found(ARXIV_TOPICS, "arXiv category"), False))
+    every = once(F.concat("_n", "_c", F.array_compact(F.array(*words))), False)
+    return named.withColumn("_t", every).select("id", F.explode(F.when(F.size("_t") == 0, other).otherwise(F.col("_t"))).alias("t")).select("id", "t.*")
+
+
+def clean_topic_response(answers: DataFrame) -> DataFrame:
+    """(id, slug, name, confidence) of JSON arrays: trimmed, blank slugs dropped, confidence 0.5 and name slug by default."""
+    kind = "array<struct<slug: string, name: string, confidence: double>>"
+    rows = answers.select("id", F.explode(F.from_json("response", kind)).alias("t")).select("id", F.trim("t.slug").alias("slug"), F.trim("t.name").alias("name"), "t.confidence")
+    return rows.filter("slug != ''").select("id", "slug", F.coalesce(F.nullif("name", F.lit("")), F.col("slug")).alias("name"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+
+
+def ensure_content_form(rows: DataFrame) -> DataFrame:
+    """Items of (id, slug, group_name, confidence) without a content form get the default one."""
+    lacking = rows.groupBy("id").agg(F.bool_or(F.col("group_name") == CONTENT_FORM).alias("has")).filter("NOT has")
+    return rows.unionByName(lacking.select("id", F.lit(DEFAULT_FORM).alias("slug"), F.lit(CONTENT_FORM).alias("group_name"), F.lit(0.5).alias("confidence")))
+
+
+def attach_topics(rows: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(attached, rejected) of rows (id, slug, confidence, pos): the last row per item and active topic; unknown and inactive slugs are rejected."""
+    active = topics.filter("is_active").select("topic", "slug")
+    last = rows.join(F.broadcast(active), "slug").groupBy("id", "topic").agg(F.max_by("confidence", "pos").alias("confidence"))
+    return last, rows.join(F.broadcast(active), "slug", "left_anti")
+
+
+def seed_topics(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Topics by slug; a new row replaces an old one."""
+    both = old.alias("o").join(new.alias("n"), "slug", "full")
+    there = F.col("n.name").isNotNull()
+    return both.select("slug", *(F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns if c != "slug"))
+
+
+def taxonomy(spark: SparkSession) -> DataFrame:
+    """(slug, name, group_name, sort_order) of the packaged topics."""
+    forms = [(slug, slug.replace("-", " ").capitalize(), CONTENT_FORM) for slug in SECTIONS]
+    fields = [(slug, slug.replace("-", " ").capitalize(), "技术领域") for slug in sorted({*ARXIV_TOPICS, *KEYWORDS})]
+    return spark.createDataFrame([(*row, at) for at, row in enumerate(forms + fields)], "slug string, name string, group_name string, sort_order int")
+
+
+def sections(items: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Adds ``section``: that of the first content form of bridge (id, slug, group_name, pos), its slug if that has none, else the default."""
+    first = bridge.filter(F.col("group_name") == CONTENT_FORM).groupBy("id").agg(F.min_by("slug", "pos").alias("slug"))
+    mapped = F.coalesce(F.create_map(*(F.lit(x) for pair in SECTIONS.items() for x in pair))[F.col("slug")], F.col("slug"), F.lit(DEFAULT_SECTION))
+    return items.join(first, "id", "left").withColumn("section", mapped).drop("slug")
+
+
+def top_per_section(items: DataFrame) -> DataFrame:
+    return items.withColumn("_n", F.row_number().over(W.partitionBy("section").orderBy(F.coalesce("ai_score", F.lit(0.0)).desc(), "pos"))).filter("_n = 1").drop("_n")
+
+
+def filter_by_keywords(papers: DataFrame, keywords: list[str], columns: list[str]) -> DataFrame:
+    """Papers with any keyword in any column; all papers if there is none."""
+    text, hit = F.lower(F.concat_ws(" ", *columns)), F.lit(False)
+    for k in keywords:
+        hit = hit | text.contains(k.lower())
+    marked = papers.withColumn("_hit", hit)
+    any_hit = marked.agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("_any"))
+    return marked.crossJoin(F.broadcast(any_hit)).filter("_hit OR NOT _any").drop("_hit", "_any")
+
+
+def interest_match(interests: DataFrame, sources: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """(interest_id, key, score) of interests (interest_id, text) and sources (key, keywords, tags, description, pos).
+
+    A keyword of the domain counts 1, a tag or one of its aliases 0.5, a word of at least three letters that the description
+    has 0.3, divided by the number of words and at most 1. Of sources with one key the first counts. Sources are a configured list.
+    """
+    once = sources.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy("pos"))).filter("_n = 1")
+    low = interests.withColumn("_t", F.lower("text")).withColumn("_w", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")))
+    both = low.crossJoin(F.broadcast(once))
+    count = lambda c, test: F.size(F.filter(c, test))
+    keys = count(F.col("keywords"), lambda k: F.col("_t").contains(F.lower(k)))
+    tags = count(F.col("tags"), lambda t: F.exists(t, lambda a: F.col("_t").contains(F.lower(a))))
+    words = count(F.col("_w"), lambda w: (F.length(w) >= 3) & F.array_contains(F.split(F.lower("description"), r"\s+"), w))
+    score = F.least(F.lit(1.0), (keys * 10 + tags * 5 + words * 3) / 10.0 / F.greatest(F.lit(1), F.size("_w")))
+    return both.select("interest_id", "key", score.alias("score")).filter(F.col("score") >= threshold)
