@@ -55,5 +55,5 @@ def test_near_duplicates_match_brute_force(spark):
 
 
 def test_no_rows(spark):
-    assert near_duplicates(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert near_duplicates(spark.createDataFrame([], SCHEMA)).columns[:4] == ["doc_id", "n_shingles", "component_id", "kept"]
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0

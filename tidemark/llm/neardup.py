@@ -2,7 +2,9 @@
 
 Candidates share a band; every link is confirmed on the full shingle sets. Equal sets are one class from the start, so
 copies are never compared. Within a band bucket all members are first compared with one centre; what is then joined
-needs no further comparison, and the members of other components are compared with all the rest of the bucket.
+needs no further comparison. Members that are still in different components of one bucket are the open ones. For them all
+links that are left are found by their rarest shingles: two similar sets must share one early in the order of rarity, so
+members of a large group whose shingles are mostly their own meet nobody.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from tidemark.llm.components import components
 
 WORDS = 5
 BANDS, PERMUTATIONS_PER_BAND = 40, 2
+#: Orders in which centres are chosen: an unlucky centre of one order is compensated by the others.
+ORDERS = 8
 #: Shingles that are hashed by all permutations at a time.
 BLOCK = 2048
 _draw = np.random.default_rng(20_240_501)
@@ -66,7 +70,7 @@ def min_max_bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per document doc_id, n_shingles, node (a digest of its shingle set; null without words) and bands."""
+    """Per document doc_id, text_hash, n_shingles, node (a digest of its shingle set; null without words) and bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -77,10 +81,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sizes.append(len(found))
                 nodes.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 bands.append(min_max_bands(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands"])
+            arrays = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_shingles", "node", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, node binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, f"doc_id {kind}, text_hash long, n_shingles long, node binary, bands array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -118,27 +123,59 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(confirm, "a binary, b binary")
 
 
+def _open_pairs(nodes: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
+    """Pairs (a, b) of open nodes (node, n, part, minor) in different parts that can be similar; and scratch paths.
+
+    Shingles are ordered by the number of open sets that hold them. Similar sets share one of the first
+    n - ceil(n percent / 100) + 1 of either, and what can follow it must suffice for the overlap that similarity needs.
+    """
+
+    def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler()
+        for batch in batches:
+            for node, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = shingle(text.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(found), pa.binary()), pa.array(found.view(np.int64))], ["node", "shingle"])
+
+    shreds, shreds_path = table(texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(shred, "node binary, shingle long"), "shreds")
+    common, common_path = table(shreds.groupBy(F.col("shingle").alias("of")).agg(F.count("*").alias("holders")).filter("holders > 1"), "common")
+    held = shreds.join(common, F.col("shingle") == F.col("of")).select("node", "shingle", "holders")
+    by_node = W.partitionBy("node")
+    ranked = held.select("node", "shingle", F.row_number().over(by_node.orderBy("holders", "shingle")).alias("rank"), F.count("*").over(by_node).alias("shared"))
+    placed = ranked.join(nodes, "node").withColumn("place", F.col("n") - F.col("shared") + F.col("rank"))
+    early, early_path = table(placed.filter(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")).select("node", "n", "part", "minor", "shingle", "place"), "early")
+    x = early.filter("minor").select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "part", "place")))
+    y = early.select(F.col("shingle").alias("of"), *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "part", "place", "minor")))
+    fits = (100 + percent) * (1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))) >= percent * (F.col("n_x") + F.col("n_y"))
+    once = ~F.col("minor_y") | (F.col("node_x") < F.col("node_y"))
+    pairs = x.join(y, (F.col("shingle") == F.col("of")) & (F.col("part_x") != F.col("part_y")) & once & fits)
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), [shreds_path, common_path, early_path]
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Per document (columns doc_id, text; others are ignored): doc_id, n_shingles, component_id, kept.
+    """Per document (columns doc_id, text; others are ignored): doc_id, n_shingles, component_id, kept, part, text_hash.
 
     Words are runs of anything but ASCII white space, A-Z in lower case. Texts that are null or hold no word have no
     shingles and are linked with nothing. component_id is the smallest doc_id reachable; it ignores null doc_ids, and is
     null if there are no others. kept is doc_id = component_id, so repeated rows of one doc_id are all kept or all not;
-    null doc_ids are never kept unless their whole component has none. An empty table gives no rows.
+    null doc_ids are never kept unless their whole component has none. part names the component (null without words) also
+    where doc_ids repeat or are null, and text_hash is xxhash64 of the text. An empty table gives no rows.
     """
     spark = docs.sparkSession
     signed, signed_path = table(signatures(docs), "signatures")
     classes, classes_path = table(
         signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes"
     )
-    rows = classes.select("node", "n", F.explode("bands").alias("band"))
+    rows = classes.select("node", "n", F.posexplode("bands").alias("at", "band"))
+    rows = rows.select("band", "node", "n", F.struct(F.xxhash64("node", F.col("at") % ORDERS).alias("order"), "node", "n").alias("ranked"))
     bucket = W.partitionBy("band")
-    met = rows.select("*", F.min(F.struct("node", "n")).over(bucket).alias("centre"), F.max("node").over(bucket).alias("furthest")).filter("centre.node != furthest")
+    met = rows.select("*", F.min("ranked").over(bucket).alias("centre"), F.count("*").over(bucket).alias("members")).filter("members > 1")
     met, met_path = table(met.select("band", "node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("n_centre")), "met")
     sizes = lambda x, y: (100 * F.least(x, y)) >= percent * F.greatest(x, y)
     wanted = classes.select("node", "doc_id").join(met.select("node").distinct(), "node", "left_semi")
     texts, texts_path = table(_texts(docs, wanted), "texts")
-    starred, starred_path = table(met.filter(F.col("node") != F.col("centre")).filter(sizes(F.col("n"), F.col("n_centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    starred = met.filter(F.col("node") != F.col("centre")).filter(sizes(F.col("n"), F.col("n_centre")))
+    starred, starred_path = table(starred.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "pairs")
     links, links_path = table(_confirmed(starred, texts, percent), "links")
     joined, joined_path = components(links)
     inside = met.join(joined.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("band", "node", "n", F.coalesce("label", "node").alias("part"))
@@ -146,26 +183,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     counts = inside.groupBy("band", "part").count()
     mixed = counts.groupBy("band").agg(F.max(F.struct("count", "part")).getField("part").alias("major"), F.count("*").alias("parts")).filter("parts > 1")
     mixed, mixed_path = table(mixed.select("band", "major"), "mixed")
-    open_rows = inside.join(mixed, "band")
-    minor = open_rows.filter("part != major").select("band", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("part").alias("part_x"))
-    other = open_rows.select(F.col("band").alias("band_y"), F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("part").alias("part_y"), "major")
-    rest = (
-        minor.join(other, (F.col("band") == F.col("band_y")) & (F.col("part_x") != F.col("part_y")) & ((F.col("part_y") == F.col("major")) | (F.col("x") < F.col("y"))) & sizes(F.col("n_x"), F.col("n_y")))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(starred, ["a", "b"], "left_anti")
-    )
-    rest, rest_path = table(rest, "rest")
+    open_rows = inside.join(mixed, "band").groupBy("node").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.bool_or(F.col("part") != F.col("major")).alias("minor"))
+    open_rows, open_path = table(open_rows, "open")
+    rest, rest_paths = _open_pairs(open_rows, texts, percent)
+    rest, rest_path = table(rest.join(starred, ["a", "b"], "left_anti"), "rest")
     more, more_path = table(_confirmed(rest, texts, percent), "more")
-    drop(spark, met_path, starred_path, inside_path, mixed_path, rest_path)
+    drop(spark, met_path, starred_path, inside_path, mixed_path, open_path, rest_path, *rest_paths)
     if not more.isEmpty():
         drop(spark, joined_path)
         joined, joined_path = components(links.union(more))
     drop(spark, texts_path, links_path, more_path)
     parts = classes.select("node", "doc_id").join(joined.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "doc_id", F.coalesce("label", "node").alias("part"))
     least = parts.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    named, _ = table(parts.join(least, "part").select(F.col("node").alias("of"), "component_id"), "named")
+    named, _ = table(parts.join(least, "part").select(F.col("node").alias("of"), "component_id", "part"), "named")
     drop(spark, classes_path, joined_path)
-    found = signed.select("doc_id", "n_shingles", "node").join(named, F.col("node") == F.col("of"), "left")
+    found = signed.select("doc_id", "text_hash", "n_shingles", "node").join(named, F.col("node") == F.col("of"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "part", "text_hash")
