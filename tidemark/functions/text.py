@@ -264,7 +264,7 @@ def flatten(markdown: str) -> str:
     text = re.sub(r"(?is)<details[^>]*>\s*<summary[^>]*>(.*?)</summary>(.*?)</details>", lambda m: f"- {m[1].strip()}\n" + "\n".join(f"  - {line.strip()}" for line in m[2].strip().splitlines() if line.strip()), markdown)
     text = re.sub(r"(?i)<a\s+(?:id|name)=[^>]*>\s*</a>", "", text)
     safe = lambda u: re.fullmatch(r"https?://[^\s<>\[\]\x00-\x1f]+", u) is not None and u.count("(") == u.count(")")
-    return re.sub(r"\[([^\]]*)\]\(([^)\s]*(?:\([^)]*\))?[^)\s]*)\)", lambda m: m[0] if safe(m[2]) else m[1], text)
+    return re.sub(r"\[([^\]]*)\]\(((?:[^()\s]|\([^()\s]*\))*)\)", lambda m: m[0] if safe(m[2]) else m[1], text)
 
 
 @F.pandas_udf(StringType())

@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 FLAGSHIP = "daily_digest"
-PLANS = ("digest", "content", "merging", "reads", "subjects", "linking", "ingest")
+PLANS = ("digest", "content", "merging", "reads", "subjects", "linking", "ingest", "outputs")
 
 _found: dict[str, tuple[Callable, str | None]] = {}
 
