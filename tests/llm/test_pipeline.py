@@ -37,3 +37,14 @@ def test_stages(spark, sf_dir):
     assert tokens == sum((collections.Counter({r.doc_id: len(encode(r.text or "")) // 4 + 1}) for r in mixed), collections.Counter())
     for spots in filled.values():
         assert all(a + n == b for (a, n), (b, _) in zip(sorted(spots), [*sorted(spots)[1:], (sum(n for _, n in spots), 0)], strict=True)) and sum(n for _, n in spots) <= 1024
+
+
+def test_awkward_and_empty_documents(spark, sf_dir):
+    rows = [(1, "some words here", None, None, None, "x", 1), (1, "some words here", None, None, None, "x", 1), (None, "other words there", "en", "src0", 5, None, None), (2, None, "en", "src0", 5, "x", 1), (3, "", "en", "src0", 0, "x", 1), (4, "long " * 50_000, "en", "src1", 9, "x", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, part string, size int"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in P.STAGES:
+            docs = stage(spark, docs, sf_dir)
+            assert docs.columns == P.COLUMNS or name == "packing", name
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.count() >= 0
