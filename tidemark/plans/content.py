@@ -13,14 +13,14 @@ from tidemark.registry import query
 _HOST = f"lower(regexp_extract(url, '{U.HOST}', 1))"
 _PATH = f"regexp_extract(url, '{U.PATH}', 1)"
 _LINKS = """links AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, 'https://' || h || '/x/' || page_id || e FROM pages,
-  (VALUES ('github.com', ''), ('www.openai.com', ''), ('example.com', '.pdf'), ('img.example.com', '/40px-a.png'), ('img.example.com', '/site-Logo.png'), ('a.example.com', '/b(c.html'), ('a.example.com', '/b(c).SVG')) v(h, e) WHERE page_id % 5 = 0)"""
+  (VALUES ('github.com', ''), ('www.openai.com', ''), ('example.com', '.pdf'), ('img.example.com', '/40px-a.png'), ('img.example.com', '/site-Logo.png'), ('a.example.com', '/b(c.html'), ('a.example.com', '/b(c).SVG')) v(h, e))"""
 
 
 def links(spark, sf_dir):
-    """Page URLs, and for every fifth page URLs of several hosts and endings."""
+    """Page URLs, and for every page URLs of several hosts and endings."""
     p = table(spark, sf_dir, "pages").select("page_id", "url")
     more = spark.createDataFrame([("github.com", ""), ("www.openai.com", ""), ("example.com", ".pdf"), ("img.example.com", "/40px-a.png"), ("img.example.com", "/site-Logo.png"), ("a.example.com", "/b(c.html"), ("a.example.com", "/b(c).SVG")], "h string, e string")
-    return p.union(p.filter("page_id % 5 = 0").crossJoin(F.broadcast(more)).selectExpr("page_id + 1000000", "concat('https://', h, '/x/', page_id, e)"))
+    return p.union(p.crossJoin(F.broadcast(more)).selectExpr("page_id + 1000000", "concat('https://', h, '/x/', page_id, e)"))
 
 
 _SKIP = "CASE " + " ".join(f"WHEN contains({_HOST}, '{h}') THEN 'skip_domain:{h}'" for h in U.SKIPPED_HOSTS) + " " + " ".join(f"WHEN ends_with(lower({_PATH}), '{e}') THEN 'skip_extension:{e}'" for e in U.SKIPPED_ENDINGS) + " END"

@@ -96,9 +96,9 @@ def w8_export_static(spark, sf_dir):
     return daily.union(stats).union(read("categories", "category string, n long").selectExpr("'categories' AS artefact", "category AS key", "n"))
 
 
-@query(f"WITH {ITEMS}, {NEWS_TOPICS}, {_TOPICS} SELECT DISTINCT day, t.topic, name FROM items i JOIN news_topics b ON i.id = b.id AND i.id % 17 = 0 JOIN topics t ON b.topic = t.topic")
+@query(f"WITH {ITEMS}, {NEWS_TOPICS}, {_TOPICS} SELECT DISTINCT day, t.topic, name FROM items i JOIN news_topics b ON i.id = b.id JOIN topics t ON b.topic = t.topic")
 def w9_topics_per_date(spark, sf_dir):
-    return K.topics_per_date(topics(spark, sf_dir), items(spark, sf_dir), news_topics(spark, sf_dir).filter("id % 17 = 0"))
+    return K.topics_per_date(topics(spark, sf_dir), items(spark, sf_dir), news_topics(spark, sf_dir))
 
 
 def _texts(spark, sf_dir):

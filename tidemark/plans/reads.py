@@ -158,10 +158,10 @@ def q22_get_reports(spark, sf_dir):
     return items(spark, sf_dir).filter(F.col("source_type").contains("3") & R.like("ion", "text")).join(tags, "id", "left_semi").select("id")
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN '/files/' || p_partkey || '.pdf' ELSE 'https://x.org/' || p_partkey END AS link, p_size % 3 = 0 AS has_local_pdf FROM part WHERE p_partkey <= 50")
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN '/files/' || p_partkey || '.pdf' ELSE 'https://x.org/' || p_partkey END AS link, p_size % 3 = 0 AS has_local_pdf FROM part")
 def q23_get_report(spark, sf_dir):
     pdfs = F.expr("array(named_struct('url', concat('https://x.org/', p_partkey), 'local_path', IF(p_size % 3 = 0, concat('data/reports/', p_partkey, '.pdf'), NULL)))")
-    rows = table(spark, sf_dir, "part").filter("p_partkey <= 50").select(F.col("p_partkey").alias("id"), pdfs.alias("pdfs"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), pdfs.alias("pdfs"))
     moved = F.transform("pdfs", lambda p: F.coalesce(F.regexp_replace(p["local_path"], "^data/reports/", "/files/"), p["url"]))
     return rows.select("id", moved[0].alias("link"), F.exists("pdfs", lambda p: p["local_path"].isNotNull()).alias("has_local_pdf"))
 
@@ -181,9 +181,9 @@ def q25_global_search(spark, sf_dir):
     return R.global_search("an", {"news": (items(spark, sf_dir), ["title"]), "pages": (table(spark, sf_dir, "pages").withColumnRenamed("page_id", "id"), ["url"])}, 10)
 
 
-@query(f"WITH {ITEMS} SELECT coalesce(printf('%.1f', avg(ai_score) FILTER (ai_score <> 0)), '—') AS mean_score FROM items WHERE id < 200")
+@query(f"WITH {ITEMS} SELECT coalesce(printf('%.1f', avg(ai_score) FILTER (ai_score <> 0)), '—') AS mean_score FROM (SELECT * FROM items ORDER BY coalesce(ai_score, 0) DESC, id LIMIT 200)")
 def q26_mean_score(spark, sf_dir):
-    return R.mean_score_label(items(spark, sf_dir).filter("id < 200"))
+    return R.mean_score_label(items(spark, sf_dir).orderBy(*R.SORTS["score"]()).limit(200))
 
 
 @query(f"WITH {_SEL}, {_LISTED} SELECT i.id, i.title, i.published_sec, coalesce(topics, '') AS topics FROM sel i LEFT JOIN lists l ON i.id = l.id WHERE selected")

@@ -107,13 +107,13 @@ def t8_no_keyword_matches(spark, sf_dir):
 
 
 @query("""WITH i AS (SELECT p_partkey AS interest_id, lower(p_name || ' ' || p_type) AS t, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part),
-s AS (SELECT 's' || n_nationkey AS key, [lower(p.n)] AS keywords, n_nationkey AS k, p.n AS word FROM nation, (SELECT DISTINCT split_part(p_name, ' ', 1) AS n FROM part) p WHERE n_nationkey < 3),
+s AS (SELECT 's' || r_regionkey AS key, [lower(p.n)] AS keywords, r_regionkey AS k, p.n AS word FROM region, (SELECT DISTINCT split_part(p_name, ' ', 1) AS n FROM part) p),
 m AS (SELECT interest_id, s.key || ':' || word AS key, least(1.0, (CASE WHEN contains(t, lower(word)) THEN 10 ELSE 0 END + CASE WHEN contains(t, 'x' || k) OR contains(t, lower(word)) THEN 5 ELSE 0 END
  + 3 * len(list_filter(w, lambda x: length(x) >= 3 AND (x = lower(word) OR x = 'about')))) / 10.0 / greatest(1, len(w))) AS score FROM i, s)
 SELECT interest_id, key, score::DOUBLE AS score FROM m WHERE score >= 0.1""")
 def t9_interest_match(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     words = p.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word")).distinct()
-    sources = words.crossJoin(F.broadcast(table(spark, sf_dir, "nation").filter("n_nationkey < 3").select(F.col("n_nationkey").alias("k"))))
+    sources = words.crossJoin(F.broadcast(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"))))
     sources = sources.selectExpr("concat('s', k, ':', word) AS key", "array(word) AS keywords", "array(array(concat('x', k), word)) AS tags", "concat('About ', word) AS description", "k AS pos")
     return S.interest_match(p.selectExpr("p_partkey AS interest_id", "concat(p_name, ' ', p_type) AS text"), sources)
