@@ -115,8 +115,8 @@ def event_candidates(items: DataFrame, percent: int = 50) -> tuple[DataFrame, Da
     one within the first n - ceil(n percent / 100) + 1. Frequent tokens come last, so they seldom bring sets together.
     """
     sets = items.select("id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).filter(F.size("tokens") > 0)
-    members = sets.withColumn("rep", F.min("id").over(W.partitionBy("tokens")))
     reps = sets.groupBy("tokens").agg(F.min("id").alias("rep"))
+    members = sets.join(reps, "tokens")
     shown = reps.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     ranked = shown.join(shown.groupBy("token").agg(F.count("*").alias("df")), "token")
     ranked = ranked.withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy("df", "token")))
