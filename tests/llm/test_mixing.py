@@ -2,8 +2,10 @@
 
 from collections import defaultdict
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import mixing
 from tidemark.llm.mixing import mix
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("target", T.StringType())])
@@ -51,3 +53,26 @@ def test_no_rows_and_no_words(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
     found = mix(spark.createDataFrame([(1, None, "a", "x"), (2, " ", None, "x")], SCHEMA)).collect()
     assert [(r.size, r.taken) for r in found] == [(0, 0), (0, 0)]
+
+
+def test_short_documents_reach_their_targets(spark, monkeypatch):
+    """Shards of about four rows: whole blocks are more than three times most of them."""
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 4)
+    rows = [(k, "word " * (10, 25, 3)[k % 3], f"s{k % 3}", "x") for k in range(3000)] + [(9000 + k, "word " * 10, "s3", "x") for k in range(90)] + [(9500 + k, "word " * (2000 if k == 0 else 1), "s4", "x") for k in range(50)]
+    found = mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    source = {r[0]: r[2] for r in rows}
+    taken, target = defaultdict(int), {}
+    for r in found:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    assert len(found) == len(rows) and len(target) == 5
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 64, (s, taken[s], target[s])
+
+
+def test_uneven_shares_are_exact(spark):
+    """One large share beside many small ones is due every block; half a block rounds to none."""
+    parts = spark.createDataFrame([(k, 100_000 if k == 0 else 20, 1875) for k in range(1000)], "shard int, words long, blocks long")
+    found = mixing._seats(parts.withColumn("k", F.lit("a")), ["k"], "words", "blocks", F.floor(F.col("words") * 3 / 64).cast("long"), ["shard"])
+    assert [(r.shard, r.quota) for r in found.filter("quota > 0").collect()] == [(0, 1875)]
