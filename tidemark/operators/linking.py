@@ -6,6 +6,7 @@ import difflib
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +16,8 @@ from pyspark.sql.types import DoubleType, StringType
 from tidemark.operators.reads import institutions
 
 SIMILAR, DOI_SIMILAR, SAME_WORK, MOST_CANDIDATES = 0.85, 0.75, 0.95, 5
+#: Distinct titles of seeds and of works in a cell that is compared at once.
+SEED_BLOCK, WORK_BLOCK = 2048, 16_384
 REQUIRED = ["title", "authors", "abstract", "publication_year", "doi", "url", "journal_ref"]
 
 
@@ -51,23 +54,85 @@ def year_matches(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(a - b) <= 1, F.lit(True))
 
 
+def _common_length(a: str, codes: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of a title and each row of character codes, 0 where a row has ended; bit-parallel."""
+    if len(a) > 64:
+        masks = {}
+        for k, c in enumerate(a):
+            masks[ord(c)] = masks.get(ord(c), 0) | 1 << k
+        full, found = (1 << len(a)) - 1, []
+        for row in codes.tolist():
+            v = full
+            for c in row:
+                u = v & masks.get(c, 0)
+                v = ((v + u) | (v - u)) & full
+            found.append(len(a) - v.bit_count())
+        return np.array(found, dtype=np.int64)
+    masks = np.zeros(128, dtype=np.uint64)
+    for k, c in enumerate(a):
+        masks[ord(c)] |= np.uint64(1 << k)
+    v = np.full(len(codes), np.uint64(2**64 - 1))
+    for column in np.ascontiguousarray(codes.T):
+        u = v & masks[column]
+        v = (v + u) | (v - u)
+    return len(a) - np.bitwise_count(v & np.uint64((1 << len(a)) - 1)).astype(np.int64)
+
+
+def _similar_cell(seeds: pd.DataFrame, works: pd.DataFrame) -> pd.DataFrame:
+    """(a, b, similarity) of all similar titles of one cell; only pairs that bounds on the ratio rule out are not compared."""
+    names, found = works["plain"].sort_values(key=lambda c: c.str.len()).to_numpy(), []
+    lengths = np.array([len(n) for n in names], dtype=np.int64)
+    rows = [np.frombuffer(n.encode("ascii"), dtype=np.uint8) for n in names]
+    counts = np.zeros((128, len(names)), dtype=np.uint16)
+    for k, row in enumerate(rows):
+        counts[:, k] = np.bincount(row, minlength=128)
+    for a in seeds["plain"]:
+        low, high = np.searchsorted(lengths, [np.floor(len(a) * SIMILAR / (2 - SIMILAR)), np.ceil(len(a) * (2 - SIMILAR) / SIMILAR) + 1])
+        need = SIMILAR * (len(a) + lengths[low:high]) - 1e-6
+        own = np.bincount(np.frombuffer(a.encode("ascii"), dtype=np.uint8), minlength=128)
+        shared = np.zeros(high - low, dtype=np.uint16)
+        for c in np.flatnonzero(own):
+            shared += np.minimum(counts[c, low:high], np.uint16(own[c]))
+        near = np.flatnonzero(2.0 * shared >= need)
+        if not len(near):
+            continue
+        codes = np.zeros((len(near), int(lengths[low + near].max())), dtype=np.uint8)
+        for k, n in enumerate(near + low):
+            codes[k, : lengths[n]] = rows[n]
+        for n in near[2.0 * _common_length(a, codes) >= need[near]]:
+            ratio = difflib.SequenceMatcher(None, a, names[low + n]).ratio()
+            if ratio >= SIMILAR:
+                found.append((a, names[low + n], ratio))
+    return pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": object, "b": object, "similarity": float})
+
+
+def similar_titles(seeds: DataFrame, works: DataFrame) -> DataFrame:
+    """(a, b, similarity) of all pairs of the distinct ``plain`` titles of both sides that reach SIMILAR, none left out.
+
+    Both sides are dealt to blocks and each pair of blocks is a cell, so the number of pairs grows with both sides: the ratio has
+    no selective exact index, as 0.85 allows nine changed letters in sixty. A pair is compared if its lengths, its counts of
+    characters and its longest common subsequence allow the ratio.
+    """
+    s, w = (x.select("plain").filter("plain != ''").distinct() for x in (seeds, works))
+    n_s, n_w = (max(1, -(-x.count() // block)) for x, block in ((s, SEED_BLOCK), (w, WORK_BLOCK)))
+    deal = lambda n: F.pmod(F.xxhash64("plain"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = s.select("plain", deal(n_s).alias("i")).withColumn("j", every(n_w))
+    y = w.select("plain", deal(n_w).alias("j")).withColumn("i", every(n_s))
+    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(_similar_cell, "a string, b string, similarity double")
+
+
 def candidate_pool(seeds: DataFrame, works: DataFrame) -> DataFrame:
     """(seed_id, work_id, similarity, place): the best works per seed that are not retracted and similar in title.
 
-    Titles are compared only if they share one of the three rarest words of the seed's; equal titles share all.
+    Titles are compared once however many rows have them; of works with one title the first MOST_CANDIDATES can be chosen.
     """
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split(F.col("plain"), " "))).alias("word")).filter("word != ''")
     s, w = seeds.withColumn("plain", normalize_title(F.col("title"))), works.filter(~F.coalesce("is_retracted", F.lit(False))).withColumn("plain", normalize_title(F.col("title")))
-    seen = words(w, "work_id")
-    frequency = seen.groupBy("word").agg(F.count("*").alias("df"))
-    rare = words(s, "seed_id").join(frequency, "word").withColumn("_n", F.row_number().over(W.partitionBy("seed_id").orderBy("df", "word"))).filter("_n <= 3")
-    pairs = rare.join(seen, "word").select("seed_id", "work_id").distinct()
-    both = pairs.join(s.select("seed_id", F.col("plain").alias("a")), "seed_id").join(w.select("work_id", F.col("plain").alias("b")), "work_id")
-    # The ratio is at most twice the shorter length by the sum, which needs no Python.
-    possible = both.filter(2 * F.least(F.length("a"), F.length("b")) >= SIMILAR * (F.length("a") + F.length("b")))
-    close = possible.withColumn("similarity", title_similarity("a", "b")).filter(F.col("similarity") >= SIMILAR)
-    ranked = close.withColumn("place", F.row_number().over(W.partitionBy("seed_id").orderBy(F.desc("similarity"), "work_id")))
-    return ranked.filter(F.col("place") <= MOST_CANDIDATES).select("seed_id", "work_id", "similarity", "place")
+    close = similar_titles(s, w)
+    first = w.select("work_id", F.col("plain").alias("b")).withColumn("_n", F.row_number().over(W.partitionBy("b").orderBy("work_id"))).filter(F.col("_n") <= MOST_CANDIDATES).drop("_n")
+    ranked = close.join(first, "b").withColumn("place", F.row_number().over(W.partitionBy("a").orderBy(F.desc("similarity"), "work_id")))
+    best = ranked.filter(F.col("place") <= MOST_CANDIDATES).withColumnRenamed("a", "plain")
+    return s.select("seed_id", "plain").join(best, "plain").select("seed_id", "work_id", "similarity", "place")
 
 
 def match_by_keys(seeds: DataFrame, works: DataFrame) -> DataFrame:
