@@ -101,8 +101,11 @@ def source_label(columns: list[str]) -> Column:
 
 
 def merge_event_groups(items: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(survivors, coverage) for groups (group_id, members: array of pos): the first member stays, the other valid ones go and are covered by it."""
-    members = groups.select("group_id", F.col("members")[0].alias("primary_pos"), F.posexplode("members").alias("at", "pos"))
+    """(survivors, coverage) for groups (group_id, members: array of pos): the first member stays, the other valid ones go and are covered by it.
+
+    Groups of any size can come as rows (group_id, primary_pos, at, pos) instead, the primary at 0.
+    """
+    members = groups.select("group_id", F.col("members")[0].alias("primary_pos"), F.posexplode("members").alias("at", "pos")) if "members" in groups.columns else groups
     valid = members.join(items.select("pos"), "pos").join(items.select(F.col("pos").alias("primary_pos")), "primary_pos")
     dropped = valid.filter("at > 0 AND pos != primary_pos")
     return items.join(dropped.select("pos").distinct(), "pos", "left_anti"), dropped.select("group_id", "primary_pos", F.col("pos").alias("covered_pos"))

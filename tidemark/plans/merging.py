@@ -87,7 +87,9 @@ _GROUPS = "g AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text
 
 def _event_groups(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    ids = d.groupBy(F.xxhash64("text").alias("group_id")).agg(F.array_sort(F.collect_list("doc_id")).alias("members")).filter("size(members) > 1")
+    keyed = d.filter("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    first = keyed.groupBy("hash", "text").agg(F.min("doc_id").alias("primary_pos"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    ids = keyed.join(first, ["hash", "text"]).selectExpr("primary_pos AS group_id", "primary_pos", "IF(doc_id = primary_pos, 0, 1) AS at", "doc_id AS pos")
     return M.merge_event_groups(d.selectExpr("doc_id AS pos", "source"), ids)
 
 
