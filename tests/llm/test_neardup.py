@@ -5,6 +5,8 @@ import re
 
 from pyspark.sql import types as T
 
+from tidemark.llm import neardup
+from tidemark.llm.components import components
 from tidemark.llm.neardup import near_duplicates
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("node", T.StringType())])
@@ -57,3 +59,66 @@ def test_near_duplicates_match_brute_force(spark):
 def test_no_rows(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).columns[:4] == ["doc_id", "n_shingles", "component_id", "kept"]
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def threshold_group(members, seed=3):
+    """Copies of one text of 80 words with two edits each, so that pairs lie about the threshold."""
+    pick = random.Random(seed)
+    base, texts = [f"v{pick.randrange(5000)}" for _ in range(80)], []
+    for k in range(members):
+        copy = list(base)
+        for edit, at in enumerate(pick.sample(range(80), 2)):
+            copy[at] = f"edit{k}x{edit}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_group_about_the_threshold(spark, monkeypatch):
+    """What leaves the join of open nodes is about as many pairs as there are links, so little is confirmed on texts."""
+    left = []
+    open_pairs = neardup._open_pairs
+
+    def counted(*args):
+        pairs, paths = open_pairs(*args)
+        left.append(pairs.count())
+        return pairs, paths
+
+    monkeypatch.setattr(neardup, "_open_pairs", counted)
+    rows = [(k, text, "x") for k, text in enumerate(threshold_group(260))]
+    found = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute(rows)
+    assert left[0] < 260 * 4
+
+
+def test_sketches_never_refute_a_link():
+    shingle = neardup.Shingler()
+    sets = [shingle(text) for text in threshold_group(60)]
+    for x in sets:
+        for y in sets:
+            bits = sum(((int(a) ^ int(b)) % 2**64).bit_count() for a, b in zip(neardup.parity_sketch(x), neardup.parity_sketch(y), strict=True))
+            assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_components(spark):
+    pick = random.Random(9)
+    chain = list(range(300))
+    pairs = [(a, a + 1) for a in chain[:-1]] + [(1000, 1000 + k) for k in range(1, 200)] + [(2000 + k, 2000 + (k * 7 + 3) % 50) for k in range(50)] + [(5000, 5001), (5001, 5000), (6000, 6000)]
+    pick.shuffle(pairs)
+    links = spark.createDataFrame([(f"{a:05}".encode(), f"{b:05}".encode()) for a, b in pairs], "a binary, b binary")
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            parent[root(a)] = root(b)
+    groups, found = {}, {}
+    for x in parent:
+        groups.setdefault(root(x), set()).add(x)
+    for r in components(links)[0].collect():
+        found.setdefault(bytes(r.label), set()).add(int(bytes(r.node)))
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))
+    assert components(links.limit(0))[0].count() == 0

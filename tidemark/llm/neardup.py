@@ -3,13 +3,18 @@
 Candidates share a band; every link is confirmed on the full shingle sets. Equal sets are one class from the start, so
 copies are never compared. Within a band bucket all members are first compared with one centre; what is then joined
 needs no further comparison. Members that are still in different components of one bucket are the open ones. For them all
-links that are left are found by their rarest shingles: two similar sets must share one early in the order of rarity, so
-members of a large group whose shingles are mostly their own meet nobody.
+links that are left are found by their rarest shingles: two similar sets must share one early in the order of rarity.
+Sketches refute nearly all of these pairs in the join itself: a sketch has a bit for the parity of the shingles that fall
+on it, so two sets differ in at least as many shingles as their sketches differ in bits. In a group whose members lie
+about the threshold the pairs looked at in the join still grow with the square of the group; those that leave it are
+about as many as there are links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,8 @@ BANDS, PERMUTATIONS_PER_BAND = 40, 2
 ORDERS = 8
 #: Shingles that are hashed by all permutations at a time.
 BLOCK = 2048
+#: 64-bit words of a parity sketch.
+SKETCH_WORDS = 8
 _draw = np.random.default_rng(20_240_501)
 MULTIPLIERS = _draw.integers(0, 2**63, BANDS * PERMUTATIONS_PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BAND_WEIGHTS = _draw.integers(0, 2**63, (BANDS, 2 * PERMUTATIONS_PER_BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,32 +130,50 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(confirm, "a binary, b binary")
 
 
-def _open_pairs(nodes: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
-    """Pairs (a, b) of open nodes (node, n, part, minor) in different parts that can be similar; and scratch paths.
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bits that are set where an odd number of shingles falls on them."""
+    odd = np.bincount((shingles % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-    Shingles are ordered by the number of open sets that hold them. Similar sets share one of the first
-    n - ceil(n percent / 100) + 1 of either, and what can follow it must suffice for the overlap that similarity needs.
-    """
+
+def _shredded(texts: DataFrame) -> DataFrame:
+    """(node, shingles, s0, s1, ...): the sets of the texts with their sketches."""
+    sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
             for node, text in zip(batch.column(0), batch.column(1), strict=True):
                 found = shingle(text.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(found), pa.binary()), pa.array(found.view(np.int64))], ["node", "shingle"])
+                arrays = [pa.array([node.as_py()], pa.binary()), pa.array([found.view(np.int64)], pa.list_(pa.int64())), *(pa.array([word]) for word in parity_sketch(found))]
+                yield pa.RecordBatch.from_arrays(arrays, ["node", "shingles", *sketch])
+
+    return texts.mapInArrow(shred, "node binary, shingles array<long>, " + ", ".join(f"{c} long" for c in sketch))
 
-    shreds, shreds_path = table(texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(shred, "node binary, shingle long"), "shreds")
-    common, common_path = table(shreds.groupBy(F.col("shingle").alias("of")).agg(F.count("*").alias("holders")).filter("holders > 1"), "common")
-    held = shreds.join(common, F.col("shingle") == F.col("of")).select("node", "shingle", "holders")
+
+def _open_pairs(nodes: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
+    """Pairs (a, b) of open nodes (node, n, part, minor) in different parts that can be similar; and scratch paths.
+
+    Shingles are ordered by the number of open sets that hold them. Similar sets share one of the first
+    n - ceil(n percent / 100) + 1 of either, and what can follow it must suffice for the overlap that similarity needs.
+    """
+    sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
+    shreds, shreds_path = table(_shredded(texts.join(nodes.select("node"), "node", "left_semi")), "shreds")
+    common, common_path = table(shreds.select(F.explode("shingles").alias("of")).groupBy("of").agg(F.count("*").alias("holders")).filter("holders > 1"), "common")
+    held = shreds.select("node", F.explode("shingles").alias("shingle")).join(common, F.col("shingle") == F.col("of")).select("node", "shingle", "holders")
     by_node = W.partitionBy("node")
     ranked = held.select("node", "shingle", F.row_number().over(by_node.orderBy("holders", "shingle")).alias("rank"), F.count("*").over(by_node).alias("shared"))
-    placed = ranked.join(nodes, "node").withColumn("place", F.col("n") - F.col("shared") + F.col("rank"))
-    early, early_path = table(placed.filter(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")).select("node", "n", "part", "minor", "shingle", "place"), "early")
-    x = early.filter("minor").select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "part", "place")))
-    y = early.select(F.col("shingle").alias("of"), *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "part", "place", "minor")))
-    fits = (100 + percent) * (1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))) >= percent * (F.col("n_x") + F.col("n_y"))
+    known = nodes.join(shreds.select("node", *sketch), "node")
+    placed = ranked.join(known, "node").withColumn("place", F.col("n") - F.col("shared") + F.col("rank"))
+    early, early_path = table(placed.filter(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")).select("node", "n", "part", "minor", "shingle", "place", *sketch), "early")
+    x = early.filter("minor").select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "part", "place", *sketch)))
+    y = early.select(F.col("shingle").alias("of"), *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "part", "place", "minor", *sketch)))
+    both_sizes = F.col("n_x") + F.col("n_y")
+    fits = (100 + percent) * (1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))) >= percent * both_sizes
+    differ = reduce(add, (F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in sketch))
+    near = (100 + percent) * differ <= (100 - percent) * both_sizes
     once = ~F.col("minor_y") | (F.col("node_x") < F.col("node_y"))
-    pairs = x.join(y, (F.col("shingle") == F.col("of")) & (F.col("part_x") != F.col("part_y")) & once & fits)
+    pairs = x.join(y, (F.col("shingle") == F.col("of")) & (F.col("part_x") != F.col("part_y")) & once & fits & near)
     return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), [shreds_path, common_path, early_path]
 
 
@@ -167,14 +192,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes"
     )
     rows = classes.select("node", "n", F.posexplode("bands").alias("at", "band"))
-    rows = rows.select("band", "node", "n", F.struct(F.xxhash64("node", F.col("at") % ORDERS).alias("order"), "node", "n").alias("ranked"))
-    bucket = W.partitionBy("band")
-    met = rows.select("*", F.min("ranked").over(bucket).alias("centre"), F.count("*").over(bucket).alias("members")).filter("members > 1")
-    met, met_path = table(met.select("band", "node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("n_centre")), "met")
+    rows = rows.select("band", "node", "n", F.xxhash64("node", F.col("at") % ORDERS).alias("drawn"))
+    # A bucket of any size is one count and one minimum, combined before the shuffle; the centre is the member that drew the least.
+    shared = rows.groupBy(F.col("band").alias("of")).agg(F.count("*").alias("members"), F.min("drawn").alias("least")).filter("members > 1")
+    shared, shared_path = table(shared.select("of", "least"), "shared")
+    met, met_path = table(rows.join(shared, F.col("band") == F.col("of")).select("band", "node", "n", (F.col("drawn") == F.col("least")).alias("central")), "met")
+    centres, centres_path = table(met.filter("central").select(F.col("band").alias("of"), F.col("node").alias("centre"), F.col("n").alias("n_centre")), "centres")
     sizes = lambda x, y: (100 * F.least(x, y)) >= percent * F.greatest(x, y)
     wanted = classes.select("node", "doc_id").join(met.select("node").distinct(), "node", "left_semi")
     texts, texts_path = table(_texts(docs, wanted), "texts")
-    starred = met.filter(F.col("node") != F.col("centre")).filter(sizes(F.col("n"), F.col("n_centre")))
+    starred = met.filter(~F.col("central")).join(centres, F.col("band") == F.col("of")).filter(sizes(F.col("n"), F.col("n_centre")))
     starred, starred_path = table(starred.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "pairs")
     links, links_path = table(_confirmed(starred, texts, percent), "links")
     joined, joined_path = components(links)
@@ -188,15 +215,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rest, rest_paths = _open_pairs(open_rows, texts, percent)
     rest, rest_path = table(rest.join(starred, ["a", "b"], "left_anti"), "rest")
     more, more_path = table(_confirmed(rest, texts, percent), "more")
-    drop(spark, met_path, starred_path, inside_path, mixed_path, open_path, rest_path, *rest_paths)
+    drop(spark, shared_path, met_path, centres_path, starred_path, inside_path, mixed_path, open_path, rest_path, *rest_paths)
     if not more.isEmpty():
         drop(spark, joined_path)
         joined, joined_path = components(links.union(more))
     drop(spark, texts_path, links_path, more_path)
     parts = classes.select("node", "doc_id").join(joined.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "doc_id", F.coalesce("label", "node").alias("part"))
-    least = parts.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    named, _ = table(parts.join(least, "part").select(F.col("node").alias("of"), "component_id", "part"), "named")
-    drop(spark, classes_path, joined_path)
+    # Written first, so that a part that holds much of the corpus is dealt directly under the join and can be split.
+    parts, parts_path = table(parts, "parts")
+    least, least_path = table(parts.groupBy(F.col("part").alias("of_part")).agg(F.min("doc_id").alias("component_id")), "least")
+    named, _ = table(parts.join(least, F.col("part") == F.col("of_part")).select(F.col("node").alias("of"), "component_id", "part"), "named")
+    drop(spark, classes_path, joined_path, parts_path, least_path)
     found = signed.select("doc_id", "text_hash", "n_shingles", "node").join(named, F.col("node") == F.col("of"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
