@@ -2,12 +2,15 @@
 
 import collections
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
+from tidemark.llm import packing
 from tidemark.llm.packing import Encoder, best_two_fit, default_tokenizer, pack
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("piece", T.StringType())])
@@ -48,20 +51,30 @@ def test_plan(seed):
     assert abs(sum(times for times, _ in plan) - len(one_at_a_time(sizes, 40))) <= 1
 
 
-def test_encoder_equals_plain_encoding():
-    encode, pick = Encoder(default_tokenizer()), random.Random(2)
-    signs = [" ", "  ", "\n", "\t", "a", "Zq", "é", "1", "!!", "don't", "'s", "　", "的", "<|endoftext|>", "\x1c", "\r\n", "##", "ß."]
-    for _ in range(3000):
+def plain_ids(tokenizer, text):
+    return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_equals_a_fresh_tokenizer(special_as_text, monkeypatch):
+    monkeypatch.setattr(packing, "UNCUT", re.compile(r"\S{30}|\s{30}"))
+    monkeypatch.setattr(packing, "LONG_RUN", 30)
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    tokenizer.encode_special_tokens = special_as_text
+    encode, pick = Encoder(default_tokenizer(), special_as_text), random.Random(2)
+    signs = [" ", "  ", "\n", "\t", "a", "Zq", "é", "1", "!!", "don't", "'s", "　", "的", "<|endoftext|>", "\x1c", "\x85", "\r\n", "##", "ß.", "٣", "😀", "é", "abcdefghijk" * 4]
+    for _ in range(4000):
         text = "".join(pick.choice(signs) for _ in range(pick.randint(0, 12)))
-        assert encode(text) == encode.plain(text), text
+        assert encode(text) == plain_ids(tokenizer, text), text
+    assert (plain_ids(tokenizer, "<|endoftext|>") == (50256).to_bytes(4, "little")) != special_as_text
 
 
 def test_pack(spark):
-    rows = [(k, "word " * (k * 13 % 700), "x") for k in range(200)] + [(500, None, "x"), (501, "", None), (None, "x y", "x"), (502, "long text, " * 9000, "x"), (3, "word " * 39, "x"), (3, "word " * 39, "x")]
+    rows = [(k, "word " * (k * 13 % 700), "x") for k in range(200)] + [(500, None, "x"), (501, "", None), (None, "x y", "x"), (502, "long text, " * 9000, "x"), (3, "word " * 39, "x"), (3, "word " * 39, "x"), (503, "a <|endoftext|>b<|endoftext|>", "x")]
     found = pack(spark.createDataFrame(rows, SCHEMA)).collect()
-    encode, wanted = Encoder(default_tokenizer()), collections.Counter()
+    tokenizer, wanted = Tokenizer.from_file(default_tokenizer()), collections.Counter()
     for doc_id, text, _ in rows:
-        ids = encode.plain(text or "") + (2).to_bytes(4, "little")
+        ids = plain_ids(tokenizer, text or "") + (2).to_bytes(4, "little")
         n, start, piece = len(ids) // 4, 0, 0
         while start < n:
             length = min(n, 1024) if n <= 1024 else (n % 1024 or 1024) if start == 0 else 1024
