@@ -1,5 +1,7 @@
 """Mixing: targets, whole words, caps and reruns on awkward rows."""
 
+import heapq
+import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -76,3 +78,23 @@ def test_uneven_shares_are_exact(spark):
     parts = spark.createDataFrame([(k, 100_000 if k == 0 else 20, 1875) for k in range(1000)], "shard int, words long, blocks long")
     found = mixing._seats(parts.withColumn("k", F.lit("a")), ["k"], "words", "blocks", F.floor(F.col("words") * 3 / 64).cast("long"), ["shard"])
     assert [(r.shard, r.quota) for r in found.filter("quota > 0").collect()] == [(0, 1875)]
+
+
+def test_seats_equal_one_seat_at_a_time(spark):
+    """Quotas by divisors against a heap that gives each seat to the highest next quotient."""
+    pick = random.Random(4)
+    rows = [(group, part, size, blocks) for group, blocks in enumerate((0, 1, 7, 250, 400, 90)) for part, size in enumerate([10_000, *(pick.choice([0, 1, 30, 30, 64, pick.randint(1, 5000)]) for _ in range(200))])]
+    parts = spark.createDataFrame(rows, "k int, shard int, words long, blocks long")
+    found = {(r.k, r.shard): r.quota for r in mixing._seats(parts, ["k"], "words", "blocks", F.floor(F.col("words") * 3 / 64).cast("long"), ["shard"]).collect()}
+    for group in range(6):
+        own = {shard: words for k, shard, words, _ in rows if k == group}
+        seats, given = next(r[3] for r in rows if r[0] == group), dict.fromkeys(own, 0)
+        heap = [(-words, shard) for shard, words in own.items() if words * 3 // 64]
+        heapq.heapify(heap)
+        while seats and heap:
+            _, shard = heapq.heappop(heap)
+            given[shard] += 1
+            seats -= 1
+            if given[shard] < own[shard] * 3 // 64:
+                heapq.heappush(heap, (-own[shard] / (2 * given[shard] + 1), shard))
+        assert {shard: found[group, shard] for shard in own} == given

@@ -1,6 +1,10 @@
-"""DuckDB SQL for the mixing query."""
+"""DuckDB SQL for the mixing query.
 
-from tidemark.llm.mixing import BLOCK_WORDS, MOST_PASSES, MOST_SHARDS, SHARD_ROWS
+Seats are stated plainly: every quotient of every source, and of every shard, is listed and the highest win. Nothing is
+searched for, so the statement shares no step with the divisors of the Spark code; only the rule is the same.
+"""
+
+from tidemark.llm.mixing import BLOCK_WORDS, MOST_PASSES, MOST_SHARDS, SHARD_BLOCKS, SHARD_ROWS
 
 SQL = rf"""
 WITH sized AS (
@@ -8,36 +12,49 @@ WITH sized AS (
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS drawn
   FROM documents),
-s AS (SELECT least({MOST_SHARDS}, greatest(1, ((SELECT count(*) FROM sized) + {SHARD_ROWS - 1}) // {SHARD_ROWS})) AS shards),
-d AS (SELECT sized.*, ('0x' || substr(drawn, 9, 8))::BIGINT % shards AS shard FROM sized, s),
-src AS (SELECT k, sum(size)::BIGINT AS source_size FROM d GROUP BY k),
-o AS (SELECT *, row_number() OVER (ORDER BY k = 'null', k) - 1 AS at_ FROM src),
-w AS (SELECT *, [5, 2, 1][(at_ % 3) + 1]::BIGINT AS weight, {MOST_PASSES} * source_size AS cap, sum(source_size) OVER ()::BIGINT AS total FROM o),
-l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
-             / (sum(weight) OVER (ORDER BY cap / weight, at_ ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
-t AS (SELECT k, source_size, total, least(cap::DOUBLE, max(level) OVER () * weight) AS target FROM l),
-b AS (SELECT *, round(total / {BLOCK_WORDS})::BIGINT AS m, ceil((SELECT count(*) FROM t) / 2)::BIGINT + 1 AS margin FROM t),
-b2 AS (SELECT *, greatest(0, floor(coalesce(m * target / nullif(sum(target) OVER (), 0), 0))::BIGINT - margin) AS low FROM b),
-b3 AS (SELECT *, m - sum(low) OVER () AS open_ FROM b2),
-q1 AS (SELECT k, open_, target, unnest(range(low, low + 2 * margin + 1)) AS n FROM b3),
-q2 AS (SELECT k, open_, target, row_number() OVER (ORDER BY target / (2 * n + 1) DESC, k) AS r FROM q1),
-q3 AS (SELECT k, count(*) FILTER (r <= open_ AND target > 0) AS given FROM q2 GROUP BY k),
-bs AS (SELECT b3.k, source_size, target, low + given AS blocks FROM b3 JOIN q3 USING (k)),
-g AS (SELECT k, shard, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
-g1 AS (SELECT g.*, source_size, target, blocks FROM g JOIN bs USING (k)),
-g2 AS (SELECT *, greatest(0, floor(coalesce(blocks * words / nullif(sum(words) OVER (PARTITION BY k), 0), 0))::BIGINT - 2) AS low FROM g1),
-g3 AS (SELECT *, blocks - sum(low) OVER (PARTITION BY k) AS open_ FROM g2),
-h1 AS (SELECT k, shard, open_, words, unnest(range(low, low + 5)) AS n FROM g3),
-h2 AS (SELECT k, shard, open_, words, row_number() OVER (PARTITION BY k ORDER BY words / (2 * n + 1) DESC, shard) AS r FROM h1),
-h3 AS (SELECT k, shard, count(*) FILTER (r <= open_ AND words > 0) AS given FROM h2 GROUP BY ALL),
-q AS (SELECT g3.k, g3.shard, source_size, target, words, least((low + given) * {BLOCK_WORDS}, {MOST_PASSES} * words) AS wanted,
-             (('0x' || substr(md5('mix-1:' || g3.k || ':' || g3.shard::VARCHAR), 1, 8))::BIGINT % greatest(1, ceil(words / {BLOCK_WORDS})::BIGINT)) * {BLOCK_WORDS} AS start_
-      FROM g3 JOIN h3 USING (k, shard)),
-p AS (SELECT d.doc_id, d.size, q.*, sum(d.size) OVER (PARTITION BY d.k, d.shard ORDER BY d.drawn, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS end_,
-             CASE WHEN words > 0 THEN wanted // words ELSE 0 END AS passes, CASE WHEN words > 0 THEN wanted % words ELSE 0 END AS rest
-      FROM d JOIN q ON d.k = q.k AND d.shard = q.shard)
+most AS (SELECT least({MOST_SHARDS}, greatest(1, (count(*) + {SHARD_ROWS - 1}) // {SHARD_ROWS})) AS most_shards FROM sized),
+src AS (SELECT k, sum(size)::BIGINT AS source_size FROM sized GROUP BY k),
+weighed AS (
+  SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY k = 'null', k) - 1) % 3) + 1] AS weight, {MOST_PASSES} * source_size AS cap, sum(source_size) OVER ()::BIGINT AS total,
+         row_number() OVER (ORDER BY k = 'null', k) AS at_
+  FROM src),
+-- With the sources in the order in which they reach their caps, the level is highest where the last capped one ends.
+levels AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+            / (sum(weight) OVER (ORDER BY cap / weight, at_ ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM weighed),
+targets AS (
+  SELECT k, source_size, least(cap::DOUBLE, max(level) OVER () * weight) AS target, round(total / {BLOCK_WORDS})::BIGINT AS seats,
+         greatest(1, least((SELECT most_shards FROM most), source_size // {BLOCK_WORDS * SHARD_BLOCKS}))::BIGINT AS shards
+  FROM levels),
+source_quotients AS (SELECT k, seats, target, unnest(range(0, seats)) AS s FROM targets WHERE target > 0),
+source_seats AS (
+  SELECT k, count(*) AS blocks
+  FROM (SELECT k, seats, row_number() OVER (ORDER BY target / (2 * s + 1) DESC, k) AS place FROM source_quotients) WHERE place <= seats GROUP BY k),
+sources AS (SELECT targets.*, coalesce(blocks, 0) AS blocks FROM targets LEFT JOIN source_seats USING (k)),
+dealt AS (
+  SELECT sized.*, source_size, target, blocks, ('0x' || substr(drawn, 9, 8))::BIGINT % shards AS shard
+  FROM sized JOIN sources USING (k)),
+shard_words AS (SELECT k, shard, blocks, sum(size)::BIGINT AS words FROM dealt WHERE size > 0 GROUP BY ALL),
+shard_quotients AS (SELECT *, unnest(range(0, {MOST_PASSES} * words // {BLOCK_WORDS})) AS s FROM shard_words),
+shard_seats AS (
+  SELECT k, shard, count(*) AS quota
+  FROM (SELECT k, shard, blocks, row_number() OVER (PARTITION BY k ORDER BY words / (2 * s + 1) DESC, shard) AS place FROM shard_quotients) WHERE place <= blocks GROUP BY ALL),
+quotas AS (SELECT w.*, coalesce(quota, 0) AS quota, {MOST_PASSES} * words - coalesce(quota, 0) * {BLOCK_WORDS} AS room FROM shard_words w LEFT JOIN shard_seats USING (k, shard)),
+-- Words of blocks that no shard holds whole fill the shards' room, those with the highest next quotient first.
+filled AS (
+  SELECT *, quota * {BLOCK_WORDS} + greatest(0, least(room, (blocks - sum(quota) OVER (PARTITION BY k)) * {BLOCK_WORDS}
+         - coalesce(sum(room) OVER (PARTITION BY k ORDER BY words / (2 * quota + 1) DESC, shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS wanted
+  FROM quotas),
+circles AS (
+  SELECT k, shard, words, wanted // words AS passes, wanted % words AS rest,
+         (('0x' || substr(md5('mix-1:' || k || ':' || shard::VARCHAR), 1, 8))::BIGINT % ceil(words / {BLOCK_WORDS})::BIGINT) * {BLOCK_WORDS} AS start_
+  FROM filled),
+placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY k, shard ORDER BY drawn, doc_id, size ROWS UNBOUNDED PRECEDING) AS end_ FROM dealt WHERE size > 0)
 SELECT doc_id, size, source_size, target,
        (passes * size + greatest(0, least(end_, start_ + rest, words) - greatest(end_ - size, start_))
         + greatest(0, least(end_, start_ + rest - words) - greatest(end_ - size, 0)))::BIGINT AS taken
-FROM p
+FROM placed JOIN circles USING (k, shard)
+UNION ALL SELECT doc_id, size, source_size, target, 0 FROM dealt WHERE size = 0
 """
