@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy on the given labels, awkward rows, and the grammar clause by clause."""
 
+import random
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import quality as Q
 from tidemark.llm import toxicity as X
+from tidemark.llm.labelled import sample
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("label", T.StringType()), T.StructField("score", T.StringType())])
 DATA = "/root/testdata/sf0.01"
@@ -45,6 +47,44 @@ def test_grammar():
     assert raw("she said idiot") < raw("she left. idiot")
     assert raw("kill time") == 0 and raw("I will kill you") > 1
     assert raw("not. idiot") == 1.0
+    assert raw("you are such an idiot") == raw("idiot as you all are") == X.INSULT["I"] + X.TARGETED["I"]
+    assert raw("never kill you") == raw("he said kill you") == 0
+
+
+def written(machine, signs):
+    """Every path of one transducer: (what it writes, its weight)."""
+    paths = [(machine.start, "", 0.0)]
+    for sign in signs:
+        paths = [(target, text + wrote, total + weight) for state, text, total in paths for wrote, weight, target in machine.arcs.get((state, sign), ())]
+    return {(text, round(total, 9)) for state, text, total in paths if state in machine.final}
+
+
+def test_clause_weights_equal_path_enumeration():
+    pick = random.Random(6)
+    for _ in range(300):
+        signs = "".join(pick.choice("IiVTNR....") for _ in range(pick.randint(0, 14)))
+        paths = {(signs, 0.0)}
+        for machine in X.machines():
+            paths = {(text, round(total + more, 9)) for before, total in paths for text, more in written(machine, before)}
+        assert abs(X.clause_weight(signs) - max(total for _, total in paths)) < 1e-9, signs
+
+
+def test_scores_are_summed_clauses():
+    """A text's score from the enumeration of its clauses, word by word, against the query's function."""
+    lexicon = X.Lexicon(frozenset({"gruf"}), frozenset({"meh"}), (-2.0, 3.0))
+    grammar, kinds = X.Grammar(lexicon), {"gruf": "I", "meh": "i", "you": "T", "not": "N", "said": "R", "kill": "V", "lamp": "."}
+    pick = random.Random(8)
+    for _ in range(200):
+        clauses = [[pick.choice(list(kinds)) for _ in range(pick.randint(0, 8))] for _ in range(pick.randint(0, 5))]
+        total = 0.0
+        for clause in clauses:
+            paths = {("".join(kinds[w] for w in clause), 0.0)}
+            for machine in X.machines():
+                paths = {(text, x + more) for before, x in paths for text, more in written(machine, before)}
+            total += max(x for _, x in paths)
+        text = pick.choice([". ", "\n", ", "]).join(map(" ".join, clauses))
+        assert abs(grammar.raw(text) - total) < 1e-6
+        assert abs(grammar.score(grammar.raw(text)) - 1 / (1 + np.exp(2 - 3 * np.log1p(total)))) < 1e-6
 
 
 def test_pool_and_chunks():
@@ -56,3 +96,29 @@ def test_pool_and_chunks():
     finally:
         Q.CHUNK = old
     assert np.allclose(small, Q.pool(ids, vectors), atol=1e-4)
+
+
+def test_pooled_scores_equal_a_plain_network():
+    """Scores against features and layers written out one number at a time."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(300, Q.FEATURES))
+    network = Q.train(x, (x[:, 0] + x[:, 3] > 0).astype(float))
+    for row, score in zip(x[:20], network.scores(x[:20]), strict=True):
+        z = [(row[k] - network.centre[k]) / network.scale[k] for k in range(Q.FEATURES)] + [1.0]
+        hidden = [np.tanh(sum(z[k] * network.first[k, h] for k in range(len(z)))) for h in range(Q.HIDDEN)] + [1.0]
+        logit = sum(hidden[h] * network.second[h] for h in range(len(hidden))) / network.temperature
+        assert abs(score - 1 / (1 + np.exp(-logit))) < 1e-9
+    ids, vectors = draw.integers(0, 50, 40), draw.normal(size=(Q.BUCKETS, Q.DIM)).astype(np.float32)
+    found, rows = Q.pool(ids, vectors), [vectors[k].astype(float) for k in ids]
+    mean = sum(rows) / 40
+    spread = [np.sqrt(sum((r[d] - mean[d]) ** 2 for r in rows) / 40) for d in range(Q.DIM)]
+    alike = sum(float(a @ b) for a, b in zip(rows[:-1], rows[1:], strict=True)) / 40
+    same = sum(a == b for a, b in zip(ids[:-1], ids[1:], strict=True)) / 40
+    assert np.allclose(found, [*mean, *spread, alike, same, len(set(ids.tolist())) / 40, np.log1p(40)], atol=1e-4)
+
+
+def test_samples_are_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k}") for k in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
+    found = [r.doc_id for r in sample(docs, labels, "quality", 5, 0, rows=10).collect()]
+    assert len(found) == len(set(found)) == 10

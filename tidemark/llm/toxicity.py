@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become signs of an alphabet (insult, weak insult, threat, target, negation, report, clause end, other). Transducers
-rewrite the sign string one after the other: negation and reported speech damp the insults they reach, targets sharpen
-them, threats count with a target. What remains is summed over the matched clauses and calibrated to a probability.
+A clause is a string of signs: insult, weak insult, threat, target, negation, report, other. Five transducers are composed
+to one: insults carry weight, a negation before them and reported speech damp them, a target nearby sharpens them, and a
+threat counts only with a target nearby. The weight of a clause is that of the best path over it; words enter only through
+the signs on the arcs. A document's clause weights are summed and calibrated to a probability.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Memo, written
 from tidemark.llm.labelled import held_out, sample
+from tidemark.llm.transducers import Arc, Transducer
 
 # Words of the grammar's classes in English, German, French and Spanish.
 INSULTS = """
@@ -33,17 +36,16 @@ NEGATIONS = "not never no isn't aren't wasn't don't nobody nicht kein keine nie
 REPORTS = "said says say wrote quoted quote called reported sagte sagt schrieb zitierte dit disait écrit dijo dice escribió".split()
 
 PREFIXES = (4, 5, 6)
-#: A learned feature needs so many toxic documents and such log odds; at most so many are kept, the most frequent first.
-LEAST_TOXIC, LEAST_ODDS, STRONG_ODDS, MOST_FEATURES = 5, 3.5, 4.5, 4000
+#: A learned feature needs so many toxic documents and such log odds.
+LEAST_TOXIC, LEAST_ODDS, STRONG_ODDS = 5, 3.5, 4.5
 SIGN = {"insult": "I", "weak": "i", "threat": "V", "target": "T", "negation": "N", "report": "R", "end": "|"}
-#: Order of the transducers: (pattern, what it writes). Lower letters are damped insults: n negated, r reported; S is a sharpened one, W a threat that has a target.
-TRANSDUCERS = [
-    (re.compile(r"(?<=N)(\.{0,2})[Ii]|(?<=N)(\.{0,2}T\.?)[Ii]"), lambda m: (m[1] if m[1] is not None else m[2]) + "n"),
-    (re.compile(r"(R[^|R]*)"), lambda m: re.sub("[Ii]", "r", m[1])),
-    (re.compile(r"T[^|TIi]{0,4}[Ii]|[Ii][^|TIi]{0,3}T"), lambda m: re.sub("[Ii]", lambda x: "S" if x[0] == "I" else "I", m[0])),
-    (re.compile(r"V\.{0,3}T|T\.{0,2}V"), lambda m: m[0].replace("V", "W")),
-]
-WEIGHTS = {"I": 1.0, "i": 0.5, "S": 1.3, "n": 0.4, "r": 0.6, "W": 1.5}
+SIGNS = "IiVTNR."
+#: Weights: of an insult and a weak one; what a negation, a report and a target add to each; of a threat that has a target.
+INSULT, NEGATED, REPORTED, TARGETED, THREAT = {"I": 1.0, "i": 0.5}, {"I": -0.6, "i": -0.3}, {"I": -0.4, "i": -0.2}, {"I": 0.3, "i": 0.5}, 1.5
+#: How many words a negation reaches; how far a target is before or after an insult, and before or after a threat.
+NEGATION_REACH, TARGET_BEFORE, TARGET_AFTER, THREAT_REACH = 3, 4, 4, 4
+LONGEST_REACH = 5
+FAR = re.compile(rf"\.{{{LONGEST_REACH},}}")
 PART = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.,;:!?|\x00]")
 
 
@@ -56,11 +58,81 @@ class Lexicon:
     calibration: tuple[float, float] = (-3.0, 4.0)
 
 
+def _insults() -> Transducer:
+    """Insults keep their sign and carry their weight."""
+    return Transducer.of(0, [0], [(0, sign, sign, INSULT.get(sign, 0.0), 0) for sign in SIGNS])
+
+
+def _negations() -> Transducer:
+    """The state is how many more words a negation reaches. Insults it reaches are damped (n), threats are none."""
+    arcs: list[Arc] = []
+    for left in range(NEGATION_REACH + 1):
+        for sign in SIGNS:
+            if sign == "N":
+                arcs.append((left, "N", "N", 0.0, NEGATION_REACH))
+            elif left and sign in NEGATED:
+                arcs.append((left, sign, "n", NEGATED[sign], left - 1))
+            else:
+                arcs.append((left, sign, "." if left and sign == "V" else sign, 0.0, max(0, left - 1)))
+    return Transducer.of(0, range(NEGATION_REACH + 1), arcs)
+
+
+def _reports() -> Transducer:
+    """After a word of reporting the rest of the clause is another's: insults are damped (r), threats are none."""
+    before = [(0, sign, sign, 0.0, int(sign == "R")) for sign in SIGNS + "n"]
+    after = [(1, sign, "r" if sign in REPORTED else "." if sign == "V" else sign, REPORTED.get(sign, 0.0), 1) for sign in SIGNS + "n"]
+    return Transducer.of(0, [0, 1], before + after)
+
+
+def _near_target(weights: dict[str, float], wrote: str, before: int, after: int, unmatched: str, signs: str) -> Transducer:
+    """Signs with a target within reach on either side are written anew and gain weight.
+
+    State (k, "seen"): a target was read at most before - k words ago. State (k, "due"): a path has counted on a target that
+    must come within k words; it is not final. Both ways are open to a sign that no target precedes; the best path decides.
+    """
+    free, arcs = (0, "seen"), []
+    for k, kind in [(k, "seen") for k in range(before + 1)] + [(k, "due") for k in range(1, after + 1)]:
+        on = (k - 1, kind) if k > (kind == "due") else free if kind == "seen" else None
+        for sign in signs:
+            if sign == "T":
+                arcs.append(((k, kind), "T", "T", 0.0, (before, "seen")))
+                continue
+            matched = sign in weights
+            if on and (kind == "due" or k):
+                arcs.append(((k, kind), sign, wrote if matched else sign, weights.get(sign, 0.0), on))
+            elif on:
+                arcs.append(((k, kind), sign, unmatched or sign if matched else sign, 0.0, free))
+                if matched:
+                    arcs.append(((k, kind), sign, wrote, weights[sign], (after, "due")))
+    return Transducer.of(free, [(k, "seen") for k in range(before + 1)], arcs)
+
+
+def machines() -> list[Transducer]:
+    """The transducers in the order of their composition."""
+    targets = _near_target(TARGETED, "S", TARGET_BEFORE, TARGET_AFTER, "", SIGNS + "nr")
+    threats = _near_target({"V": THREAT}, "W", THREAT_REACH, THREAT_REACH, ".", SIGNS + "nrS")
+    return [_insults(), _negations(), _reports(), targets, threats]
+
+
+@cache
+def clause_grammar() -> Transducer:
+    """All transducers composed to one."""
+    return reduce(lambda one, next_one: one.then(next_one, SIGNS), machines())
+
+
+def clause_weight(signs: str) -> float:
+    """The weight of the best path over a clause. Other words beyond every reach change nothing, so they are cut short."""
+    return clause_grammar().best(FAR.sub("." * LONGEST_REACH, signs.strip(".")))
+
+
 class Grammar:
+    """The signs of a text's words, by fixed words and a learned lexicon, and the weights of its clauses."""
+
     def __init__(self, lexicon: Lexicon):
         self.classes = {w: SIGN[name] for name, words in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", THREATS), ("insult", INSULTS)) for w in words}
         self.lexicon = lexicon
         self.signs = Memo(self._signs_of)
+        self.clauses = Memo(clause_weight)
 
     def _sign(self, word: str) -> str:
         if word in self.classes:
@@ -72,13 +144,11 @@ class Grammar:
         return "".join("|" if part in ".,;:!?|\x00" else self._sign(part) for part in PART.findall(token))
 
     def raw(self, text: str | None) -> float:
-        """The summed weights of the matched clauses."""
+        """The summed weights of the clauses."""
         signs = "".join(map(self.signs.__getitem__, (text or "").lower().replace("\n", " \x00 ").split()))
         if not ("I" in signs or "i" in signs or "V" in signs):
             return 0.0
-        for pattern, write in TRANSDUCERS:
-            signs = pattern.sub(write, signs)
-        return sum(weight * signs.count(sign) for sign, weight in WEIGHTS.items())
+        return sum(self.clauses[clause.strip(".")] for clause in signs.split("|") if "I" in clause or "i" in clause or "V" in clause)
 
     def score(self, raw: float) -> float:
         a, b = self.lexicon.calibration
@@ -111,7 +181,8 @@ def _calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1, rows: int | None = None) -> Lexicon:
     """Learns insults and the calibration from at most ``rows`` (SAMPLE_ROWS) labelled documents that are not held out.
 
-    Near copies of one document count once. Without labels the fixed words and the default calibration remain.
+    Near copies of one document count once. Without labels the fixed words and the default calibration remain. What the
+    driver gets are features of that bounded sample which at least LEAST_TOXIC toxic documents hold.
     """
     known = sample(docs.select("doc_id", "text"), labels, "toxic", modulus, rest, *([rows] if rows else []))
     known = written(known.select("text", F.col("label").cast("int").alias("label")), "labelled")
@@ -123,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1, row
     counts = single.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1))
     likely = counts.withColumn("odds", odds).filter((F.col("t") >= max(LEAST_TOXIC, 0.004 * toxic)) & (F.col("odds") >= LEAST_ODDS))
-    kept = likely.orderBy(F.desc("t"), "feature").limit(MOST_FEATURES).collect()
+    kept = likely.select("feature", "odds").collect()
     lexicon = Lexicon(frozenset(r.feature for r in kept if r.odds >= STRONG_ODDS), frozenset(r.feature for r in kept if r.odds < STRONG_ODDS))
     if not toxic or not clean:
         return lexicon
@@ -141,7 +212,7 @@ def _raws(lexicon: Lexicon):
 
 
 def score(docs: DataFrame, lexicon: Lexicon, carry: list[str] | None = None) -> DataFrame:
-    """doc_id and score, 0 to 1, of every whole text; null and empty texts get the score of no match. ``carry`` adds columns."""
+    """doc_id and toxicity_score, 0 to 1, of every whole text; null and empty texts get the score of no match. ``carry`` adds columns."""
     columns = ["doc_id", "text", *(c for c in carry or [] if c not in ("doc_id", "text"))]
     chosen, out = docs.select(*columns), ["doc_id", *(carry or [])]
     out = list(dict.fromkeys(out))
@@ -157,6 +228,10 @@ def score(docs: DataFrame, lexicon: Lexicon, carry: list[str] | None = None) ->
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1, threshold: float = 0.7) -> DataFrame:
-    """Per document of docs (doc_id, text): doc_id, held_out, score, predicted. Rows that repeat are scored each; empty tables give no rows."""
+    """Per document of docs (doc_id, text; others are ignored): doc_id, held_out, score, predicted.
+
+    Null and empty texts get the score of no match. Rows that repeat are scored each, also of a null doc_id; equal texts get
+    equal scores. An empty table gives no rows; without labels the fixed words decide.
+    """
     found = score(docs, fit(docs, labels, modulus, rest))
     return found.select("doc_id", held_out(modulus, rest).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= threshold).cast("int").alias("predicted"))
