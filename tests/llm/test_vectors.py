@@ -3,8 +3,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import types as T
 
+from tidemark.llm import pivot_search, vantage
+from tidemark.llm import vectors as vectors_
 from tidemark.llm.pivot_search import top_k
 from tidemark.llm.vantage import build_index, nearest
 
@@ -23,7 +26,18 @@ def good(rows, zero=True):
     return [(i, np.array(v, np.float64)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and (zero or np.any(v))]
 
 
-def test_top_k_is_exact(spark):
+def small_cells(monkeypatch):
+    """Several cells of several shards, as large tables have them."""
+    for module in (pivot_search, vantage):
+        monkeypatch.setattr(module, "CELL_ROWS", 150)
+    monkeypatch.setattr(vectors_, "SHARD_ROWS", 60)
+    monkeypatch.setattr(vectors_, "QUERY_BLOCK", 3)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_top_k_is_exact(spark, monkeypatch, small):
+    if small:
+        small_cells(monkeypatch)
     rows = vectors()
     frame = spark.createDataFrame(rows, SCHEMA)
     whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in good(rows)]
@@ -35,7 +49,10 @@ def test_top_k_is_exact(spark):
     assert sorted(map(tuple, found)) == sorted(wanted)
 
 
-def test_nearest_recall_and_exact_factor(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_nearest_recall_and_exact_factor(spark, monkeypatch, small):
+    if small:
+        small_cells(monkeypatch)
     rows = vectors()
     frame = spark.createDataFrame(rows, SCHEMA)
     index, known = build_index(frame), good(rows, zero=False)
@@ -52,6 +69,51 @@ def test_nearest_recall_and_exact_factor(spark):
     assert len(found & pairs) >= 0.9 * len(pairs)
 
 
+def test_ties_beyond_k_go_to_the_smallest_ids(spark, monkeypatch):
+    small_cells(monkeypatch)
+    draw = np.random.default_rng(5)
+    one = draw.normal(size=8)
+    rows = [(k, one.tolist() if k % 3 == 0 else (one * 2.0 ** (k % 7)).tolist() if k % 3 == 1 and k % 2 else draw.normal(size=8).tolist(), "x") for k in range(900)]
+    frame = spark.createDataFrame(rows, T.StructType([SCHEMA[0], T.StructField("embedding", T.ArrayType(T.DoubleType())), SCHEMA[2]]))
+    index, known = build_index(frame), good(rows)
+    ids, points = np.array([i for i, _ in known]), np.array([v for _, v in known])
+    for factor in (1.0, 1.5):
+        found = {}
+        for r in nearest(frame.filter("vec_id % 50 = 0"), index, factor=factor).collect():
+            found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        for q, v in ((i, v) for i, v in known if i % 50 == 0):
+            score = vantage.cosines(np.broadcast_to(v, points.shape), points)
+            order = [k for k in np.lexsort((ids, -score)) if ids[k] != q][:5]
+            if factor == 1.0 or q % 3 == 0:
+                assert [(n + 1, int(ids[k]), score[k]) for n, k in enumerate(order)] == sorted(found[q])
+
+
+def test_recall_on_the_given_embeddings(spark):
+    """Against brute force over all rows of the table."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    known = good([(r.vec_id, r.embedding, None) for r in frame.collect()], zero=False)
+    ids, points = np.array([i for i, _ in known]), np.array([v for _, v in known])
+    found, hits, total = {(r.query_id, r.vec_id) for r in nearest(frame.filter("vec_id % 50 = 0"), build_index(frame)).collect()}, 0, 0
+    for q, v in ((i, v) for i, v in known if i % 50 == 0):
+        score = vantage.cosines(np.broadcast_to(v, points.shape), points)
+        wanted = [int(ids[k]) for k in np.lexsort((ids, -score)) if ids[k] != q][:5]
+        hits, total = hits + sum((q, i) in found for i in wanted), total + len(wanted)
+    assert total and hits >= 0.95 * total
+
+
+def test_top_k_beyond_doubles(spark):
+    """Products over 2**53 stay exact."""
+    rows = [(k, [float(2**19 + k), float(2**18 + 7 * k), 1.0 + k]) for k in range(250)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    wanted = []
+    for q, v in whole[::100]:
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)
+        wanted += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:10])]
+    assert max(r[3] for r in wanted) > 2**53
+    assert sorted(map(tuple, top_k(frame.filter("vec_id % 100 = 0"), frame).collect())) == sorted(wanted)
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert top_k(none, none).count() == 0

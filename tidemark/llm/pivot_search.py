@@ -2,7 +2,8 @@
 
 Every vector keeps its distances to some pivots. They bound a query's distance to a candidate from below, by the greatest
 difference over the pivots, and so its inner product from above. Candidates are evaluated in the order of that bound,
-until it falls below the k-th score found.
+until it falls below the k-th score found. Cells of candidates whose centre and radius cannot reach that score are not
+read for a query at all.
 """
 
 from __future__ import annotations
@@ -16,29 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
-from tidemark.llm.vectors import QUERY_BLOCK, best, in_blocks, shards_of, usable
+from tidemark.llm.vectors import CELL_ROWS, KEYS, MOST_CELLS, asked_once, best, celled, meetings, sharded, spread_out, usable, visits, with_kth
 
 SCALE = 1024
 PIVOTS = 24
-#: Vectors from which the pivots are chosen; the choice affects speed only.
-PIVOT_SAMPLE = 2000
 STEP = 256
 
 
-def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> dict[int, np.ndarray]:
-    """By dimension: vectors far from one another, out of a bounded sample in hashed order."""
-    rows = vectors.select("vec_id", "v", "dim").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()
-    found = {}
-    for dim in {r.dim for r in rows}:
-        points = np.array([r.v for r in rows if r.dim == dim], np.float64)
-        far, chosen = np.full(len(points), np.inf), [0]
-        while len(chosen) < min(pivots, len(points)):
-            far = np.minimum(far, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
-            chosen.append(int(far.argmax()))
-        found[dim] = points[chosen]
-    return found
-
-
 def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """Adds to (vec_id, v, dim) the distances to the pivots of that dimension; none where there are no pivots."""
 
@@ -53,7 +38,8 @@ def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 def search_shard(query: np.ndarray, near: np.ndarray, own: int, ids: np.ndarray, points: np.ndarray, squares: np.ndarray, table: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Ids and scores of the shard's k best for one query, and how many candidates were evaluated.
 
-    Scores are whole numbers below 2**53, so they are exact as doubles. Bounds get a slack for the roots' rounding.
+    Whole numbers below 2**53 are exact as doubles; where products may exceed that they are taken as 64-bit integers, exact
+    as long as the score itself fits. Bounds get a slack for the rounding of roots and sums.
     """
     low = np.abs(table - near).max(axis=1, initial=0.0)
     low = np.maximum(0.0, low * (1 - 1e-9) - 1e-6)
@@ -61,7 +47,9 @@ def search_shard(query: np.ndarray, near: np.ndarray, own: int, ids: np.ndarray,
     bound[ids == own] = -np.inf
     order = np.argsort(-bound, kind="stable")
     order = order[: np.count_nonzero(bound > -np.inf)]
-    scores, at = np.empty(0), 0
+    if len(query) * np.abs(query).max() * np.abs(points).max(initial=0.0) >= 2.0**53:
+        query, points = query.astype(np.int64), points.astype(np.int64)
+    scores, at = np.empty(0, points.dtype), 0
     while at < len(order):
         if at >= k and bound[order[at]] < np.partition(scores, len(scores) - k)[len(scores) - k]:
             break
@@ -72,22 +60,42 @@ def search_shard(query: np.ndarray, near: np.ndarray, own: int, ids: np.ndarray,
     return ids[seen[top]], scores[top], len(seen)
 
 
+def _promise(centres: dict[int, np.ndarray], radii: dict[tuple[int, int], float]):
+    """A query's inner product with a cell's rows is at most that with the centre and its length times the radius."""
+    known = {}
+    for dim, cell in radii:
+        known.setdefault(dim, []).append(cell)
+
+    def promise(query: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cells = np.array(known.get(dim, []), np.int64)
+        if dim not in centres:
+            return cells, np.full(len(cells), np.inf), np.zeros(len(cells))
+        with_centre = centres[dim][cells] @ query
+        reach = np.sqrt(query @ query) * np.array([radii[dim, int(c)] for c in cells])
+        slack = 1e-9 * (np.abs(centres[dim][cells]) @ np.abs(query) + reach) + 1e-3
+        return cells, with_centre + reach + slack, with_centre
+
+    return promise
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest whole-number inner products among other rows.
 
-    Inputs: (vec_id, embedding). A component x counts as floor(1024 x) in double precision. Vectors that are null or empty or
-    hold null or non-finite components, and rows without id, take no part; vectors of different length do not meet. Ties go to the smaller
-    vec_id. Rows with the query's own vec_id are not its candidates; a candidate row that repeats is found each time.
-    Scores are exact while they and the squares stay below 2**53. Empty tables give no rows.
+    Inputs: (vec_id, embedding); other columns are ignored. A component x counts as floor(1024 x) in double precision.
+    Vectors that are null or empty or hold null or non-finite components, and rows without id, take no part; vectors of
+    different length do not meet. Ties go to the smaller vec_id. Rows with the query's own vec_id are not its candidates; a
+    candidate row that repeats is found each time; a query id that repeats is asked once, with its least vector. Components
+    and scores are exact as long as they fit 64-bit integers. Empty tables give no rows.
     """
     whole = F.transform("v", lambda x: F.floor(F.lit(SCALE) * x).cast("double"))
     points = usable(candidates).withColumn("v", whole)
-    chosen = choose_pivots(points, pivots)
-    rows = written(pivot_table(points, chosen), "pivots")
-    asked = written(pivot_table(usable(queries).withColumn("v", whole), chosen), "asked")
-    shards, blocks = shards_of(rows.count()), max(1, -(-asked.count() // QUERY_BLOCK))
-    left = in_blocks(asked.withColumnRenamed("vec_id", "query_id"), blocks, shards)
-    right = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    far = spread_out(points, max(pivots, MOST_CELLS))
+    cells = min(MOST_CELLS, max(1, -(-points.count() // CELL_ROWS)))
+    chosen, centres = {dim: v[:pivots] for dim, v in far.items()}, {dim: v[:cells] for dim, v in far.items()}
+    rows, known = sharded(written(celled(pivot_table(points, chosen), centres, unit=False), "pivots"))
+    asked = written(asked_once(pivot_table(usable(queries).withColumn("v", whole), chosen).withColumnRenamed("vec_id", "query_id")), "asked")
+    promise = _promise(centres, {key: radius for key, (_, radius) in known.items()})
+    shards = {key: n for key, (n, _) in known.items()}
 
     def search(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
@@ -99,5 +107,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, pivots: int =
                 found += zip([own] * len(scores), ids_found.tolist(), map(int, scores), strict=True)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    keys = ("block", "shard", "dim")
-    return best(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long"), k)
+    def met(going: DataFrame) -> DataFrame:
+        left, right = meetings(going, rows.drop("away"), shards)
+        return left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(search, "query_id long, vec_id long, score long")
+
+    first = written(best(met(written(visits(asked, promise, first=True), "first")), k), "found")
+    more = met(written(visits(with_kth(asked, first, k), promise, first=False), "more"))
+    return best(first.select("query_id", "vec_id", "score").union(more), k)

@@ -1,12 +1,24 @@
-"""What the two vector searches share: usable vectors, and blocks of queries against shards of candidates."""
+"""What the two vector searches share: usable vectors, cells around centres, and the searches that a bound leaves over.
+
+Rows are dealt to the cell of their nearest centre, a cell to shards of about SHARD_ROWS rows. A query first searches the
+cell that promises most; then only those cells whose centre and radius still allow one of its k best. Queries of a cell
+meet its shards in blocks. Centres are at most MOST_CELLS for each length of vectors, whatever the table holds.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, SHARD_ROWS = 2048, 4096
+QUERY_BLOCK, SHARD_ROWS, CELL_ROWS, MOST_CELLS = 2048, 1024, 4096, 256
+#: Vectors from which pivots and centres are chosen; the choice affects speed only.
+SAMPLE_ROWS = 2000
+KEYS = ("dim", "cell", "shard", "block")
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -17,17 +29,108 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return kept.filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", finite)).withColumn("dim", F.size("v"))
 
 
-def shards_of(rows: int) -> int:
-    return max(1, -(-rows // SHARD_ROWS))
+def spread_out(vectors: DataFrame, most: int, unit: bool = False, sample: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
+    """By length: vectors (at length one if ``unit``) far from one another, out of a bounded sample in hashed order; the first of them are as far apart as fewer can be."""
+    rows = vectors.select("vec_id", "v", "dim").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()
+    found = {}
+    for dim in {r.dim for r in rows}:
+        points = np.array([r.v for r in rows if r.dim == dim], np.float64)
+        points = units(points) if unit else points
+        far, chosen = np.full(len(points), np.inf), [0]
+        while len(chosen) < min(most, len(points)):
+            far = np.minimum(far, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+            chosen.append(int(far.argmax()))
+        found[dim] = points[chosen]
+    return found
+
+
+def units(points: np.ndarray) -> np.ndarray:
+    """The vectors at length one; a zero vector stays."""
+    length = np.sqrt((points * points).sum(axis=-1, keepdims=True))
+    return points / np.where(length > 0, length, 1.0)
+
+
+def celled(points: DataFrame, centres: dict[int, np.ndarray], unit: bool) -> DataFrame:
+    """Adds ``cell``, the nearest centre, and ``away``, the distance to it; without centres of that length cell 0 at distance 0."""
+    names, at, dim_at = points.columns, points.columns.index("v"), points.columns.index("dim")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, aways = [], []
+            for v, dim in zip(batch.column(at).to_pylist(), batch.column(dim_at).to_pylist(), strict=True):
+                x = np.asarray(v, np.float64)
+                apart = ((centres[dim] - (units(x) if unit else x)) ** 2).sum(axis=1) if dim in centres else np.zeros(1)
+                cells.append(int(apart.argmin()))
+                aways.append(float(np.sqrt(apart[cells[-1]])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array(aways, pa.float64())], [*names, "cell", "away"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
+    return points.mapInArrow(deal, f"{fields}, cell int, away double")
+
+
+def sharded(rows: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, float]]]:
+    """Adds ``shard`` to the rows of written cells; and by (dim, cell) the number of shards and the radius."""
+    counts = rows.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
+    known = counts.withColumn("shards", F.ceil(F.col("n") / SHARD_ROWS).cast("int"))
+    kept = {(r.dim, r.cell): (r.shards, r.radius) for r in known.collect()}
+    of = rows.sparkSession.createDataFrame([(*key, shards) for key, (shards, _) in kept.items()], "of_dim int, of_cell int, shards int")
+    shard = F.pmod(F.xxhash64("vec_id", "v"), F.col("shards")).cast("int")
+    joined = rows.join(F.broadcast(of), (F.col("dim") == F.col("of_dim")) & (F.col("cell") == F.col("of_cell")))
+    return joined.withColumn("shard", shard).drop("of_dim", "of_cell", "shards"), kept
 
 
-def in_blocks(queries: DataFrame, blocks: int, shards: int) -> DataFrame:
-    """Every query once per shard, under (block, shard). A query_id that repeats is asked once, with its least vector."""
-    once = queries.groupBy("query_id", "dim").agg(F.min("v").alias("v")) if "pivots" not in queries.columns else queries.groupBy("query_id", "dim").agg(F.min_by(F.struct("v", "pivots"), "v").alias("_")).select("query_id", "dim", "_.*")
-    return once.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+def asked_once(queries: DataFrame) -> DataFrame:
+    """(query_id, dim, v, ...): a query_id that repeats is asked once, with its least vector."""
+    rest = [c for c in queries.columns if c not in ("query_id", "dim")]
+    return queries.groupBy("query_id", "dim").agg(F.min(F.struct("v", *(c for c in rest if c != "v"))).alias("_")).select("query_id", "dim", "_.*")
+
+
+def visits(asked: DataFrame, promise: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]], first: bool) -> DataFrame:
+    """Each query once per cell that it visits.
+
+    promise(v, dim) gives the cells that exist, a bound on the scores of what each holds, and how much it promises. The first
+    visit goes to the most promising cell; later ones (asked has kth, the k-th score so far, null if there are fewer) to all
+    others whose bound reaches kth.
+    """
+    names, columns = [c for c in asked.columns if c != "kth"], asked.columns
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cells = [], []
+            kth = batch.column(columns.index("kth")).to_pylist() if not first else [None] * batch.num_rows
+            for row, (v, dim, least) in enumerate(zip(batch.column(columns.index("v")).to_pylist(), batch.column(columns.index("dim")).to_pylist(), kth, strict=True)):
+                known, bounds, likely = promise(np.asarray(v, np.float64), dim)
+                if not len(known):
+                    continue
+                best = int(likely.argmax())
+                wanted = [int(known[best])] if first else [int(c) for k, c in enumerate(known) if k != best and (least is None or bounds[k] >= least)]
+                rows += [row] * len(wanted)
+                cells += wanted
+            taken = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(taken.column(columns.index(c)) for c in names), pa.array(cells, pa.int32())], [*names, "cell"])
+
+    fields = ", ".join(f"{asked.schema[c].name} {asked.schema[c].dataType.simpleString()}" for c in names)
+    return asked.mapInArrow(choose, f"{fields}, cell int")
+
+
+def meetings(going: DataFrame, rows: DataFrame, shards: dict[tuple[int, int], int]) -> tuple[DataFrame, DataFrame]:
+    """Visiting queries and visited rows (dim, cell, shard, ...) under common KEYS: a query for each shard of its cell, a shard for each block."""
+    counts = going.groupBy("dim", "cell").count().collect()
+    plan = [(r.dim, r.cell, shards[r.dim, r.cell], -(-r["count"] // QUERY_BLOCK)) for r in counts]
+    of = F.broadcast(going.sparkSession.createDataFrame(plan, "of_dim int, of_cell int, shards int, blocks int"))
+    same = (F.col("dim") == F.col("of_dim")) & (F.col("cell") == F.col("of_cell"))
+    left = going.join(of, same).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    right = rows.join(of, same).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return left.drop("of_dim", "of_cell", "shards", "blocks"), right.drop("of_dim", "of_cell", "shards", "blocks")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query: query_id, rank, vec_id, score; ties to the smaller vec_id."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def with_kth(asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Queries with their k-th score in ``found`` (query_id, rank, score), null where there are fewer."""
+    kth = found.filter(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("score").cast("double").alias("kth"))
+    return asked.join(kth, F.col("query_id") == F.col("of"), "left").drop("of")
