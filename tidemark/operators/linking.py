@@ -277,7 +277,10 @@ def pending(papers: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def copy_if_zh(papers: DataFrame, language: Column) -> DataFrame:
-    return papers.withColumn("title_zh", F.when(language == "zh", F.col("title")).otherwise(F.col("title_zh")))
+    """Papers (title, abstract, title_zh, abstract_zh) with their language; those in Chinese are their own translation."""
+    known = papers.withColumn("original_language", language)
+    zh = F.col("original_language") == "zh"
+    return known.withColumns({f"{c}_zh": F.when(zh, F.col(c)).otherwise(F.col(f"{c}_zh")) for c in ("title", "abstract")})
 
 
 # --- reports ------------------------------------------------------------------------------------------------------

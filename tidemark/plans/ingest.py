@@ -188,16 +188,35 @@ def s23_catalogue_papers(spark, sf_dir):
     return papers.select("id", "title", F.array_join("authors", ",").alias("authors"), "abstract", F.col("publication_year").cast("long").alias("year"), "arxiv_id")
 
 
-@query("SELECT 'huggingface:' || doc_id AS id, trim(substr(text, 1, 20)) AS title, doc_id % 9 AS upvotes FROM documents WHERE doc_id % 8 <> 0 AND trim(substr(text, 1, 20)) <> ''")
+@query("SELECT 'huggingface:' || doc_id AS id, trim(text) AS title, doc_id % 9 AS upvotes FROM documents WHERE doc_id % 8 <> 0 AND trim(text) <> ''")
 def s24_daily_papers(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").selectExpr("cast(doc_id AS string) AS native_id", "substr(text, 1, 20) AS title", "source AS summary", "IF(doc_id % 8 = 0, NULL, date'2024-01-01') AS published", "doc_id % 9 AS upvotes")
+    d = table(spark, sf_dir, "documents").selectExpr("cast(doc_id AS string) AS native_id", "text AS title", "source AS summary", "IF(doc_id % 8 = 0, NULL, date'2024-01-01') AS published", "doc_id % 9 AS upvotes")
     return N.daily_papers(d).select("id", "title", "upvotes")
 
 
-@query("SELECT '2401.' || doc_id AS arxiv_id, 'A title ' || doc_id AS title FROM documents")
+_SPACED = r"nullif(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')), '')"
+
+
+@query(f"""SELECT CASE WHEN doc_id % 3 = 0 THEN 'solv-int/' || doc_id ELSE '2401.' || doc_id END AS arxiv_id, 'A title ' || doc_id AS title, 'Ada L,Bo' AS authors, {_SPACED} AS abstract, 2000 + doc_id % 20 AS year,
+CASE WHEN doc_id % 2 = 0 THEN 'https://x.org/' || doc_id ELSE 'https://arxiv.org/pdf/' || CASE WHEN doc_id % 3 = 0 THEN 'solv-int/' || doc_id ELSE '2401.' || doc_id END END AS pdf_url, 'cs.LG,cs.' || coalesce(lang, 'xx') AS categories, 'cs.LG' AS primary_category FROM documents""")
 def s25_arxiv_records(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").selectExpr("concat('http://arxiv.org/abs/2401.', doc_id, 'v3') AS id", "concat('A\\n  title ', doc_id, ' ') AS title", "text AS summary", "CAST(NULL AS string) AS journal", "array('cs.LG') AS categories")
-    return N.arxiv_records(d).select("arxiv_id", "title")
+    """Atom entries around the documents' texts, landed as XML."""
+    text = "replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    name = "IF(doc_id % 3 = 0, concat('solv-int/', doc_id), concat('2401.', doc_id))"
+    entry = f"""concat('<entry><id>http://arxiv.org/abs/', {name}, IF(doc_id % 5 = 0, '', 'v3'), '</id><title>A\n  title ', doc_id, ' </title><summary>', {text}, '</summary><published>', 2000 + doc_id % 20, '-12-10T00:00:00Z</published>',
+      '<author><name>Ada L</name></author><author><name>Bo</name></author><author><name> </name></author>', IF(doc_id % 2 = 0, concat('<link title="pdf" href="https://x.org/', doc_id, '"/>'), '<link href="https://y.org"/>'),
+      '<category term="cs.LG"/><category term="cs.', coalesce(lang, 'xx'), '"/><arxiv:primary_category xmlns:arxiv="http://arxiv.org/schemas/atom" term="cs.LG"/></entry>')"""
+    records = N.arxiv_records(N.atom_entries(table(spark, sf_dir, "documents").selectExpr(f"{entry} AS xml")))
+    return records.select("arxiv_id", "title", F.array_join("authors", ",").alias("authors"), "abstract", F.col("year").cast("long"), "pdf_url", F.array_join("categories", ",").alias("categories"), "primary_category")
+
+
+@query("""SELECT doc_id AS id, source AS title, 'Ada,Bo' AS authors, text AS abstract, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id END AS doi, CASE WHEN doc_id % 2 = 0 THEN '24.' || doc_id END AS arxiv_id,
+CASE WHEN doc_id % 5 = 0 THEN 'https://x.org/' || doc_id END AS pdf_url, CASE WHEN doc_id % 7 <> 0 THEN 'V' END AS venue, doc_id % 30 AS citation_count FROM documents""")
+def s26_semantic_scholar_records(spark, sf_dir):
+    answer = """to_json(named_struct('paperId', concat('p', doc_id), 'title', source, 'abstract', text, 'year', 2000 + doc_id % 20, 'venue', IF(doc_id % 7 = 0, '', 'V'), 'citationCount', doc_id % 30, 'authors', array(named_struct('name', 'Ada'), named_struct('name', ''), named_struct('name', 'Bo')),
+      'externalIds', named_struct('DOI', IF(doc_id % 3 = 0, concat('10.1/', doc_id), NULL), 'ArXiv', IF(doc_id % 2 = 0, concat('24.', doc_id), NULL)), 'openAccessPdf', IF(doc_id % 5 = 0, named_struct('url', concat('https://x.org/', doc_id)), NULL)))"""
+    records = N.semantic_scholar_records(table(spark, sf_dir, "documents").selectExpr("doc_id AS id", f"{answer} AS json"))
+    return records.select("id", "title", F.array_join("authors", ",").alias("authors"), "abstract", "doi", "arxiv_id", "pdf_url", "venue", "citation_count")
 
 
 @query("SELECT doc_id AS id, 'T' || doc_id AS title, 'J' AS journal_ref, '10.1/' || doc_id AS doi, 'Ada L,Bo' AS authors FROM documents")

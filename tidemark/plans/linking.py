@@ -31,8 +31,10 @@ def works(spark, sf_dir):
 
 @query()
 def p2_title_similarity(spark, sf_dir):
-    s, w = seeds(spark, sf_dir).select("seed_id", F.col("title").alias("a")), works(spark, sf_dir).select("work_id", F.col("title").alias("b"))
-    return s.join(w, F.col("seed_id") == F.col("work_id")).select("seed_id", F.round(L.title_similarity(L.normalize_title(F.col("a")), L.normalize_title(F.col("b"))), 6).alias("similarity"))
+    """Every document's first line against the same with small changes."""
+    line = "split_part(text, '\\n', 1)"
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{line} AS a", f"concat(IF(doc_id % 3 = 0, 'On ', ''), {line}, IF(doc_id % 2 = 0, '!', 's')) AS b")
+    return d.select("doc_id", F.round(L.title_similarity(L.normalize_title(F.col("a")), L.normalize_title(F.col("b"))), 6).alias("similarity"))
 
 
 @query("""WITH a AS (SELECT doc_id, ['x n' || (doc_id % 3), 'Y  N' || (doc_id % 5)] AS x, CASE WHEN doc_id % 6 = 0 THEN [] ELSE ['n' || (doc_id % 4)] END AS y FROM documents),
@@ -158,10 +160,10 @@ def p17_pending(spark, sf_dir):
     return L.pending(d, table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN '中文标题' || doc_id END AS title_zh FROM documents")
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'zh' ELSE 'en' END AS original_language, CASE WHEN doc_id % 4 = 0 THEN '中文标题' || doc_id END AS title_zh, CASE WHEN doc_id % 4 = 0 THEN text END AS abstract_zh FROM documents")
 def p18_copy_if_zh(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "IF(doc_id % 4 = 0, concat('中文标题', doc_id), source) AS title", "CAST(NULL AS string) AS title_zh")
-    return L.copy_if_zh(d, detect_language(F.col("title"))).select("id", "title_zh")
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "IF(doc_id % 4 = 0, concat('中文标题', doc_id), concat('A title of ', source)) AS title", "text AS abstract", "CAST(NULL AS string) AS title_zh", "CAST(NULL AS string) AS abstract_zh")
+    return L.copy_if_zh(d, detect_language(F.col("title"))).select("id", "original_language", "title_zh", "abstract_zh")
 
 
 @query("SELECT d.doc_id AS id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(l.quality = 1, true) OR d.source = 'src0'")

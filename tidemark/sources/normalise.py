@@ -304,9 +304,47 @@ def daily_papers(rows: DataFrame) -> DataFrame:
     return kept.select(F.concat(F.lit("huggingface:"), "native_id").alias("id"), F.trim("title").alias("title"), F.trim(F.coalesce("summary", F.lit(""))).alias("abstract"), F.concat(F.lit("https://arxiv.org/pdf/"), "native_id").alias("pdf_url"), "published", "upvotes")
 
 
+ATOM_ENTRY = (
+    "id string, title string, summary string, published string, author array<struct<name: string>>, link array<struct<_title: string, _href: string>>, category array<struct<_term: string>>, "
+    "`arxiv:journal_ref` string, `arxiv:comment` string, `arxiv:primary_category` struct<_term: string>"
+)
+
+
+def read_atom(spark, path: str) -> DataFrame:
+    """Landed Atom files as one row per entry; the schema is given, not inferred."""
+    return spark.read.format("xml").option("rowTag", "entry").schema(ATOM_ENTRY).load(path)
+
+
+def atom_entries(rows: DataFrame, column: str = "xml") -> DataFrame:
+    """The other columns of rows and the fields of the Atom entry in ``column``; text that is no entry has null fields."""
+    return rows.select(*(c for c in rows.columns if c != column), F.from_xml(F.col(column), ATOM_ENTRY).alias("_e")).select(*(c for c in rows.columns if c != column), "_e.*")
+
+
 def arxiv_records(entries: DataFrame) -> DataFrame:
-    """Atom entries (id, title, summary, journal, categories) as partial records without the version."""
-    return entries.select(F.regexp_extract("id", r"abs/([^v]+)", 1).alias("arxiv_id"), F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"), F.trim(F.regexp_replace("summary", r"\s+", " ")).alias("abstract"), "journal", "categories")
+    """Atom entries (see ATOM_ENTRY) as partial records; the identifier loses its version. The PDF is the link of that title, else made of the identifier."""
+    some = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    arxiv_id = F.nullif(F.regexp_extract("id", r"abs/(\S+?)(v\d+)?\s*$", 1), F.lit(""))
+    year = F.nullif(F.regexp_extract("published", r"^\s*(\d{4})", 1), F.lit("")).cast("int")
+    linked = F.get(F.filter("link", lambda x: x["_title"] == "pdf"), F.lit(0))["_href"]
+    return entries.withColumn("_aid", arxiv_id).select(
+        F.col("_aid").alias("arxiv_id"), some(F.col("title")).alias("title"), F.filter(F.transform(F.coalesce("author", F.array()), lambda a: some(a["name"])), lambda x: x.isNotNull()).alias("authors"), some(F.col("summary")).alias("abstract"), year.alias("year"),
+        F.coalesce(linked, F.concat(F.lit("https://arxiv.org/pdf/"), "_aid")).alias("pdf_url"), F.when(F.col("_aid").isNotNull(), "arXiv").alias("venue"), some(F.col("`arxiv:journal_ref`")).alias("journal"), some(F.col("`arxiv:comment`")).alias("comment"),
+        F.filter(F.transform(F.coalesce("category", F.array()), lambda c: c["_term"]), lambda x: x.isNotNull() & (x != "")).alias("categories"), F.col("`arxiv:primary_category`._term").alias("primary_category"),
+    )
+
+
+def semantic_scholar_records(rows: DataFrame) -> DataFrame:
+    """Graph answers (id, column json) as partial records; authors without a name are left out, an empty venue is none."""
+    kind = (
+        "paperId string, title string, abstract string, year int, venue string, citationCount long, externalIds struct<DOI: string, ArXiv: string>, "
+        "authors array<struct<name: string>>, openAccessPdf struct<url: string>"
+    )
+    r = rows.select("id", F.from_json("json", kind).alias("r"))
+    names = F.filter(F.transform(F.coalesce("r.authors", F.array()), lambda a: a["name"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    return r.select(
+        "id", "r.title", names.alias("authors"), "r.abstract", "r.year", F.col("r.externalIds.DOI").alias("doi"), F.col("r.externalIds.ArXiv").alias("arxiv_id"), F.col("r.paperId").alias("semantic_scholar_id"),
+        F.col("r.openAccessPdf.url").alias("pdf_url"), F.nullif("r.venue", F.lit("")).alias("venue"), F.col("r.citationCount").alias("citation_count"),
+    )
 
 
 def crossref_records(rows: DataFrame) -> DataFrame:
