@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # arXiv codes by unified topic.
 ARXIV_TOPICS = {
-    "computer-vision": "cs.CV cs.GR eess.IV", "nlp-llm": "cs.CL", "machine-learning": "cs.LG cs.AI cs.NE stat.ML", "embodied-robotics": "cs.RO",
-    "agent-multi-agent": "cs.MA", "interdisciplinary": "cs.HC cs.IR cs.CE cs.CR", "multimodal": "cs.MM", "ai-systems": "cs.SE cs.DC cs.AR cs.PF", "speech-audio": "cs.SD eess.AS eess.SP",
-}
+    "computer-vision": ["cs.CV", "cs.GR", "eess.IV"],
+    "nlp-llm": ["cs.CL"],
+    "machine-learning": ["cs.LG", "cs.AI", "cs.NE", "stat.ML"],
+    "embodied-robotics": ["cs.RO"],
+    "agent-multi-agent": ["cs.MA"],
+    "interdisciplinary": ["cs.HC", "cs.IR", "cs.CE", "cs.CR"],
+    "multimodal": ["cs.MM"],
+    "ai-systems": ["cs.SE", "cs.DC", "cs.AR", "cs.PF"],
+    "speech-audio": ["cs.SD", "eess.AS", "eess.SP"],
+}
 #: Names of a catalogue's topics by unified topic; our own choice.
 CATALOGUE_TOPICS = {"nlp-llm": ["Natural Language Processing Techniques", "Topic Modeling"], "computer-vision": ["Advanced Neural Network Applications"], "reinforcement-learning": ["Reinforcement Learning in Robotics"], "speech-audio": ["Speech Recognition and Synthesis"]}
 #: Keywords in order of preference; our own choice.
@@ -27,9 +36,25 @@ SECTIONS = {"model-release": "模型与产品", "product-update": "模型与产
 DEFAULT_SECTION, CONTENT_FORM, DEFAULT_FORM = "行业与趋势", "内容形态", "industry-news"
 
 
-def _mapping(table: dict[str, list[str] | str]) -> Column:
-    pairs = [(name, topic) for topic, names in table.items() for name in (names.split() if isinstance(names, str) else names)]
-    return F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+# Slugs of the packaged topics by group, news topics in three groups, paper topics in five.
+NEWS_GROUPS = {
+    "公司与模型": ["openai-chatgpt", "anthropic-claude", "google-gemini", "deepseek", "qwen", "kimi-moonshot", "minimax", "zhipu-glm", "xai-grok", "meta-llama", "microsoft-copilot", "nvidia", "huggingface", "cursor", "openrouter"],
+    "技术方向": ["ai-agent", "ai-coding", "reasoning", "multimodal", "image-generation", "ai-video", "speech-audio", "embodied-ai", "on-device-ai", "open-source-ecosystem", "deployment-engineering", "data-training", "safety-alignment", "mcp-tool-use"],
+    "内容形态": ["model-release", "product-update", "paper-research", "benchmark-evaluation", "tutorial-practice", "expert-opinion", "phenomenon-trend", "industry-news", "policy-regulation"],
+}
+PAPER_GROUPS = {
+    "基础与模型": ["machine-learning", "deep-learning", "reinforcement-learning"],
+    "语言与视觉": ["nlp-llm", "computer-vision", "multimodal", "speech-audio"],
+    "生成与智能体": ["llm", "image-video-generation", "agent-multi-agent"],
+    "系统与机器人": ["ai-systems", "embodied-robotics"],
+    "其他": ["interdisciplinary", "other"],
+}
+#: Most sources and domains that count as configuration; more of them is an error, not a plan.
+MOST_CONFIGURED = 10_000
+
+
+def _mapping(table: dict[str, list[str]]) -> Column:
+    return F.create_map(*(F.lit(x) for topic, names in table.items() for name in names for x in (name, topic)))
 
 
 def paper_topics(papers: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
@@ -87,10 +112,12 @@ def seed_topics(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
-    """(slug, name, group_name, sort_order) of the packaged topics."""
-    forms = [(slug, slug.replace("-", " ").capitalize(), CONTENT_FORM) for slug in SECTIONS]
-    fields = [(slug, slug.replace("-", " ").capitalize(), "技术领域") for slug in sorted({*ARXIV_TOPICS, *KEYWORDS})]
-    return spark.createDataFrame([(*row, at) for at, row in enumerate(forms + fields)], "slug string, name string, group_name string, sort_order int")
+    """(kind, slug, name, group_name, sort_order, is_active) of the packaged topics, kind news or paper; names are ours, made of the slugs."""
+    rows = []
+    for kind, groups in (("news", NEWS_GROUPS), ("paper", PAPER_GROUPS)):
+        ordered = [(slug, group) for group, slugs in groups.items() for slug in slugs]
+        rows += [(kind, slug, slug.replace("-", " ").capitalize(), group, 10 * (at + 1), True) for at, (slug, group) in enumerate(ordered)]
+    return spark.createDataFrame(rows, "kind string, slug string, name string, group_name string, sort_order int, is_active boolean")
 
 
 def sections(items: DataFrame, bridge: DataFrame) -> DataFrame:
@@ -114,18 +141,57 @@ def filter_by_keywords(papers: DataFrame, keywords: list[str], columns: list[str
     return marked.crossJoin(F.broadcast(any_hit)).filter("_hit OR NOT _any").drop("_hit", "_any")
 
 
+def _configured(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """One row with the list ``_list`` of all configured rows; a table that is no configuration is an error."""
+    if (n := rows.limit(MOST_CONFIGURED + 1).count()) > MOST_CONFIGURED:
+        raise ValueError(f"a configured list has at most {MOST_CONFIGURED} rows, this one has {n} or more")
+    return F.broadcast(rows.agg(F.collect_list(F.struct(*fields)).alias("_list")))
+
+
+def _scored_against(interests: DataFrame, listed: DataFrame, score: Callable[[Column], Column], threshold: float) -> DataFrame:
+    """(interest_id, key, score) of the entries of the list that reach the threshold; the scores of a row are one expression."""
+    low = interests.withColumn("_t", F.lower("text")).withColumn("_w", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")))
+    every = F.transform("_list", lambda s: F.struct(s["key"].alias("key"), score(s).alias("score")))
+    return low.crossJoin(listed).select("interest_id", F.explode(F.filter(every, lambda s: s["score"] >= threshold)).alias("s")).select("interest_id", "s.*")
+
+
+def _hits(terms: Column, test: Callable[[Column], Column]) -> Column:
+    return F.size(F.filter(F.coalesce(terms, F.array()), test))
+
+
 def interest_match(interests: DataFrame, sources: DataFrame, threshold: float = 0.1) -> DataFrame:
     """(interest_id, key, score) of interests (interest_id, text) and sources (key, keywords, tags, description, pos).
 
     A keyword of the domain counts 1, a tag or one of its aliases 0.5, a word of at least three letters that the description
-    has 0.3, divided by the number of words and at most 1. Of sources with one key the first counts. Sources are a configured list.
+    has 0.3, divided by the number of words and at most 1. Of sources with one key the first counts. Sources are a
+    configured list of at most MOST_CONFIGURED rows; the list goes to every row, no pair of rows is joined.
     """
     once = sources.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy("pos"))).filter("_n = 1")
-    low = interests.withColumn("_t", F.lower("text")).withColumn("_w", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")))
-    both = low.crossJoin(F.broadcast(once))
-    count = lambda c, test: F.size(F.filter(c, test))
-    keys = count(F.col("keywords"), lambda k: F.col("_t").contains(F.lower(k)))
-    tags = count(F.col("tags"), lambda t: F.exists(t, lambda a: F.col("_t").contains(F.lower(a))))
-    words = count(F.col("_w"), lambda w: (F.length(w) >= 3) & F.array_contains(F.split(F.lower("description"), r"\s+"), w))
-    score = F.least(F.lit(1.0), (keys * 10 + tags * 5 + words * 3) / 10.0 / F.greatest(F.lit(1), F.size("_w")))
-    return both.select("interest_id", "key", score.alias("score")).filter(F.col("score") >= threshold)
+    listed = _configured(once.withColumn("_d", F.split(F.lower("description"), r"\s+")), ["key", "keywords", "tags", "_d"])
+
+    def score(s: Column) -> Column:
+        keys = _hits(s["keywords"], lambda k: F.col("_t").contains(F.lower(k)))
+        tags = _hits(s["tags"], lambda t: F.exists(t, lambda a: F.col("_t").contains(F.lower(a))))
+        words = F.size(F.filter("_w", lambda w: (F.length(w) >= 3) & F.array_contains(s["_d"], w)))
+        return F.least(F.lit(1.0), (keys * 10 + tags * 5 + words * 3) / 10.0 / F.greatest(F.lit(1), F.size("_w")))
+
+    return _scored_against(interests, listed, score, threshold)
+
+
+def domain_match(interests: DataFrame, domains: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """(interest_id, key, score) of interests (interest_id, text) and domains (key, keywords, tags: all tags of its sources).
+
+    A keyword that the text contains counts 1, a tag 0.3; the sum is divided by the number of keywords and at most 1.
+    """
+    listed = _configured(domains, ["key", "keywords", "tags"])
+
+    def score(d: Column) -> Column:
+        inside = lambda k: F.col("_t").contains(F.lower(k))
+        return F.least(F.lit(1.0), (_hits(d["keywords"], inside) * 10 + _hits(d["tags"], inside) * 3) / 10.0 / F.greatest(F.lit(1), F.size(d["keywords"])))
+
+    return _scored_against(interests, listed, score, threshold)
+
+
+def sources_of_domains(matched: DataFrame, sources: DataFrame) -> DataFrame:
+    """(interest_id, source_key) of matched domains (interest_id, key, score) and their sources (key, source_key), each source once."""
+    return matched.join(sources, "key").select("interest_id", "source_key").distinct()

@@ -68,12 +68,16 @@ def t5_seed_topics(spark, sf_dir):
     return S.seed_topics(old, new)
 
 
-@query()
+_PACKAGED = [(kind, slug, group) for kind, groups in (("news", S.NEWS_GROUPS), ("paper", S.PAPER_GROUPS)) for group, slugs in groups.items() for slug in slugs]
+_NEWS_COUNT = len([1 for kind, *_ in _PACKAGED if kind == "news"])
+
+
+@query(f"""WITH tax(kind, slug, group_name) AS (VALUES {", ".join(map(str, _PACKAGED))}), used AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'paper' ELSE 'news' END AS kind, o_custkey % 50 + 1 AS at_, count(*) AS n FROM orders GROUP BY ALL)
+SELECT t.kind, t.slug, t.group_name, coalesce(n, 0) AS n FROM (SELECT kind, slug, group_name, list_position([{", ".join(f"'{kind}:{slug}'" for kind, slug, _ in _PACKAGED)}], kind || ':' || slug) - CASE kind WHEN 'paper' THEN {_NEWS_COUNT} ELSE 0 END AS at_ FROM tax) t LEFT JOIN used USING (kind, at_)""")
 def t6_taxonomy_use(spark, sf_dir):
-    """How many documents fall under each packaged topic, those without any too."""
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text AS title", "CAST(NULL AS string) AS abstract", "CAST(array() AS array<string>) AS categories")
-    used = S.paper_topics(docs).groupBy("slug").agg(F.count("*").alias("n"))
-    return S.taxonomy(spark).join(used, "slug", "left").select("slug", "group_name", F.coalesce("n", F.lit(0)).alias("n"))
+    """How many orders fall under each packaged topic, those without any too; the customer decides the topic's place."""
+    used = table(spark, sf_dir, "orders").selectExpr("IF(o_orderkey % 3 = 0, 'paper', 'news') AS kind", "cast(10 * (o_custkey % 50 + 1) AS int) AS sort_order").groupBy("kind", "sort_order").agg(F.count("*").alias("n"))
+    return S.taxonomy(spark).join(used, ["kind", "sort_order"], "left").select("kind", "slug", "group_name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _FORM = "CASE topic % 5 WHEN 0 THEN 'model-release' WHEN 1 THEN 'paper-research' WHEN 2 THEN 'odd-form' ELSE 'expert-opinion' END"
@@ -106,14 +110,29 @@ def t8_no_keyword_matches(spark, sf_dir):
     return S.filter_by_keywords(table(spark, sf_dir, "documents"), ["no such text"], ["source"]).agg(F.count("*").alias("n"))
 
 
-@query("""WITH i AS (SELECT p_partkey AS interest_id, lower(p_name || ' ' || p_type) AS t, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part),
-s AS (SELECT 's' || r_regionkey AS key, [lower(p.n)] AS keywords, r_regionkey AS k, p.n AS word FROM region, (SELECT DISTINCT split_part(p_name, ' ', 1) AS n FROM part) p),
-m AS (SELECT interest_id, s.key || ':' || word AS key, least(1.0, (CASE WHEN contains(t, lower(word)) THEN 10 ELSE 0 END + CASE WHEN contains(t, 'x' || k) OR contains(t, lower(word)) THEN 5 ELSE 0 END
- + 3 * len(list_filter(w, lambda x: length(x) >= 3 AND (x = lower(word) OR x = 'about')))) / 10.0 / greatest(1, len(w))) AS score FROM i, s)
+#: Configured sources of the queries: a word, the number of its domain.
+_SOURCES = [(word, k) for k, words in enumerate((["copper", "steel", "tin"], ["small", "large"], ["red", "green", "blue", "burnished"], ["anodized", "polished"])) for word in words]
+_INTERESTS = "i AS (SELECT p_partkey AS interest_id, lower(p_name || ' ' || p_type) AS t, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part)"
+
+
+def _interests(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS interest_id", "concat(p_name, ' ', p_type) AS text")
+
+
+@query(f"""WITH {_INTERESTS}, s(word, k) AS (VALUES {", ".join(map(str, _SOURCES))}),
+m AS (SELECT interest_id, 's' || k || ':' || word AS key, least(1.0, (CASE WHEN contains(t, word) THEN 10 ELSE 0 END + CASE WHEN contains(t, 'x' || k) OR contains(t, word) THEN 5 ELSE 0 END
+ + 3 * len(list_filter(w, lambda x: length(x) >= 3 AND (x = word OR x = 'about')))) / 10.0 / greatest(1, len(w))) AS score FROM i, s)
 SELECT interest_id, key, score::DOUBLE AS score FROM m WHERE score >= 0.1""")
 def t9_interest_match(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    words = p.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word")).distinct()
-    sources = words.crossJoin(F.broadcast(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"))))
+    sources = spark.createDataFrame(_SOURCES, "word string, k int")
     sources = sources.selectExpr("concat('s', k, ':', word) AS key", "array(word) AS keywords", "array(array(concat('x', k), word)) AS tags", "concat('About ', word) AS description", "k AS pos")
-    return S.interest_match(p.selectExpr("p_partkey AS interest_id", "concat(p_name, ' ', p_type) AS text"), sources)
+    return S.interest_match(_interests(spark, sf_dir), sources)
+
+
+@query(f"""WITH {_INTERESTS}, s(word, k) AS (VALUES {", ".join(map(str, _SOURCES))}), d AS (SELECT k, list(word) AS keywords FROM s GROUP BY k),
+m AS (SELECT interest_id, 'd' || k AS key, least(1.0, (10 * len(list_filter(keywords, lambda x: contains(t, x))) + 3 * len(list_filter(keywords, lambda x: contains(t, substr(x, 1, 4))))) / 10.0 / len(keywords)) AS score FROM i, d)
+SELECT interest_id, key, score::DOUBLE AS score FROM m WHERE score >= 0.1""")
+def t9_domain_match(spark, sf_dir):
+    sources = spark.createDataFrame(_SOURCES, "word string, k int")
+    domains = sources.groupBy(F.concat(F.lit("d"), F.col("k").cast("string")).alias("key")).agg(F.collect_list(F.upper("word")).alias("keywords"), F.collect_list(F.substring("word", 1, 4)).alias("tags"))
+    return S.domain_match(_interests(spark, sf_dir), domains)
