@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +21,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; none if it is missing."""
+    files, at = _files(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         files, at = _files(spark, path)
@@ -32,6 +39,8 @@ def workdir(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all executors share, removed when the interpreter ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
@@ -40,7 +49,11 @@ def workdir(spark: SparkSession, label: str) -> str:
 
 
 def save_items(spark: SparkSession, path: str, new: DataFrame, run_date: str) -> None:
-    """Replaces the snapshot of a date; an id that another date holds moves here. Only touched partitions are rewritten."""
+    """Replaces the snapshot of a date; an id that another date holds moves here. Only touched partitions are rewritten.
+
+    Plain files know no transaction over several partitions: the new partitions are renamed into place one by one, and dates
+    that lost their last id go after that. A writer that dies in between leaves an id on two dates until the call is repeated.
+    """
     fresh = new.withColumn("run_date", F.lit(run_date).cast("date"))
     if not exists(spark, path):
         fresh.write.partitionBy("run_date").parquet(path)
@@ -130,6 +143,35 @@ def export_static(artefacts: dict[str, DataFrame], out: str, by_date: tuple[str,
         (writer.partitionBy("day") if name in by_date else writer).json(f"{out}/{name}")
 
 
-def artefact_columns(kind: str) -> list[Column]:
-    """What the light index of items holds."""
-    return [F.col(c) for c in {"items_index": ("id", "title", "day", "ai_score"), "daily": ("id", "title", "url", "day", "ai_score", "category")}[kind]]
+#: Columns of the artefacts that show items: an item with its page, and the light index without heavy fields.
+ARTEFACT_COLUMNS = {"daily_detail": ("id", "title", "url", "day", "ai_score", "category"), "items_index": ("id", "title", "day", "ai_score")}
+NEWEST_RUNS = 30
+
+
+def site_artefacts(items: DataFrame, runs: DataFrame, topics: DataFrame, bridge: DataFrame, tags: DataFrame, papers: DataFrame, paper_topics: DataFrame, reports: DataFrame) -> dict[str, DataFrame]:
+    """The thirteen tables of the static site, each a frame to be written by export_static.
+
+    items (id, title, url, day, category, ai_score, selected), runs as of daily_runs, topics (topic, name, grp, is_active),
+    bridge (id, topic), tags (id, tag), papers (id, title, source, sec), paper_topics (id, slug), reports (id, source,
+    institution). Items that are not selected are on no page; inactive topics and topics of no selected item have no count.
+    """
+    chosen = items.filter("selected")
+    active = topics.filter("is_active").select("topic", "name", "grp")
+    named = bridge.join(active, "topic").join(chosen.select("id"), "id")
+    of_item = named.groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("topics"))
+    newest = runs.orderBy(F.desc("day")).limit(NEWEST_RUNS)
+    return {
+        "runs": newest,
+        "runs_dates": items.select("day").distinct().orderBy(F.desc("day")).limit(NEWEST_RUNS),
+        "daily": newest.select("day", "total_fetched", "total_selected", "languages"),
+        "daily_detail": chosen.select(*ARTEFACT_COLUMNS["daily_detail"]).join(of_item, "id", "left"),
+        "topics": active.join(named.groupBy("topic").agg(F.count("*").alias("n")), "topic", "left").select("topic", "name", "grp", F.coalesce("n", F.lit(0)).alias("n")),
+        "items_index": chosen.select(*ARTEFACT_COLUMNS["items_index"]),
+        "categories": chosen.groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count("*").alias("n")),
+        "tags": tags.join(chosen.select("id"), "id").groupBy("tag").agg(F.count("*").alias("n")),
+        "stats": items.agg(F.count("*").alias("total_items"), F.count_if("selected").alias("total_selected"), F.countDistinct("day").alias("total_days")),
+        "papers": papers,
+        "paper_topics": paper_topics.groupBy("slug").agg(F.countDistinct("id").alias("n")),
+        "reports": reports,
+        "report_institutions": reports.filter("institution IS NOT NULL").groupBy("source", "institution").agg(F.count("*").alias("n")),
+    }

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import render as O
 from tidemark.operators import sinks as K
-from tidemark.plans.bindings import ITEMS, NEWS_TOPICS, items, news_topics, table
+from tidemark.plans.bindings import ITEMS, NEWS_TOPICS, TAGS, item_tags, items, news_topics, table
 from tidemark.plans.reads import _SEL, _TOPICS, selected_items, topics
 from tidemark.registry import query
 from tidemark.streaming import jobs as J
@@ -81,19 +84,42 @@ def w7_load_latest_stage(spark, sf_dir):
     return K.load_stage(spark, path, "run1").select("id")
 
 
-@query(f"WITH {_SEL} SELECT 'daily' AS artefact, id::VARCHAR AS key, 1::BIGINT AS n FROM sel WHERE selected UNION ALL SELECT 'stats', day::VARCHAR, count(*) FROM sel GROUP BY day UNION ALL SELECT 'categories', coalesce(category, 'unknown'), count(*) FROM sel GROUP BY category")
+_NAMES = "lists AS (SELECT id, string_agg(DISTINCT name, ',' ORDER BY name) AS topics FROM named GROUP BY id)"
+
+
+@query(f"""WITH {_SEL}, {NEWS_TOPICS}, {_TOPICS}, {TAGS},
+chosen AS (SELECT * FROM sel WHERE selected), named AS (SELECT b.id, t.topic, name FROM news_topics b JOIN topics t ON b.topic = t.topic JOIN chosen c ON b.id = c.id WHERE is_active), {_NAMES},
+runs AS (SELECT day, count(*) AS total_fetched, count(*) FILTER (selected) AS total_selected, string_agg(DISTINCT d.lang, ',' ORDER BY d.lang) AS languages FROM sel JOIN documents d ON sel.id = d.doc_id GROUP BY day ORDER BY day DESC LIMIT 30)
+SELECT 'runs' AS artefact, concat_ws('|', day, total_fetched, total_selected, languages) AS line FROM runs
+UNION ALL SELECT 'daily', concat_ws('|', day, total_fetched, total_selected, languages) FROM runs
+UNION ALL SELECT 'runs_dates', concat_ws('|', day) FROM (SELECT DISTINCT day FROM sel)
+UNION ALL SELECT 'daily_detail', concat_ws('|', c.id, day, url, category, topics) FROM chosen c LEFT JOIN lists l ON c.id = l.id
+UNION ALL SELECT 'topics', concat_ws('|', t.topic, name, n) FROM (SELECT t.topic, t.name, count(n.id) AS n FROM topics t LEFT JOIN named n ON t.topic = n.topic WHERE is_active GROUP BY ALL) t
+UNION ALL SELECT 'items_index', concat_ws('|', id, title, day) FROM chosen
+UNION ALL SELECT 'categories', concat_ws('|', coalesce(category, 'unknown'), count(*)) FROM chosen GROUP BY category
+UNION ALL SELECT 'tags', concat_ws('|', tag, count(*)) FROM item_tags JOIN chosen USING (id) GROUP BY tag
+UNION ALL SELECT 'stats', concat_ws('|', count(*), count(*) FILTER (selected), count(DISTINCT day)) FROM sel
+UNION ALL SELECT 'papers', concat_ws('|', o_orderkey, o_orderstatus) FROM orders
+UNION ALL SELECT 'paper_topics', concat_ws('|', 's' || (o_custkey % 7), count(*)) FROM orders GROUP BY o_custkey % 7
+UNION ALL SELECT 'reports', concat_ws('|', p_partkey, p_brand) FROM part
+UNION ALL SELECT 'report_institutions', concat_ws('|', p_size % 2, p_brand, count(*)) FROM part GROUP BY p_size % 2, p_brand""")
 def w8_export_static(spark, sf_dir):
+    """All thirteen artefacts are written, then each is read back as lines of its main fields."""
     out, i = K.workdir(spark, "export"), selected_items(spark, sf_dir)
-    artefacts = {
-        "daily": i.filter("selected").select(*K.artefact_columns("daily")),
-        "stats": i.groupBy("day").agg(F.count("*").alias("n")),
-        "categories": i.groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count("*").alias("n")),
-    }
-    K.export_static(artefacts, out, ("daily",))
-    read = lambda name, schema: spark.read.schema(schema).json(f"{out}/{name}")
-    daily = read("daily", "id long, day long").selectExpr("'daily' AS artefact", "cast(id AS string) AS key", "1L AS n")
-    stats = read("stats", "day long, n long").selectExpr("'stats' AS artefact", "cast(day AS string) AS key", "n")
-    return daily.union(stats).union(read("categories", "category string, n long").selectExpr("'categories' AS artefact", "category AS key", "n"))
+    runs = K.daily_runs(i.join(table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "lang"), "id"))
+    papers = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderstatus AS source")
+    paper_topics = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "concat('s', o_custkey % 7) AS slug")
+    reports = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_size % 2 AS source", "p_brand AS institution")
+    named = topics(spark, sf_dir).withColumnRenamed("group_name", "grp")
+    artefacts = K.site_artefacts(i, runs, named, news_topics(spark, sf_dir), item_tags(spark, sf_dir), papers, paper_topics, reports)
+    K.export_static(artefacts, out, ("daily_detail",))
+    lines = {
+        "runs": "day, total_fetched, total_selected, languages", "daily": "day, total_fetched, total_selected, languages", "runs_dates": "day", "daily_detail": "id, day, url, category, array_join(topics, ',')",
+        "topics": "topic, name, n", "items_index": "id, title, day", "categories": "category, n", "tags": "tag, n", "stats": "total_items, total_selected, total_days", "papers": "id, source",
+        "paper_topics": "slug, n", "reports": "id, institution", "report_institutions": "source, institution, n",
+    }
+    read = [spark.read.schema(artefacts[name].schema).json(f"{out}/{name}").selectExpr(f"'{name}' AS artefact", f"concat_ws('|', {line}) AS line") for name, line in lines.items()]
+    return reduce(DataFrame.union, read)
 
 
 @query(f"WITH {ITEMS}, {NEWS_TOPICS}, {_TOPICS} SELECT DISTINCT day, t.topic, name FROM items i JOIN news_topics b ON i.id = b.id JOIN topics t ON b.topic = t.topic")
@@ -103,11 +129,11 @@ def w9_topics_per_date(spark, sf_dir):
 
 def _texts(spark, sf_dir):
     extra = {"title_en": F.lit(""), "title_zh": F.concat(F.lit("标题"), F.col("id").cast("string")), "feed_name": F.when(F.col("id") % 2 == 0, "feed"), "author": F.lit("ann"), "discussion_url": F.when(F.col("id") % 3 == 0, F.col("url")).when(F.col("id") % 3 == 1, "https://d.org"), "ai_reason": F.lit("because"), "ai_summary": F.lit("sum")}
-    return selected_items(spark, sf_dir).filter("selected AND day > 0").withColumns(extra)
+    return selected_items(spark, sf_dir).filter("selected").withColumns(extra)
 
 
 @query(f"""WITH {_SEL} SELECT id, replace(replace(title, '[', '('), ']', ')') AS title, source_type || ' · ' || CASE WHEN id % 2 = 0 THEN 'feed' ELSE 'ann' END || ' · ' || strftime(epoch_ms(published_sec * 1000), '%b %-d, %H:%M')
-|| CASE WHEN id % 3 = 1 THEN ' · [Discussion](https://d.org)' ELSE '' END AS line FROM sel WHERE selected AND day > 0""")
+|| CASE WHEN id % 3 = 1 THEN ' · [Discussion](https://d.org)' ELSE '' END AS line FROM sel WHERE selected""")
 def o1_digest_item_fields(spark, sf_dir):
     return _texts(spark, sf_dir).select("id", O.shown_title("en").alias("title"), O.source_line("en").alias("line"))
 
@@ -125,21 +151,21 @@ def o2_daily_digest_markdown(spark, sf_dir):
     return O.daily_digest(t, days, "en").withColumn("lang", F.lit("en")).unionByName(O.daily_digest(t, days, "zh").withColumn("lang", F.lit("zh")))
 
 
-@query(f"""WITH {_SEL}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ai_score DESC, id) AS place FROM sel WHERE selected AND day > 0)
+@query(f"""WITH {_SEL}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ai_score DESC, id) AS place FROM sel WHERE selected)
 SELECT day, string_agg(place || '. [' || replace(replace(title, '[', '('), ']', ')') || '](' || url || ') ⭐️ ' || printf('%.1f', ai_score) || '/10', chr(10) ORDER BY place) AS markdown FROM r GROUP BY day""")
 def o3_overview(spark, sf_dir):
     return O.overview(_texts(spark, sf_dir), "en")
 
 
-@query(f"""WITH {_SEL}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ai_score DESC, id) AS place, count(*) OVER (PARTITION BY day) AS n FROM sel WHERE selected AND day > 0)
+@query(f"""WITH {_SEL}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ai_score DESC, id) AS place, count(*) OVER (PARTITION BY day) AS n FROM sel WHERE selected)
 SELECT day, 'en' AS lang, n - place AS at, 'item' AS kind, place || '/' || n || ' ' || title AS title FROM r UNION ALL SELECT DISTINCT day, 'en', n, 'overview', '' FROM r""")
 def o4_delivery_messages(spark, sf_dir):
     return O.delivery_messages(_texts(spark, sf_dir), "summary_and_items", ["en", "zh"], ["en"], overview_last=True)
 
 
-@query("""SELECT doc_id, '---' || chr(10) || 'layout: post' || chr(10) || 'title: "T' || doc_id || '"' || chr(10) || 'date: 2024-01-01' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || chr(10) || text AS post FROM documents WHERE NOT starts_with(text, '# ') AND NOT starts_with(text, chr(10))""")
+@query("""SELECT doc_id, '---' || chr(10) || 'layout: post' || chr(10) || 'title: "T' || doc_id || '"' || chr(10) || 'date: 2024-01-01' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || chr(10) || regexp_replace(text, '^\n+', '') AS post FROM documents""")
 def o5_front_matter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("NOT startswith(text, '# ') AND NOT startswith(text, char(10))")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", O.post_front_matter(F.concat(F.lit("# Head\n\n"), "text"), F.concat(F.lit("T"), F.col("doc_id").cast("string")), F.lit("2024-01-01"), F.col("lang")).alias("post"))
 
 
@@ -150,7 +176,11 @@ def o6_subscriber_fanout(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, name):
-    return J.landing(spark, sf_dir, table(spark, sf_dir, name).schema, f"{name}.parquet")
+    """The table's files as they land, whether it is one file or a folder of them."""
+    path = f"{sf_dir}/{name}.parquet"
+    parts = K.children(spark, path)
+    whole = len(parts) == 1 and parts[0] == f"{name}.parquet"
+    return J.landing(spark, *((sf_dir, table(spark, sf_dir, name).schema, f"{name}.parquet") if whole else (path, table(spark, sf_dir, name).schema)))
 
 
 def _drain(spark, stream, mode, label):
@@ -170,14 +200,14 @@ def x1_unique_urls_stream(spark, sf_dir):
 def x2_upsert_stream(spark, sf_dir):
     out = K.workdir(spark, "upserts")
     e = _stream(spark, sf_dir, "events").selectExpr("user_id AS id", "event_type", "unix_seconds(cast(ts AS timestamp)) AS sec", "event_id")
-    J.upsert_sink(e, f"{out}/table", {}, ["sec", "event_id"]).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/table/v0").select("id", "event_type")
+    J.upsert_sink(e, f"{out}/table", ["sec", "event_id"], ["id"]).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return J.read_upserts(spark, f"{out}/table", ["id"]).select("id", "event_type")
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def x3_hourly_counts_stream(spark, sf_dir):
     out = K.workdir(spark, "hours")
     counted = J.hourly_counts(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
-    write = counted.writeStream.outputMode("complete").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/rows"))
-    write.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counted.schema).parquet(f"{out}/rows").select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+    sink = J.upsert_sink(counted, f"{out}/table", [], ["hour", "event_type"]).outputMode("update")
+    sink.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return J.read_upserts(spark, f"{out}/table", ["hour", "event_type"]).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")

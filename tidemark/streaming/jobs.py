@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
 from tidemark.functions.urls import normalize_url
-from tidemark.operators.sinks import exists, remove, upsert
+from tidemark.operators.sinks import children, exists
 
 
 def landing(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int = 16) -> DataFrame:
@@ -22,22 +24,48 @@ def unique_urls(items: DataFrame, hours: int = 24) -> DataFrame:
     return keyed.withWatermark("published_at", f"{hours} hours").dropDuplicatesWithinWatermark(["url_key"])
 
 
-def hourly_counts(events: DataFrame, ts: str, kind: str) -> DataFrame:
-    """Counts per tumbling hour and kind."""
-    return events.groupBy(F.window(ts, "1 hour").alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), kind, "n")
+def hourly_counts(events: DataFrame, ts: str, kind: str, late_hours: int = 24) -> DataFrame:
+    """Counts per tumbling hour and kind. Hours that ended ``late_hours`` before the newest event are closed: their state goes, later rows of them are dropped."""
+    timely = events.withWatermark(ts, f"{late_hours} hours")
+    return timely.groupBy(F.window(ts, "1 hour").alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), kind, "n")
+
+
+def upsert_sink(stream: DataFrame, path: str, order: list[str], keys: list[str], policy: dict[str, str] | None = None, compact_every: int = 32) -> DataStreamWriter:
+    """Each batch adds its last rows per key as a delta of its own; every so many batches all so far become one base.
+
+    A batch that is repeated after a failure replaces its own delta, so numbers may have gaps and may come again. read_upserts
+    gives the table.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        rest = [c for c in batch.columns if c not in (*order, *keys)]
+        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order) if order else F.lit(0)).alias("r")).select(*keys, "r.*")
+        last.write.mode("overwrite").parquet(f"{path}/delta-{number}")
+        if number and number % compact_every == 0:
+            read_upserts(batch.sparkSession, path, keys, policy).write.mode("overwrite").parquet(f"{path}/base-{number}")
 
+    return stream.writeStream.foreachBatch(add)
 
-def upsert_sink(stream: DataFrame, path: str, policy: dict[str, str], order: list[str], key: str = "id") -> DataStreamWriter:
-    """Writes each batch's last rows per key over the table at ``path``; a new version is complete before the old one goes."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        columns = [c for c in batch.columns if c not in order]
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in columns if c != key]), F.struct(*order)).alias("r")).select(key, "r.*")
-        before, after = f"{path}/v{number - 1}", f"{path}/v{number}"
-        merged = upsert(spark.read.parquet(before), last, policy, key) if number and exists(spark, before) else last
-        merged.write.mode("overwrite").parquet(after)
-        if number > 1:
-            remove(spark, f"{path}/v{number - 2}")
+def read_upserts(spark: SparkSession, path: str, keys: list[str], policy: dict[str, str] | None = None) -> DataFrame:
+    """The table of an upsert_sink: the newest complete base and the deltas after it, by key.
 
-    return stream.writeStream.foreachBatch(merge)
+    Per column the policy is new (default: the last batch that has the key), fill (the last value that is not null) or keep
+    (the first batch's).
+    """
+    found = children(spark, path)
+    numbered = lambda kind: sorted(int(name.split("-")[1]) for name in found if name.startswith(f"{kind}-") and exists(spark, f"{path}/{name}/_SUCCESS"))
+    base = max(numbered("base"), default=None)
+    names = ([f"base-{base}"] if base is not None else []) + [f"delta-{n}" for n in numbered("delta") if base is None or n > base]
+    if not names:
+        raise FileNotFoundError(f"no batch has arrived at {path}")
+    parts = [spark.read.parquet(f"{path}/{name}").withColumn("_at", F.lit(at)) for at, name in enumerate(names)]
+    every = reduce(DataFrame.unionByName, parts)
+    columns = []
+    for c in parts[0].columns:
+        if c in (*keys, "_at"):
+            continue
+        how, value = (policy or {}).get(c, "new"), F.struct(F.col(c).alias("x"))
+        told = F.min_by(value, "_at") if how == "keep" else F.max_by(F.when(F.col(c).isNotNull(), value), F.when(F.col(c).isNotNull(), F.col("_at"))) if how == "fill" else F.max_by(value, "_at")
+        columns.append(told["x"].alias(c))
+    return every.groupBy(*keys).agg(*columns)
