@@ -115,18 +115,25 @@ def event_candidates(items: DataFrame, percent: int = 50) -> tuple[DataFrame, Da
     """(pairs, members): classes of items (id, tokens) with equal token sets, and pairs of class representatives whose Jaccard similarity reaches the percentage.
 
     Sets are compared only if they share one of their rarest tokens: with tokens in order of frequency, similar sets must share
-    one within the first n - ceil(n percent / 100) + 1. Frequent tokens come last, so they seldom bring sets together.
+    one within the first n - ceil(n percent / 100) + 1, and what can follow it must suffice. Frequent tokens come last. A
+    parity sketch of 128 bits, whose differing bits no two sets can exceed by fewer differing tokens, refutes most of the
+    other pairs in the join; what it looks at still grows with the square of the sets that share a frequent early token.
     """
     sets = items.select("id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).filter(F.size("tokens") > 0)
     reps = sets.groupBy("tokens").agg(F.min("id").alias("rep"))
     members = sets.join(reps, "tokens")
-    shown = reps.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    hashes = F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(128)).cast("int"))
+    odd = lambda half: F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: F.when(F.floor(h / 64) == half, bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h % 64))).otherwise(bits))
+    shown = reps.select("rep", F.size("tokens").alias("n"), odd(0).alias("s0"), odd(1).alias("s1"), F.explode("tokens").alias("token"))
     ranked = shown.join(shown.groupBy("token").agg(F.count("*").alias("df")), "token")
     ranked = ranked.withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy("df", "token")))
     early = ranked.filter((F.col("df") > 1) & (100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")))
-    x, y = early.select("token", F.col("rep").alias("a"), F.col("n").alias("n_a")), early.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    sized = (100 * F.least("n_a", "n_b")) >= percent * F.greatest("n_a", "n_b")
-    pairs = x.join(y, "token").filter((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    side = lambda x: early.select("token", F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "s0", "s1")))
+    sizes = F.col("n_a") + F.col("n_b")
+    fits = (100 + percent) * (1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))) >= percent * sizes
+    differ = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
+    near = (100 + percent) * differ <= (100 - percent) * sizes
+    pairs = side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & fits & near).select("a", "b").distinct()
     both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(reps.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - shared

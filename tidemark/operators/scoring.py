@@ -106,12 +106,16 @@ def balanced_digest(items: DataFrame, quotas: Quotas) -> DataFrame:
     grouped = with_group(items, quotas)
     if not quotas.groups and quotas.max_items is None:
         return grouped
-    limit = F.lit(quotas.default_limit).cast("int")
-    for key, group in quotas.groups.items():
-        limit = F.when(F.col("group_key") == key, F.lit(group.limit).cast("int")).otherwise(limit)
-    ranked = grouped.withColumn("_rank", F.row_number().over(W.partitionBy("group_key").orderBy(*by_score(items))))
-    # The largest limit bounds the rank for groups that have one, which the window can use before it shuffles.
-    kept = ranked.filter(F.coalesce(F.col("_rank") <= limit, F.lit(True))).drop("_rank")
+    limits = {key: group.limit for key, group in quotas.groups.items()}
+    limits.setdefault(quotas.default_group, quotas.default_limit)
+    limits = {key: n for key, n in limits.items() if n is not None}
+    kept = grouped.filter(~F.col("group_key").isin(list(limits)))
+    if limits:
+        own = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("group_key")]
+        ranked = grouped.filter(F.col("group_key").isin(list(limits))).withColumn("_rank", F.row_number().over(W.partitionBy("group_key").orderBy(*by_score(items))))
+        # The largest limit is a literal, so that each task keeps no more than that of a group before the shuffle.
+        limited = ranked.filter(F.col("_rank") <= max(limits.values())).filter(F.col("_rank") <= own).drop("_rank")
+        kept = kept.unionByName(limited)
     return kept.orderBy(*by_score(items)).limit(quotas.max_items) if quotas.max_items is not None else kept
 
 

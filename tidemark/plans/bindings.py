@@ -25,15 +25,16 @@ RATINGS = {
     "weak_relevance_penalty": "CASE WHEN doc_id % 6 = 0 THEN -2 ELSE 0 END",
 }
 _SUM = " + ".join(f"coalesce({e}, 0)" for e in RATINGS.values())
-_COLUMNS = f"""d.doc_id AS id, d.doc_id AS pos, substr(d.text, 1, 40) AS title, d.text, d.n_chars,
-  concat('https://site', cast(d.doc_id % 50 AS VARCHAR(9)), '.example.com/a/', cast(d.doc_id AS VARCHAR(20))) AS url,
-  concat('s', cast(d.doc_id % 4 AS VARCHAR(9))) AS source_type,
-  CASE WHEN d.doc_id % 13 = 0 THEN NULL ELSE d.source END AS category,
-  {START} + d.doc_id * 3600 AS published_sec, d.doc_id % 10 AS day,
-  CASE WHEN l.quality IS NULL THEN NULL ELSE l.quality = 1 END AS ai_relevant,
-  CASE WHEN d.doc_id % 17 = 0 THEN NULL WHEN l.quality = 1 THEN cast(greatest(0, least(10, {_SUM.replace("doc_id", "d.doc_id")})) AS DOUBLE) ELSE cast(0 AS DOUBLE) END AS ai_score"""
+_EXPRESSIONS = {
+    "id": "d.doc_id", "pos": "d.doc_id", "title": "substr(d.text, 1, 40)", "text": "d.text", "n_chars": "d.n_chars",
+    "url": "concat('https://site', cast(d.doc_id % 50 AS VARCHAR(9)), '.example.com/a/', cast(d.doc_id AS VARCHAR(20)))",
+    "source_type": "concat('s', cast(d.doc_id % 4 AS VARCHAR(9)))", "category": "CASE WHEN d.doc_id % 13 = 0 THEN NULL ELSE d.source END",
+    "published_sec": f"{START} + d.doc_id * 3600", "day": "d.doc_id % 10", "ai_relevant": "CASE WHEN d.quality IS NULL THEN NULL ELSE d.quality = 1 END",
+    "ai_score": f"CASE WHEN d.doc_id % 17 = 0 THEN NULL WHEN d.quality = 1 THEN cast(greatest(0, least(10, {_SUM.replace('doc_id', 'd.doc_id')})) AS DOUBLE) ELSE cast(0 AS DOUBLE) END",
+}
+_COLUMNS = ", ".join(f"{e.replace('d.quality', 'l.quality')} AS {c}" for c, e in _EXPRESSIONS.items())
 ITEMS = f"items AS (SELECT {_COLUMNS} FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
-TAGS = """item_tags AS (SELECT DISTINCT doc_id AS id, tag FROM (SELECT doc_id, unnest(list_slice(string_split(lower(text), ' '), 1, 5)) AS tag FROM documents) WHERE tag <> '')"""
+TAGS = """item_tags AS (SELECT DISTINCT doc_id AS id, tag FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS tag FROM documents) WHERE tag <> '')"""
 NEWS_TOPICS = """news_topics AS (SELECT DISTINCT doc_id AS id, topic FROM (SELECT doc_id, doc_id % 25 AS topic FROM documents UNION ALL SELECT doc_id, (doc_id * 7) % 25 FROM documents))"""
 URL_ITEMS = """url_items AS (
   SELECT page_id AS pos, page_id AS id, url, 'web' AS source_type, html AS content FROM pages
@@ -45,9 +46,9 @@ THREADS = "threads AS (SELECT conv_id, turn, role, text, length(text) % 100 AS s
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as scored items; labels decide relevance."""
-    d, l = table(spark, sf_dir, "documents").alias("d"), table(spark, sf_dir, "labels").alias("l")
-    both = d.join(l, "doc_id", "left").selectExpr("d.*", "l.quality")
-    return both.createOrReplaceTempView("_scored") or spark.sql(f"SELECT {_COLUMNS.replace('l.quality', 'd.quality')} FROM _scored d")
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    both = d.join(l, "doc_id", "left").alias("d")
+    return both.selectExpr(*(f"{e} AS {c}" for c, e in _EXPRESSIONS.items()))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ RATINGS_SQL = "ratings AS (SELECT d.doc_id AS id, l.quality = 1 AS relevant, " +
 
 def item_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.selectExpr("doc_id AS id", "explode(slice(split(lower(text), ' '), 1, 5)) AS tag").filter("tag != ''").distinct()
+    return d.selectExpr("doc_id AS id", "explode(split(lower(text), ' ')) AS tag").filter("tag != ''").distinct()
 
 
 def news_topics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,10 +59,9 @@ def q6_get_item(spark, sf_dir):
     return R.with_topics(one, news_topics(spark, sf_dir), topics(spark, sf_dir)).withColumn("topics", F.array_join("topics", ","))
 
 
-@query(f"WITH {ITEMS}, {_LISTED} SELECT i.id, coalesce(topics, '') AS topics FROM items i LEFT JOIN (SELECT * FROM lists WHERE id % 3 <> 0) l ON i.id = l.id")
+@query(f"WITH {ITEMS}, {_LISTED} SELECT i.id, coalesce(topics, '') AS topics FROM items i LEFT JOIN lists l ON i.id = l.id")
 def q7_with_topics(spark, sf_dir):
-    bridge = news_topics(spark, sf_dir).filter("id % 3 != 0")
-    return R.with_topics(items(spark, sf_dir).select("id"), bridge, topics(spark, sf_dir)).withColumn("topics", F.array_join("topics", ","))
+    return R.with_topics(items(spark, sf_dir).select("id"), news_topics(spark, sf_dir), topics(spark, sf_dir)).withColumn("topics", F.array_join("topics", ","))
 
 
 @query(f"WITH {TAGS} SELECT tag, count(*) AS n FROM item_tags GROUP BY tag HAVING count(*) >= 5")
@@ -146,10 +145,9 @@ def q20_topic_papers(spark, sf_dir):
     return i.join(news_topics(spark, sf_dir).filter("topic = 6"), "id", "left_semi").select("id")
 
 
-@query("SELECT r_name AS name, count(n_nationkey) AS n FROM region LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 2) ON r_regionkey = n_regionkey GROUP BY r_name")
+@query("SELECT r_name AS name, count(n_nationkey) AS n FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
 def q21_paper_topic_counts(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").filter("n_nationkey % 5 != 2")
-    return table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").groupBy(F.col("r_name").alias("name")).agg(F.count("n_nationkey").alias("n"))
+    return table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"), "left").groupBy(F.col("r_name").alias("name")).agg(F.count("n_nationkey").alias("n"))
 
 
 @query(f"WITH {ITEMS}, {TAGS} SELECT id FROM items WHERE contains(source_type, '3') AND id IN (SELECT id FROM item_tags WHERE tag IN ('the', 'de')) AND lower(text) LIKE '%ion%'")
