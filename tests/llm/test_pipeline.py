@@ -22,8 +22,10 @@ def test_stages(spark, sf_dir):
     kept = P.drop_near_duplicates(spark, docs, sf_dir).collect()
     wanted = {i for i, n, c in brute([(r.doc_id, r.text) for r in clean]) if i == c}
     assert sorted(r.doc_id for r in kept) == sorted(wanted)
+    spark.conf.set(P.KEY_SETTING, "a key of the test")
     named = P.pseudonymise(spark, spark.createDataFrame(kept, docs.schema), sf_dir).collect()
-    names = Pseudonyms(P.PII_KEY)
+    spark.conf.unset(P.KEY_SETTING)
+    names = Pseudonyms(b"a key of the test")
     assert {r.doc_id: r.text for r in named} == {r.doc_id: r.text and names.replace(r.text)[0] for r in kept}
     mixed = P.mix_sources(spark, spark.createDataFrame(named, docs.schema), sf_dir).collect()
     words = lambda rows: sum(len((r.text or "").encode().split()) for r in rows)
@@ -39,6 +41,10 @@ def test_stages(spark, sf_dir):
         assert all(a + n == b for (a, n), (b, _) in zip(sorted(spots), [*sorted(spots)[1:], (sum(n for _, n in spots), 0)], strict=True)) and sum(n for _, n in spots) <= 1024
 
 
+def test_without_a_key_each_run_has_its_own(spark):
+    assert P.pseudonym_key(spark) != P.pseudonym_key(spark)
+
+
 def test_awkward_and_empty_documents(spark, sf_dir):
     rows = [(1, "some words here", None, None, None, "x", 1), (1, "some words here", None, None, None, "x", 1), (None, "other words there", "en", "src0", 5, None, None), (2, None, "en", "src0", 5, "x", 1), (3, "", "en", "src0", 0, "x", 1), (4, "long " * 50_000, "en", "src1", 9, "x", 1)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, part string, size int"

@@ -201,6 +201,8 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
 
     A null text stays null, with no spans; an empty one stays empty. Whole texts are searched. Equal values get equal
     pseudonyms wherever they stand; numbers that fail their validation stay. A column that is named pii_spans is replaced.
+    A permutation has values that it maps to themselves, about one of all. A phone number with a country code and the same
+    one without are different values and are not linked.
     """
     kept = [c for c in docs.columns if c != "pii_spans"]
 

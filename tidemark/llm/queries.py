@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: The queries' key, fixed so that they can be compared; a real run takes its own from a secret store.
+#: The key of the query only, fixed so that its runs can be compared. The pipeline never uses it.
 PII_KEY = b"tidemark queries"
 
 OP3_SQL = """
@@ -63,42 +63,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed; null and empty texts are the end token alone, an empty table gives no rows."""
     from tidemark.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; null and empty texts are scored as texts without words, repeated rows each."""
     from tidemark.llm.quality import quality
 
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, read back from the archives; a null page is an empty payload."""
     from tidemark.llm.warc import archive_pages, read_records
 
     return read_records(archive_pages(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms; null and empty texts stay."""
     from tidemark.llm.pii import pseudonymise
 
     return pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY)
 
 
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document; null and empty texts have none."""
     from tidemark.llm.mixing import mix
 
     return mix(_table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; null and empty texts get the score of no match."""
     from tidemark.llm.toxicity import toxicity
 
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest products of every hundredth vector; unusable vectors take no part."""
     from tidemark.llm.pivot_search import top_k
 
     vectors = _table(spark, sf_dir, "embeddings")
@@ -106,12 +113,14 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates; documents without words are linked with nothing."""
     from tidemark.llm.neardup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector; unusable and zero vectors take no part."""
     from tidemark.llm.vantage import build_index, nearest
 
     vectors = _table(spark, sf_dir, "embeddings")
@@ -119,6 +128,7 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation and of one that holds control strings; null roles and texts count as empty."""
     from tidemark.llm.chat import digests, format_conversations
 
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
