@@ -1,6 +1,7 @@
-"""Every query with an oracle gives the rows that DuckDB gives for it; the others give rows of a stable schema."""
+"""Every query with an oracle gives the rows that DuckDB gives for it; the values of the others are tested in test_values."""
 
 import math
+import os
 from collections import Counter
 
 import duckdb
@@ -43,9 +44,9 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_oracle_runs(spark, name):
-    found = QUERIES[name](spark, SF)
-    assert len(found.columns) == len(set(found.columns)) and found.count() >= 0
+def test_query_without_oracle_has_a_test_of_its_values(name):
+    with open(os.path.join(os.path.dirname(__file__), "test_values.py"), encoding="utf-8") as file:
+        assert f'"{name}"' in file.read()
 
 
 def test_names_are_the_same():

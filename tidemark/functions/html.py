@@ -148,6 +148,8 @@ def structured(source: str | None) -> str:
     def inline(n) -> str:
         if isinstance(n, str):
             return escape(re.sub(r"\s+", " ", n), quote=False)
+        if n.tag == "br":
+            return " "
         inner = "".join(map(inline, n.children)) if n.tag not in HIDDEN else ""
         name = {"b": "strong", "strong": "strong", "i": "em", "em": "em"}.get(n.tag)
         return f"<{name}>{inner}</{name}>" if name and inner.strip() else inner

@@ -31,8 +31,8 @@ def works(spark, sf_dir):
 
 @query()
 def p2_title_similarity(spark, sf_dir):
-    """Every document's first line against the same with small changes."""
-    line = "split_part(text, '\\n', 1)"
+    """Every document's first sentence or line against the same with small changes."""
+    line = r"regexp_extract(text, '^([^.\\n]*)', 1)"
     d = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{line} AS a", f"concat(IF(doc_id % 3 = 0, 'On ', ''), {line}, IF(doc_id % 2 = 0, '!', 's')) AS b")
     return d.select("doc_id", F.round(L.title_similarity(L.normalize_title(F.col("a")), L.normalize_title(F.col("b"))), 6).alias("similarity"))
 

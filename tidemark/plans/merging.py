@@ -34,7 +34,7 @@ def d2_url_survivors(spark, sf_dir):
 
 @query()
 def d2_merged_content(spark, sf_dir):
-    extracted = url_items(spark, sf_dir).selectExpr("*", "substr(content, 1, 400) AS raw_content", "CASE WHEN source_type = 'feed' THEN 'success' ELSE 'failed' END AS extraction_status")
+    extracted = url_items(spark, sf_dir).selectExpr("*", "content AS raw_content", "CASE WHEN source_type = 'feed' THEN 'success' ELSE 'failed' END AS extraction_status")
     return M.merge_url_duplicates(extracted)
 
 
