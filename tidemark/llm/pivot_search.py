@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
-from tidemark.llm.vectors import CELL_ROWS, KEYS, MOST_CELLS, asked_once, best, celled, meetings, sharded, spread_out, usable, visits, with_kth
+from tidemark.llm.vectors import CELL_ROWS, KEYS, MOST_CELLS, asked_once, best, celled, matrices, meetings, sharded, spread_out, usable, visits, with_kth
 
 SCALE = 1024
 PIVOTS = 24
@@ -29,7 +29,12 @@ def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.sqrt(((pivots[d] - np.asarray(v, np.float64)) ** 2).sum(axis=1)).tolist() if d in pivots else [] for v, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            rows: list = [[]] * batch.num_rows
+            for dim, at, points in matrices(batch.column(1)):
+                if dim in pivots:
+                    away = np.stack([np.sqrt(((points - pivot) ** 2).sum(axis=1)) for pivot in pivots[dim]], axis=1)
+                    for row, distances in zip(at.tolist(), away, strict=True):
+                        rows[row] = distances
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], ["vec_id", "v", "dim", "pivots"])
 
     return vectors.select("vec_id", "v", "dim").mapInArrow(measure, "vec_id long, v array<double>, dim int, pivots array<double>")

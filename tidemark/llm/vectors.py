@@ -50,18 +50,27 @@ def units(points: np.ndarray) -> np.ndarray:
     return points / np.where(length > 0, length, 1.0)
 
 
+def matrices(column: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By length: the rows of that length and their vectors as one matrix."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat, starts = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths
+    for dim in np.unique(lengths):
+        rows = np.flatnonzero(lengths == dim)
+        yield int(dim), rows, flat[starts[rows][:, None] + np.arange(dim)]
+
+
 def celled(points: DataFrame, centres: dict[int, np.ndarray], unit: bool) -> DataFrame:
     """Adds ``cell``, the nearest centre, and ``away``, the distance to it; without centres of that length cell 0 at distance 0."""
-    names, at, dim_at = points.columns, points.columns.index("v"), points.columns.index("dim")
+    names, at = points.columns, points.columns.index("v")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, aways = [], []
-            for v, dim in zip(batch.column(at).to_pylist(), batch.column(dim_at).to_pylist(), strict=True):
-                x = np.asarray(v, np.float64)
-                apart = ((centres[dim] - (units(x) if unit else x)) ** 2).sum(axis=1) if dim in centres else np.zeros(1)
-                cells.append(int(apart.argmin()))
-                aways.append(float(np.sqrt(apart[cells[-1]])))
+            cells, aways = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for dim, rows, x in matrices(batch.column(at)):
+                if dim in centres:
+                    x = units(x) if unit else x
+                    near = ((centres[dim] ** 2).sum(axis=1)[None, :] - 2 * (x @ centres[dim].T)).argmin(axis=1)
+                    cells[rows], aways[rows] = near, np.sqrt(((x - centres[dim][near]) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array(aways, pa.float64())], [*names, "cell", "away"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
