@@ -25,3 +25,55 @@ def test_groups_as_rows(spark):
     rows = spark.createDataFrame([("g", 3, 0, 3), ("g", 3, 1, 1), ("g", 3, 2, 9), ("h", 9, 0, 9), ("h", 9, 1, 2)], "group_id string, primary_pos long, at int, pos long")
     made = [[sorted(map(tuple, f.collect())) for f in M.merge_event_groups(items, g)] for g in (arrays, rows)]
     assert made[0] == made[1] == [[(0,), (2,), (3,), (4,)], [("g", 3, 1)]]
+
+
+ITEMS = [
+    (0, "base", "web", ["a", "b"], "x"), (1, "more", "feed", ["b", "c"], "x"), (2, "base", "web", None, "x"), (3, None, "web", [], "x"), (4, "", "feed", ["d"], "x"),
+    (5, "late", None, None, "x"), (6, "more and more", "feed", ["e"] * 2, "x"), (7, "alone", "web", ["z"], "x"), (8, None, "web", None, "x"), (9, "more", "web", [f"p{k}" for k in range(30)], "x"),
+]
+GROUPS = [(1, [0, 6, 1, 2, 1, 99]), (2, [3, 4, 5]), (3, [0, 9]), (4, [77, 7]), (5, [8]), (6, []), (7, None)]
+SCHEMA = "pos long, content string, source_type string, images array<string>, primary_pos string"
+
+
+def merged_one_by_one(items, groups):
+    rows, gone, facts = {r[0]: [r[1], list(r[3] or [])] for r in items}, set(), {}
+    kind = {r[0]: r[2] for r in items}
+    for group, members in sorted(groups, key=lambda g: g[0]):
+        if len(members or []) < 2 or members[0] not in rows:
+            continue
+        head = rows[members[0]]
+        facts.setdefault(members[0], []).append(f"fact {group}")
+        for m in members[1:]:
+            if m not in rows or m == members[0]:
+                continue
+            own, images = rows[m]
+            if own and own not in (head[0] or ""):
+                head[0] = f"{head[0] or ''}\n\n--- From {kind[m] or 'unknown'} ---\n{own}"
+            for image in images:
+                if image not in head[1] and len(head[1]) < 20:
+                    head[1].append(image)
+            gone.add(m)
+    return sorted((k, v[0], v[1], facts.get(k)) for k, v in rows.items() if k not in gone)
+
+
+def test_events_are_folded_into_their_primary(spark):
+    items, groups = spark.createDataFrame(ITEMS, SCHEMA), spark.createDataFrame(GROUPS, "group_id long, members array<long>")
+    facts = spark.createDataFrame([(g, [f"fact {g}"]) for g, _ in GROUPS] + [(50, None)], "group_id long, facts array<string>")
+    found = M.merge_events(items, groups, facts)
+    assert found.columns == [*items.columns, "merged_facts"]
+    got = sorted((r["pos"], r["content"], r["images"] or [], r["merged_facts"]) for r in found.collect())
+    assert got == merged_one_by_one(ITEMS, GROUPS)
+    assert {r["primary_pos"] for r in found.collect()} == {"x"}
+    assert M.merge_events(items.limit(0), groups, facts).count() == 0
+    assert M.merge_events(items.drop("images"), groups.limit(0)).count() == len(ITEMS)
+
+
+def test_event_sources(spark):
+    rows = [(0, "https://example.com/1"), (1, "https://arxiv.org/abs/1"), (2, "https://www.arxiv.org/abs/2"), (3, None), (4, "https://openai.com/x")]
+    items = spark.createDataFrame([(p, u, f"t{p}", "web", f"l{p}") for p, u in rows], "pos long, url string, title string, source_type string, label string")
+    groups = spark.createDataFrame([(1, [0, 1, 2, 3]), (2, [3, 0]), (3, [0, 4])], "group_id long, members array<long>")
+    primary = lambda answers=None: {(r["group_id"], r["pos"]) for r in M.event_sources(items, groups, answers).collect() if r["is_primary"]}
+    assert primary() == {(1, 1), (2, 3), (3, 4)}
+    said = spark.createDataFrame([(0, "https://example.com/1", "official_company_blog"), (0, "https://arxiv.org/abs/1", "social_post")], "primary_pos long, url string, role string")
+    assert primary(said) == {(1, 0), (2, 3), (3, 0)}
+    assert M.event_sources(items, groups).count() == 8 and M.event_sources(items.limit(0), groups).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.urls import ROLE_PRIORITY, normalize_url
+from tidemark.functions.urls import ROLE_PRIORITY, normalize_url, with_role
 
 MOST_IMAGES, TITLE_CHARS = 20, 60
 
@@ -59,13 +59,18 @@ def merge_extraction(items: DataFrame, fields: list[str], key: str = "key") -> D
     return agg.select(key, chosen.alias("e")).select(key, "e.*")
 
 
+def first_images(shown: DataFrame, key: str) -> DataFrame:
+    """Per key of (key, at, place, image) up to MOST_IMAGES distinct images, by at and place."""
+    first = shown.groupBy(key, "image").agg(F.min(F.struct("at", "place")).alias("order"))
+    ranked = first.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy("order"))).filter(F.col("n") <= MOST_IMAGES)
+    return ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "image"))), lambda x: x["image"]).alias("images"))
+
+
 def merge_images(items: DataFrame, key: str = "key") -> DataFrame:
     """Per key up to MOST_IMAGES distinct images, the primary's first, then by pos and place."""
     mine = items.join(primaries(items, key).select(key, "primary_pos"), key)
     one = mine.select(key, F.when(F.col("pos") == F.col("primary_pos"), -1).otherwise(F.col("pos")).alias("at"), F.posexplode("images").alias("place", "image"))
-    first = one.groupBy(key, "image").agg(F.min(F.struct("at", "place")).alias("order"))
-    ranked = first.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy("order"))).filter(F.col("n") <= MOST_IMAGES)
-    return ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "image"))), lambda x: x["image"]).alias("images"))
+    return first_images(one, key)
 
 
 def merge_metadata(entries: DataFrame, key: str = "key") -> DataFrame:
@@ -100,17 +105,74 @@ def source_label(columns: list[str]) -> Column:
     return F.coalesce(*chain, F.lit("unknown"))
 
 
-def merge_event_groups(items: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(survivors, coverage) for groups (group_id, members: array of pos): the first member stays, the other valid ones go and are covered by it.
+def event_members(items: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, primary_pos, at, pos) of groups (group_id, members: array of pos): the primary at 0, and the other members that are items.
 
-    Groups of any size can come as rows (group_id, primary_pos, at, pos) instead, the primary at 0.
+    Groups of one member or without a primary among the items, and null members, are none. Groups of any size can come as rows
+    of the result's columns instead.
     """
-    members = groups.select("group_id", F.col("members")[0].alias("primary_pos"), F.posexplode("members").alias("at", "pos")) if "members" in groups.columns else groups
+    members = groups.filter(F.size("members") > 1).select("group_id", F.col("members")[0].alias("primary_pos"), F.posexplode("members").alias("at", "pos")) if "members" in groups.columns else groups.select("group_id", "primary_pos", "at", "pos")
     valid = members.join(items.select("pos"), "pos").join(items.select(F.col("pos").alias("primary_pos")), "primary_pos")
-    dropped = valid.filter("at > 0 AND pos != primary_pos")
+    return valid.filter("at = 0 OR pos != primary_pos").select("group_id", "primary_pos", "at", "pos")
+
+
+def merge_event_groups(items: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(survivors, coverage) for groups as event_members takes them: the first member stays, the other valid ones go and are covered by it."""
+    dropped = event_members(items, groups).filter("at > 0")
     return items.join(dropped.select("pos").distinct(), "pos", "left_anti"), dropped.select("group_id", "primary_pos", F.col("pos").alias("covered_pos"))
 
 
+def merge_events(items: DataFrame, groups: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """The survivors of items (pos, content, source_type[, images]) with what they cover folded into them; other columns are kept.
+
+    In order of groups and members, contents are appended under their source type unless contained, and images (distinct, at
+    most MOST_IMAGES) follow the primary's. ``facts`` (group_id, facts) adds ``merged_facts``, those of all groups of a primary.
+    Equal contents of a primary are one, and those that its own content holds are gone, before any are gathered; what is
+    gathered is what the merged content can hold. Members bring their own content only: groups are not chained.
+    """
+    members = event_members(items, groups)
+    covered = members.filter("at > 0").withColumn("place", F.struct("group_id", "at"))
+    kept = items.join(covered.select("pos").distinct(), "pos", "left_anti")
+    own = items.select(F.col("pos").alias("primary_pos"), F.coalesce("content", F.lit("")).alias("own"))
+    parts = covered.join(items.select("pos", "content", "source_type").filter(truthy(F.col("content"))), "pos")
+    first = parts.groupBy("primary_pos", "content").agg(F.min("place").alias("place"), F.min_by("source_type", "place").alias("kind"))
+    fresh = first.join(own, "primary_pos").filter(~F.col("own").contains(F.col("content")))
+    gathered = fresh.groupBy("primary_pos").agg(F.first("own").alias("own"), F.array_sort(F.collect_list(F.struct("place", "kind", "content"))).alias("parts"))
+    label = lambda p: F.concat(F.lit("\n\n--- From "), F.coalesce(p["kind"], F.lit("unknown")), F.lit(" ---\n"))
+    grown = F.aggregate("parts", F.col("own"), lambda text, p: F.when(text.contains(p["content"]), text).otherwise(F.concat(text, label(p), p["content"])))
+    merged = kept.join(gathered.select(F.col("primary_pos").alias("pos"), grown.alias("_grown")), "pos", "left")
+    merged = merged.withColumn("content", F.coalesce("_grown", "content")).drop("_grown")
+    if "images" in items.columns:
+        mine = covered.select("primary_pos", "place", "pos").join(items.select("pos", "images"), "pos").select("primary_pos", F.lit(1).alias("other"), "place", "images")
+        heads = covered.select("primary_pos").distinct().join(items.select(F.col("pos").alias("primary_pos"), "images"), "primary_pos")
+        shown = mine.unionByName(heads.select("primary_pos", F.lit(0).alias("other"), F.lit(None).cast(covered.schema["place"].dataType).alias("place"), "images"))
+        one = shown.select("primary_pos", F.struct("other", "place").alias("at"), F.posexplode("images").alias("place", "image"))
+        merged = merged.join(first_images(one, "primary_pos").select(F.col("primary_pos").alias("pos"), F.col("images").alias("_images")), "pos", "left")
+        merged = merged.withColumn("images", F.coalesce("_images", "images")).drop("_images")
+    if facts is not None:
+        told = members.filter("at = 0").select("group_id", "primary_pos").join(facts.select("group_id", "facts").filter("facts IS NOT NULL"), "group_id")
+        listed = told.groupBy("primary_pos").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("group_id", "facts"))), lambda t: t["facts"])).alias("merged_facts"))
+        merged = merged.join(listed.withColumnRenamed("primary_pos", "pos"), "pos", "left")
+    return merged
+
+
+def event_sources(items: DataFrame, groups: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Source entries of each group's members, of items (pos, url, title, source_type, label): group_id, primary_pos, at, pos, label, url, role, title, is_primary.
+
+    The entries with the URL of the most authoritative one, the first on a tie, are primary. ``answers`` (primary_pos, url,
+    role) are a model's own roles; they count for the entry of the group's primary if the URL is its.
+    """
+    entries = with_role(event_members(items, groups).join(items.select("pos", "url", "title", "source_type", "label"), "pos"))
+    if answers is not None:
+        said = answers.groupBy("primary_pos", "url").agg(F.max("role").alias("said")).withColumn("at", F.lit(0))
+        entries = entries.join(said, ["primary_pos", "url", "at"], "left").withColumn("role", F.coalesce("said", "role")).drop("said")
+    priority = F.create_map(*(F.lit(x) for pair in ROLE_PRIORITY.items() for x in pair))
+    ranked = entries.withColumn("_order", F.struct(F.coalesce(priority[F.col("role")], F.lit(10)).alias("n"), "at"))
+    best = ranked.groupBy("group_id").agg(F.min_by("url", "_order").alias("best"))
+    marked = ranked.join(best, "group_id").withColumn("is_primary", F.col("url").eqNullSafe(F.col("best")))
+    return marked.select("group_id", "primary_pos", "at", "pos", "label", "url", "role", "title", "source_type", "is_primary")
+
+
 def event_candidates(items: DataFrame, percent: int = 50) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): classes of items (id, tokens) with equal token sets, and pairs of class representatives whose Jaccard similarity reaches the percentage.
 

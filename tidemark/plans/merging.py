@@ -82,15 +82,20 @@ def d7_url_role(spark, sf_dir):
     return U.with_role(links(spark, sf_dir))
 
 
+_PRIORITY = "CASE role " + " ".join(f"WHEN '{r}' THEN {n}" for r, n in U.ROLE_PRIORITY.items()) + " END"
 _GROUPS = "g AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1), d AS (SELECT doc_id, first FROM documents JOIN g USING (text) WHERE doc_id <> first)"
 
 
-def _event_groups(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+def _text_groups(d):
+    """Documents of one text are an event, at = 0 the first and else the number behind it."""
     keyed = d.filter("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("hash"))
     first = keyed.groupBy("hash", "text").agg(F.min("doc_id").alias("primary_pos"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    ids = keyed.join(first, ["hash", "text"]).selectExpr("primary_pos AS group_id", "primary_pos", "IF(doc_id = primary_pos, 0, 1) AS at", "doc_id AS pos")
-    return M.merge_event_groups(d.selectExpr("doc_id AS pos", "source"), ids)
+    return keyed.join(first, ["hash", "text"]).selectExpr("primary_pos AS group_id", "primary_pos", "doc_id - primary_pos AS at", "doc_id AS pos")
+
+
+def _event_groups(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return M.merge_event_groups(d.selectExpr("doc_id AS pos", "source"), _text_groups(d))
 
 
 @query(f"WITH {_GROUPS} SELECT doc_id AS pos, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM d)")
@@ -103,6 +108,46 @@ def d8_event_coverage(spark, sf_dir):
     return _event_groups(spark, sf_dir)[1].select("primary_pos", "covered_pos")
 
 
+_TURNS = """turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS at_ FROM (SELECT conv_id, turn, any_value(role) AS role, any_value(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn)),
+pics AS (SELECT conv_id, image, min(row(at_, place)) AS o FROM (SELECT conv_id, at_, unnest([0, 1]) AS place, unnest(['i' || turn, 'j' || (length(coalesce(text, '')) % 5)]) AS image FROM turns) GROUP BY ALL),
+seen AS (SELECT conv_id, string_agg(image, ',' ORDER BY o) AS images FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY o) AS n FROM pics) WHERE n <= 20 GROUP BY conv_id)"""
+
+
+def _turns(spark, sf_dir):
+    """A turn as an item; all turns of a conversation are one event, and its first turn is the primary."""
+    c = table(spark, sf_dir, "conversations").filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    items = c.selectExpr("conv_id", "turn", "concat(conv_id, ':', turn) AS pos", "text AS content", "coalesce(role, 'unknown') AS source_type", "array(concat('i', turn), concat('j', length(coalesce(text, '')) % 5)) AS images")
+    first = items.groupBy("conv_id").agg(F.min_by("pos", "turn").alias("primary_pos"), F.min("turn").alias("first"))
+    return items, items.join(first, "conv_id").selectExpr("conv_id AS group_id", "primary_pos", "turn - first AS at", "pos")
+
+
+@query(f"""WITH {_TURNS}, l AS (SELECT conv_id, list({{'text': coalesce(text, ''), 'kind': coalesce(role, 'unknown')}} ORDER BY at_) AS parts, conv_id || ':' || min(turn) AS pos FROM turns GROUP BY conv_id)
+SELECT pos, list_reduce(parts, lambda a, p: {{'text': CASE WHEN contains(a.text, p.text) THEN a.text ELSE a.text || chr(10) || chr(10) || '--- From ' || p.kind || ' ---' || chr(10) || p.text END, 'kind': a.kind}}).text AS content, images, 'turns of ' || conv_id AS facts
+FROM l JOIN seen USING (conv_id)""")
+def d8_merge_events(spark, sf_dir):
+    items, groups = _turns(spark, sf_dir)
+    facts = groups.select("group_id").distinct().selectExpr("group_id", "array(concat('turns of ', group_id)) AS facts")
+    return M.merge_events(items, groups, facts).select("pos", F.coalesce("content", F.lit("")).alias("content"), F.array_join("images", ",").alias("images"), F.array_join("merged_facts", ",").alias("facts"))
+
+
+_SITES = [patterns.split()[-1] for patterns in U.ROLE_PREFIXES.values()] + ["example.com"]
+_SITE = f"concat('https://', element_at(array({', '.join(map(repr, _SITES))}), cast(doc_id % {len(_SITES)} AS int) + 1), '/', doc_id % 50)"
+
+
+@query(f"""WITH {_GROUPS}, {_ROLES}, m AS (SELECT first, doc_id FROM d UNION ALL SELECT first, first FROM g WHERE text IS NOT NULL),
+u AS (SELECT *, ([{', '.join(map(repr, _SITES))}])[doc_id % {len(_SITES)} + 1] || '/' || (doc_id % 50) AS f FROM m),
+e AS (SELECT first, doc_id, f, coalesce(arg_max(role, length(pattern)), 'unknown') AS role FROM u LEFT JOIN roles ON starts_with(f, pattern) GROUP BY ALL),
+p AS (SELECT *, CASE WHEN doc_id = first AND doc_id % 2 = 0 THEN 'paper' ELSE role END AS said FROM e),
+b AS (SELECT first, arg_min(f, {_PRIORITY.replace("CASE role", "CASE said")} * 1000000000000 + doc_id) AS best FROM p GROUP BY first)
+SELECT p.first AS primary_pos, doc_id AS pos, 'https://' || f AS url, said AS role, f = best AS is_primary FROM p JOIN b ON p.first = b.first""")
+def d8_event_sources(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    items = d.selectExpr("doc_id AS pos", f"{_SITE} AS url", "source AS title", "'web' AS source_type", "source AS label")
+    answers = items.filter("pos % 2 = 0").selectExpr("pos AS primary_pos", "url", "'paper' AS role")
+    groups = _text_groups(d)
+    return M.event_sources(items, groups, answers).select("primary_pos", "pos", "url", "role", "is_primary")
+
+
 _SETS = "s AS (SELECT p_partkey AS id, list_sort(list_distinct(string_split(p_name || ' ' || p_brand, ' '))) AS t FROM part), r AS (SELECT t, min(id) AS rep FROM s GROUP BY t)"
 
 
@@ -122,7 +167,6 @@ def d9_event_classes(spark, sf_dir):
 
 
 _ENTRIES = f"{_LINKS}, {_ROLES}, l AS (SELECT page_id % 200 AS key, page_id AS pos, url, 'title of ' || url AS title, {_FULL} AS f FROM links), e AS (SELECT key, pos, url, title, coalesce(arg_max(role, length(pattern)), 'unknown') AS role FROM l LEFT JOIN roles ON starts_with(f, pattern) GROUP BY ALL)"
-_PRIORITY = "CASE role " + " ".join(f"WHEN '{r}' THEN {n}" for r, n in U.ROLE_PRIORITY.items()) + " END"
 
 
 @query(f"""WITH {_ENTRIES}, u AS (SELECT key, url, min(pos) AS pos, arg_min(title, pos) AS title, arg_min(role, pos) AS role FROM e GROUP BY key, url),
