@@ -2,32 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Query parameters that do not change which page a URL means.
-TRACKING_PARAMS = """
-utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid gclsrc dclid gbraid wbraid msclkid twclid
-sc_campaign sc_channel sc_content sc_medium sc_outcome sc_geo sc_country ref source source_type from isappinstalled
-""".split()
+TRACKING_PARAMS = [
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "gclsrc", "dclid", "gbraid",
+    "wbraid", "msclkid", "twclid", "sc_campaign", "sc_channel", "sc_content", "sc_medium", "sc_outcome", "sc_geo", "sc_country",
+    "ref", "source", "source_type", "from", "isappinstalled",
+]
 # Hosts and file endings that hold no article.
-SKIPPED_HOSTS = """
-github.com gitlab.com bitbucket.org x.com twitter.com t.me telegram.org reddit.com redd.it news.ycombinator.com lobste.rs
-producthunt.com youtube.com youtu.be discord.com discord.gg
-""".split()
-SKIPPED_ENDINGS = ".jpg .jpeg .png .gif .svg .webp .ico .mp3 .mp4 .avi .mov .webm .pdf .doc .docx .xls .xlsx .ppt .pptx .zip .tar .gz .bz2 .7z .rar".split()
+SKIPPED_HOSTS = [
+    "github.com", "gitlab.com", "bitbucket.org", "x.com", "twitter.com", "t.me", "telegram.org", "reddit.com", "redd.it",
+    "news.ycombinator.com", "lobste.rs", "producthunt.com", "youtube.com", "youtu.be", "discord.com", "discord.gg",
+]
+SKIPPED_ENDINGS = [
+    ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".ico", ".mp3", ".mp4", ".avi", ".mov", ".webm", ".pdf", ".doc", ".docx",
+    ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".tar", ".gz", ".bz2", ".7z", ".rar",
+]
 # Marks of pictures that are no photographs.
-ICON_MARKS = "icon logo sprite badge avatar pixel spacer tracking".split()
+ICON_MARKS = ["icon", "logo", "sprite", "badge", "avatar", "pixel", "spacer", "tracking"]
 # Roles of sources by the beginning of host and path; the longest beginning counts.
 ROLE_PREFIXES = {
-    "official_model_page": "github.com huggingface.co modelscope.cn gitlab.com bitbucket.org",
-    "paper": "arxiv.org arxiv.org/abs openreview.net paperswithcode.com proceedings.neurips.cc proceedings.mlr.press dl.acm.org ieeexplore.ieee.org aclanthology.org research.google ai.meta.com/research cdn.openai.com/papers",
-    "official_company_blog": "openai.com anthropic.com deepmind.google blog.google ai.googleblog.com ai.meta.com/blog about.fb.com engineering.fb.com aws.amazon.com/blogs azure.microsoft.com blogs.microsoft.com nvidia.com/blog developer.nvidia.com blog.x.ai x.ai/blog mistral.ai cohere.com stability.ai deepseek.com tech.meituan.com seed.bytedance.com qwenlm.github.io huggingface.co/blog",
-    "expert_blog": "simonwillison.net karpathy.ai lilianweng.github.io ycombinator.com gwern.net colah.github.io jalammar.github.io",
-    "aggregator": "news.ycombinator.com reddit.com lobste.rs producthunt.com techmeme.com",
-    "media_report": "techcrunch.com theverge.com arstechnica.com wired.com venturebeat.com zdnet.com theregister.com bloomberg.com reuters.com techinasia.com 36kr.com jiqizhixin.com theinformation.com infoq.com thenewstack.io",
-    "social_post": "x.com twitter.com t.me telegram.org linkedin.com weibo.com zhihu.com",
-    "community_discussion": "stackoverflow.com discord.com discuss.pytorch.org community.openai.com huggingface.co/spaces",
+    "official_model_page": [
+        "github.com", "huggingface.co", "modelscope.cn", "gitlab.com", "bitbucket.org",
+    ],
+    "paper": [
+        "arxiv.org", "arxiv.org/abs", "openreview.net", "paperswithcode.com", "proceedings.neurips.cc", "proceedings.mlr.press",
+        "dl.acm.org", "ieeexplore.ieee.org", "aclanthology.org", "research.google", "ai.meta.com/research",
+        "cdn.openai.com/papers",
+    ],
+    "official_company_blog": [
+        "openai.com", "anthropic.com", "deepmind.google", "blog.google", "ai.googleblog.com", "ai.meta.com/blog", "about.fb.com",
+        "engineering.fb.com", "aws.amazon.com/blogs", "azure.microsoft.com", "blogs.microsoft.com", "nvidia.com/blog",
+        "developer.nvidia.com", "blog.x.ai", "x.ai/blog", "mistral.ai", "cohere.com", "stability.ai", "deepseek.com",
+        "tech.meituan.com", "seed.bytedance.com", "qwenlm.github.io", "huggingface.co/blog",
+    ],
+    "expert_blog": [
+        "simonwillison.net", "karpathy.ai", "lilianweng.github.io", "ycombinator.com", "gwern.net", "colah.github.io",
+        "jalammar.github.io",
+    ],
+    "aggregator": [
+        "news.ycombinator.com", "reddit.com", "lobste.rs", "producthunt.com", "techmeme.com",
+    ],
+    "media_report": [
+        "techcrunch.com", "theverge.com", "arstechnica.com", "wired.com", "venturebeat.com", "zdnet.com", "theregister.com",
+        "bloomberg.com", "reuters.com", "techinasia.com", "36kr.com", "jiqizhixin.com", "theinformation.com", "infoq.com",
+        "thenewstack.io",
+    ],
+    "social_post": [
+        "x.com", "twitter.com", "t.me", "telegram.org", "linkedin.com", "weibo.com", "zhihu.com",
+    ],
+    "community_discussion": [
+        "stackoverflow.com", "discord.com", "discuss.pytorch.org", "community.openai.com", "huggingface.co/spaces",
+    ],
 }
 # Lower numbers are more authoritative.
 ROLE_PRIORITY = {"official_company_blog": 1, "official_product_page": 2, "official_model_page": 3, "paper": 4, "social_post": 5, "media_report": 6, "expert_blog": 7, "community_discussion": 8, "aggregator": 9, "unknown": 10}
@@ -86,14 +114,10 @@ def safe_link(url: Column) -> Column:
     return F.coalesce(F.lower(url).rlike("^https?://[^/?#]+") & ~url.rlike(r"[\x00-\x20\x7f<>\[\]]") & (opened == closed), F.lit(False))
 
 
-def role_table(spark: SparkSession) -> DataFrame:
-    """(pattern, role), a dimension of under a hundred rows."""
-    return spark.createDataFrame([(p, role) for role, patterns in ROLE_PREFIXES.items() for p in patterns.split()], "pattern string, role string")
-
-
-def with_role(items: DataFrame, url: str = "url", key: str = "pos") -> DataFrame:
+def with_role(items: DataFrame, url: str = "url") -> DataFrame:
     """Adds ``role``: that of the longest listed beginning of host and path, else unknown."""
+    role_of = {p: role for role, patterns in ROLE_PREFIXES.items() for p in patterns}
+    longest_first = "|".join(p.replace(".", r"\.") for p in sorted(role_of, key=len, reverse=True))
     full = F.concat(bare_host(F.col(url)), F.lower(path(F.col(url))))
-    roles = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(role).alias("role")) for role, patterns in ROLE_PREFIXES.items() for p in patterns.split()))
-    fits = F.array_sort(F.filter(roles, lambda r: F.col("_full").startswith(r["pattern"])), lambda a, b: F.length(b["pattern"]) - F.length(a["pattern"]))
-    return items.withColumn("_full", full).withColumn("role", F.coalesce(F.get(F.transform(fits, lambda r: r["role"]), F.lit(0)), F.lit("unknown"))).drop("_full")
+    roles = F.create_map(*(F.lit(x) for pair in role_of.items() for x in pair))
+    return items.withColumn("role", F.coalesce(roles[F.regexp_extract(full, f"^({longest_first})", 1)], F.lit("unknown")))

@@ -72,7 +72,7 @@ def d6_source_label(spark, sf_dir):
     return e.select("event_id", M.source_label(e.columns).alias("label"))
 
 
-_ROLES = "roles(pattern, role) AS (VALUES " + ", ".join(f"('{p}', '{r}')" for r, ps in U.ROLE_PREFIXES.items() for p in ps.split()) + ")"
+_ROLES = "roles(pattern, role) AS (VALUES " + ", ".join(f"('{p}', '{r}')" for r, ps in U.ROLE_PREFIXES.items() for p in ps) + ")"
 _FULL = rf"regexp_replace(lower(regexp_extract(url, '{U.HOST}', 1)), '^www\.', '') || lower(regexp_extract(url, '{U.PATH}', 1))"
 
 
@@ -130,7 +130,7 @@ def d8_merge_events(spark, sf_dir):
     return M.merge_events(items, groups, facts).select("pos", F.coalesce("content", F.lit("")).alias("content"), F.array_join("images", ",").alias("images"), F.array_join("merged_facts", ",").alias("facts"))
 
 
-_SITES = [patterns.split()[-1] for patterns in U.ROLE_PREFIXES.values()] + ["example.com"]
+_SITES = [patterns[-1] for patterns in U.ROLE_PREFIXES.values()] + ["example.com"]
 _SITE = f"concat('https://', element_at(array({', '.join(map(repr, _SITES))}), cast(doc_id % {len(_SITES)} AS int) + 1), '/', doc_id % 50)"
 
 
