@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import types as T
 
 from tidemark.llm import neardup
@@ -90,8 +92,84 @@ def test_group_about_the_threshold(spark, monkeypatch):
     assert left[0] < 260 * 4
 
 
+def long_group(members, words, changed, own, seed=4):
+    """Copies of one text: the last ``own`` words are each copy's own, and ``changed`` single words elsewhere are."""
+    pick = random.Random(seed)
+    base, texts = [f"v{pick.randrange(100_000)}" for _ in range(words)], []
+    for k in range(members):
+        copy = base[: words - own] + [f"own{k}x{n}" for n in range(own)]
+        for edit, at in enumerate(pick.sample(range(words - own), changed)):
+            copy[at] = f"edit{k}x{edit}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def met_and_left(spark, monkeypatch, texts):
+    """Pairs of open nodes that are looked at, that leave the join, and that are confirmed on texts; and the result's rows."""
+    seen = {}
+    sides, refuted, open_pairs = neardup._sides, neardup._refuted, neardup._open_pairs
+
+    def counted_sides(early, percent):
+        x, y = sides(early, percent)
+        rows = x.join(y, (x.shingle == y.of) & (x["class"] == y.of_class) & (x.minor_x | y.minor_y) & (x.node_x != y.node_y))
+        seen["met"] = rows.count()
+        return x, y
+
+    def counted_refuted(pairs, *rest):
+        seen["left"] = pairs.count()
+        return refuted(pairs, *rest)
+
+    def counted_pairs(*args):
+        pairs, paths = open_pairs(*args)
+        seen["confirmed"] = pairs.count()
+        return pairs, paths
+
+    with monkeypatch.context() as patched:
+        patched.setattr(neardup, "_sides", counted_sides)
+        patched.setattr(neardup, "_refuted", counted_refuted)
+        patched.setattr(neardup, "_open_pairs", counted_pairs)
+        rows = [(k, text, "x") for k, text in enumerate(texts)]
+        found = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    return seen, sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str), rows
+
+
+@pytest.mark.parametrize(("words", "own"), [(1000, 240), (1000, 170), (5000, 850)])
+def test_long_texts_with_parts_of_their_own_do_not_meet(spark, monkeypatch, words, own):
+    """Pairs at 0.61 and 0.71: no row of the join, however many they are."""
+    for members in (30, 60):
+        seen, found, rows = met_and_left(spark, monkeypatch, long_group(members, words, 0, own))
+        assert found == brute(rows) and len({c for _, _, c in found}) == members
+        assert seen == {"met": 0, "left": 0, "confirmed": 0}
+
+
+@pytest.mark.parametrize("words", [1000, 5000])
+def test_long_texts_with_scattered_edits_are_refuted_by_wide_sketches(spark, monkeypatch, words):
+    """Pairs at 0.6 whose own shingles lie scattered meet, but none is confirmed on texts."""
+    seen, found, rows = met_and_left(spark, monkeypatch, long_group(40, words, words * 28 // 1000, 0))
+    assert found == brute(rows) and len({c for _, _, c in found}) == 40
+    assert seen["confirmed"] == 0
+
+
+def test_groups_across_sizes_and_the_threshold(spark, monkeypatch):
+    """Edits, own parts and lengths mixed, so that links and no links of unequal sizes stand side by side."""
+    pick, texts = random.Random(12), []
+    base = [f"v{pick.randrange(5000)}" for _ in range(300)]
+    for k in range(150):
+        copy = base[: pick.randrange(200, 301)]
+        for edit in range(pick.choice([0, 2, 5, 8])):
+            copy[pick.randrange(len(copy))] = f"edit{k % 9}x{edit}"
+        texts.append(" ".join(copy + [f"own{k}x{n}" for n in range(pick.choice([0, 10, 40, 60]))]))
+    _, found, rows = met_and_left(spark, monkeypatch, texts)
+    assert found == brute(rows) and 1 < len({c for _, _, c in found}) < 150
+
+
 def test_sketches_never_refute_a_link():
     shingle = neardup.Shingler()
+    for text in long_group(6, 1000, 10, 30) + long_group(3, 300, 5, 10):
+        for other in long_group(4, 1000, 20, 100) + ["a b", ""]:
+            x, y = shingle(text), shingle(other)
+            bits = int(np.bitwise_count(np.bitwise_xor(*neardup.folded(neardup.wide_sketch(x), neardup.wide_sketch(y)))).sum())
+            assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
     sets = [shingle(text) for text in threshold_group(60)]
     for x in sets:
         for y in sets:

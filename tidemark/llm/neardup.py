@@ -3,15 +3,18 @@
 Candidates share a band; every link is confirmed on the full shingle sets. Equal sets are one class from the start, so
 copies are never compared. Within a band bucket all members are first compared with one centre; what is then joined
 needs no further comparison. Members that are still in different components of one bucket are the open ones. For them all
-links that are left are found by their rarest shingles: two similar sets must share one early in the order of rarity.
-Sketches refute nearly all of these pairs in the join itself: a sketch has a bit for the parity of the shingles that fall
-on it, so two sets differ in at least as many shingles as their sketches differ in bits. In a group whose members lie
-about the threshold the pairs looked at in the join still grow with the square of the group; those that leave it are
-about as many as there are links.
+links that are left are found by their rarest shingles: two similar sets must share one early in the order of rarity, earlier the nearer
+their sizes are, so sets with more than a seventh of shingles of their own (at 75 %) do not meet in sets of their size at all.
+Sketches refute what meets: a sketch has a bit for the parity of the shingles that fall on it, so two sets differ in at
+least as many shingles as their sketches differ in bits. A narrow one is compared in the join itself and suffices up to some
+400 shingles; pairs of longer texts leave the join as ids and meet sketches whose width follows the size. Texts are moved
+only for what is left, which is about as much as there are links. In a group about the threshold whose members differ by
+fewer shingles of their own, or by shingles that many of them share, the pairs looked at still grow with its square.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -19,7 +22,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,8 +35,10 @@ BANDS, PERMUTATIONS_PER_BAND = 40, 2
 ORDERS = 8
 #: Shingles that are hashed by all permutations at a time.
 BLOCK = 2048
-#: 64-bit words of a parity sketch.
-SKETCH_WORDS = 8
+#: 64-bit words of the parity sketches that the join itself compares, and bits for each shingle of the wide ones.
+SKETCH_WORDS, WIDE_BITS = 8, 4
+#: Step of the size classes in which the larger of two sets meets smaller ones.
+CLASS_STEP = 1.05
 _draw = np.random.default_rng(20_240_501)
 MULTIPLIERS = _draw.integers(0, 2**63, BANDS * PERMUTATIONS_PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BAND_WEIGHTS = _draw.integers(0, 2**63, (BANDS, 2 * PERMUTATIONS_PER_BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,8 +141,23 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(shingles: np.ndarray) -> np.ndarray:
+    """As parity_sketch, with a power of two of at least WIDE_BITS bits for each shingle, so that no size fills it up."""
+    bits = max(64 * SKETCH_WORDS, 1 << (WIDE_BITS * max(1, len(shingles)) - 1).bit_length())
+    return np.packbits((np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def folded(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two wide sketches at the width of the narrower one: halves laid on each other keep parity."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return x, y
+
+
 def _shredded(texts: DataFrame) -> DataFrame:
-    """(node, shingles, s0, s1, ...): the sets of the texts with their sketches."""
+    """(node, shingles, wide, s0, s1, ...): the sets of the texts with their sketches."""
     sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,17 +165,53 @@ def _shredded(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for node, text in zip(batch.column(0), batch.column(1), strict=True):
                 found = shingle(text.as_py())
-                arrays = [pa.array([node.as_py()], pa.binary()), pa.array([found.view(np.int64)], pa.list_(pa.int64())), *(pa.array([word]) for word in parity_sketch(found))]
-                yield pa.RecordBatch.from_arrays(arrays, ["node", "shingles", *sketch])
+                arrays = [pa.array([node.as_py()], pa.binary()), pa.array([found.view(np.int64)], pa.list_(pa.int64())), pa.array([wide_sketch(found).tobytes()], pa.binary()), *(pa.array([word]) for word in parity_sketch(found))]
+                yield pa.RecordBatch.from_arrays(arrays, ["node", "shingles", "wide", *sketch])
+
+    return texts.mapInArrow(shred, "node binary, shingles array<long>, wide binary, " + ", ".join(f"{c} long" for c in sketch))
+
+
+def size_class(n: Column) -> Column:
+    """Sizes in steps of CLASS_STEP."""
+    return F.floor(F.log(n.cast("double")) / math.log(CLASS_STEP)).cast("int")
+
+
+def _refuted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, both) that their wide sketches leave; both is the sum of their sizes."""
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for both, of_a, of_b in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                differ = int(np.bitwise_count(np.bitwise_xor(*folded(np.frombuffer(of_a.as_py(), np.uint8), np.frombuffer(of_b.as_py(), np.uint8)))).sum())
+                keep.append((100 + percent) * differ <= (100 - percent) * both)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    of_a = sketches.select(F.col("node").alias("a"), F.col("wide").alias("wide_a"))
+    of_b = sketches.select(F.col("node").alias("b"), F.col("wide").alias("wide_b"))
+    known = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "both", "wide_a", "wide_b")
+    return known.mapInArrow(leave, "a binary, b binary")
+
 
-    return texts.mapInArrow(shred, "node binary, shingles array<long>, " + ", ".join(f"{c} long" for c in sketch))
+def _sides(early: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What meets under (shingle, class): early rows of the smaller sets, and of the larger ones for each class of smaller sizes that they can still reach."""
+    smaller = early.filter((100 + percent) * F.col("room") >= 2 * percent * F.col("n")).withColumn("class", size_class(F.col("n")))
+    largest = F.least(F.col("n"), F.floor((100 + percent) * F.col("room") / percent) - F.col("n"))
+    least = F.ceil(F.col("n") * percent / 100)
+    larger = early.filter(largest >= least).withColumn("class", F.explode(F.sequence(size_class(least), size_class(largest))))
+    columns = [c for c in early.columns if c != "shingle"]
+    x = smaller.select("shingle", "class", *(F.col(c).alias(f"{c}_x") for c in columns))
+    y = larger.select(F.col("shingle").alias("of"), F.col("class").alias("of_class"), *(F.col(c).alias(f"{c}_y") for c in columns))
+    return x, y
 
 
 def _open_pairs(nodes: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
     """Pairs (a, b) of open nodes (node, n, part, minor) in different parts that can be similar; and scratch paths.
 
-    Shingles are ordered by the number of open sets that hold them. Similar sets share one of the first
-    n - ceil(n percent / 100) + 1 of either, and what can follow it must suffice for the overlap that similarity needs.
+    Shingles are ordered by the number of open sets that hold them, and ``room`` is what a set has from a place on. Sets of
+    m <= n shingles need an overlap of percent (m + n) / (100 + percent), so the first shingle that they share leaves both at
+    least that much room. For the smaller set that is at least twice its own share, whatever the larger one is; the larger
+    one meets, at each place, only those classes of smaller sizes for which its room suffices.
     """
     sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
     shreds, shreds_path = table(_shredded(texts.join(nodes.select("node"), "node", "left_semi")), "shreds")
@@ -164,17 +220,20 @@ def _open_pairs(nodes: DataFrame, texts: DataFrame, percent: int) -> tuple[DataF
     by_node = W.partitionBy("node")
     ranked = held.select("node", "shingle", F.row_number().over(by_node.orderBy("holders", "shingle")).alias("rank"), F.count("*").over(by_node).alias("shared"))
     known = nodes.join(shreds.select("node", *sketch), "node")
-    placed = ranked.join(known, "node").withColumn("place", F.col("n") - F.col("shared") + F.col("rank"))
-    early, early_path = table(placed.filter(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")).select("node", "n", "part", "minor", "shingle", "place", *sketch), "early")
-    x = early.filter("minor").select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "part", "place", *sketch)))
-    y = early.select(F.col("shingle").alias("of"), *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "part", "place", "minor", *sketch)))
+    placed = ranked.join(known, "node").withColumn("room", F.col("shared") - F.col("rank") + 1)
+    early, early_path = table(placed.filter(100 * F.col("room") >= percent * F.col("n")).select("node", "n", "part", "minor", "shingle", "room", *sketch), "early")
+    x, y = _sides(early, percent)
     both_sizes = F.col("n_x") + F.col("n_y")
-    fits = (100 + percent) * (1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))) >= percent * both_sizes
+    fits = (100 + percent) * F.least("room_x", "room_y") >= percent * both_sizes
     differ = reduce(add, (F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in sketch))
     near = (100 + percent) * differ <= (100 - percent) * both_sizes
-    once = ~F.col("minor_y") | (F.col("node_x") < F.col("node_y"))
-    pairs = x.join(y, (F.col("shingle") == F.col("of")) & (F.col("part_x") != F.col("part_y")) & once & fits & near)
-    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), [shreds_path, common_path, early_path]
+    once = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    meet = (F.col("shingle") == F.col("of")) & (F.col("class") == F.col("of_class")) & (F.col("part_x") != F.col("part_y")) & once & fits & near
+    # Two that are in the larger part of all their buckets are not open to each other, so one side is always in a smaller part.
+    met = x.filter("minor_x").join(y, meet).union(x.filter("NOT minor_x").join(y.filter("minor_y"), meet))
+    pairs = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), both_sizes.alias("both")).distinct()
+    pairs, pairs_path = table(pairs, "open-pairs")
+    return _refuted(pairs, shreds, percent), [shreds_path, common_path, early_path, pairs_path]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
