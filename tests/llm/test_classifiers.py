@@ -42,13 +42,33 @@ def test_grammar():
     grammar = X.Grammar(X.Lexicon(frozenset({"^gruf"}), frozenset({"meh"})))
     raw = grammar.raw
     assert raw("a kind word") == raw(None) == raw("") == 0
-    assert raw("idiot") == raw("GRUFFLE!") == 1.0 and raw("meh") == 0.5
-    assert raw("not an idiot") < raw("the idiot") < raw("you idiot")
-    assert raw("she said idiot") < raw("she left. idiot")
-    assert raw("kill time") == 0 and raw("I will kill you") > 1
-    assert raw("not. idiot") == 1.0
-    assert raw("you are such an idiot") == raw("idiot as you all are") == X.INSULT["I"] + X.TARGETED["I"]
-    assert raw("never kill you") == raw("he said kill you") == 0
+    bare = X.INSULT["I"]
+    assert raw("idiot") == raw("GRUFFLE!") == bare and raw("meh") == X.INSULT["i"]
+    assert raw("not an idiot") < raw("the idiot") < raw("you idiot") < raw("you are an idiot") == raw("you are such an idiot")
+    assert raw("she said idiot") < raw("she left. idiot") and raw("not. idiot") == bare
+    assert raw("idiot as you all like") == bare + X.TARGETED["I"] and raw("he is an idiot") == bare + X.PREDICATED["I"]
+    assert raw("kill time") == raw("did you crush the garlic") == raw("you beat them 3-0") == 0 and raw("I will kill you") == X.THREAT
+    assert raw("never kill you") == raw("I will never kill you") == raw("he said I will kill you") == 0
+
+
+def test_marks_do_not_end_clauses():
+    """Reported speech, negation and targets reach over commas, colons and quotation marks, but not over the end of a sentence."""
+    raw = X.Grammar(X.Lexicon(frozenset(), frozenset())).raw
+    plain = raw("you are an idiot")
+    for text in ("he said you are an idiot", "he said: you are an idiot", "he said, you are an idiot", 'he said: "you are an idiot"', "he said, “you are an idiot”"):
+        assert raw(text) < plain, text
+    assert raw("he said nothing. you are an idiot") == raw("he said!\nyou are an idiot") == plain
+    assert raw("not, an idiot") == raw("not an idiot") < raw("idiot") and raw("not; an idiot") == raw("idiot")
+    assert raw("I will kill, you") == raw("I will kill you") > 0 and raw("I will kill. you") == 0
+
+
+def test_bare_words_weigh_little():
+    """Without labels a bare word stays below the threshold, an address or a threat reaches it."""
+    grammar = X.Grammar(X.Lexicon(frozenset(), frozenset()))
+    for text in ("the pig farm", "a trash can", "the fool in King Lear", "did you crush the garlic", "you beat them 3-0", "burn the letter before you leave"):
+        assert grammar.score(grammar.raw(text)) < 0.5, text
+    for text in ("you are an idiot", "I will kill you", "we are going to hurt you"):
+        assert grammar.score(grammar.raw(text)) >= 0.7, text
 
 
 def written(machine, signs):
@@ -62,7 +82,7 @@ def written(machine, signs):
 def test_clause_weights_equal_path_enumeration():
     pick = random.Random(6)
     for _ in range(300):
-        signs = "".join(pick.choice("IiVTNR....") for _ in range(pick.randint(0, 14)))
+        signs = "".join(pick.choice("IiVTNRAP....") for _ in range(pick.randint(0, 14)))
         paths = {(signs, 0.0)}
         for machine in X.machines():
             paths = {(text, round(total + more, 9)) for before, total in paths for text, more in written(machine, before)}
@@ -72,7 +92,7 @@ def test_clause_weights_equal_path_enumeration():
 def test_scores_are_summed_clauses():
     """A text's score from the enumeration of its clauses, word by word, against the query's function."""
     lexicon = X.Lexicon(frozenset({"gruf"}), frozenset({"meh"}), (-2.0, 3.0))
-    grammar, kinds = X.Grammar(lexicon), {"gruf": "I", "meh": "i", "you": "T", "not": "N", "said": "R", "kill": "V", "lamp": "."}
+    grammar, kinds = X.Grammar(lexicon), {"gruf": "I", "meh": "i", "you": "T", "not": "N", "said": "R", "kill": "V", "lamp": ".", "we": "A", "such": "P"}
     pick = random.Random(8)
     for _ in range(200):
         clauses = [[pick.choice(list(kinds)) for _ in range(pick.randint(0, 8))] for _ in range(pick.randint(0, 5))]
@@ -82,7 +102,7 @@ def test_scores_are_summed_clauses():
             for machine in X.machines():
                 paths = {(text, x + more) for before, x in paths for text, more in written(machine, before)}
             total += max(x for _, x in paths)
-        text = pick.choice([". ", "\n", ", "]).join(map(" ".join, clauses))
+        text = pick.choice([". ", "\n", "; "]).join(map(" ".join, clauses))
         assert abs(grammar.raw(text) - total) < 1e-6
         assert abs(grammar.score(grammar.raw(text)) - 1 / (1 + np.exp(2 - 3 * np.log1p(total)))) < 1e-6
 

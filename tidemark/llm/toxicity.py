@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A clause is a string of signs: insult, weak insult, threat, target, negation, report, other. Five transducers are composed
-to one: insults carry weight, a negation before them and reported speech damp them, a target nearby sharpens them, and a
-threat counts only with a target nearby. The weight of a clause is that of the best path over it; words enter only through
-the signs on the arcs. A document's clause weights are summed and calibrated to a probability.
+A clause, which ends with a sentence, is a string of signs: insult, weak insult, threat, target, actor, predicate, negation,
+report, other. Six transducers are composed to one: a bare insult carries little weight, a negation before it and reported
+speech damp it, a predicate before it and a target nearby sharpen it, and a threat counts only after one who acts and before
+a target. Commas, colons and quotation marks are read over: speech is reported behind them too. The weight of a clause is
+that of the best path over it; words enter only through the signs on the arcs. A document's clause weights are summed and calibrated to a probability.
 """
 
 from __future__ import annotations
@@ -32,19 +33,24 @@ idiota imbécil estúpido estúpida basura escoria gilipollas cabrón inútil as
 """.split()
 THREATS = "kill hurt destroy beat smash burn shoot stab crush töten umbringen schlagen vernichten tuer frapper détruire brûler matar golpear destruir quemar".split()
 TARGETS = "you your you're they them their u dich dir euch du ihr toi vous ton votre te tú ti tu vosotros ustedes".split()
+ACTORS = "i i'll i'm we we'll we're will gonna going should must ich wir werde werden sollte je nous vais allons va yo nosotros voy vamos".split()
+PREDICATES = "is are am was such bist ist sind seid est es êtes sont eres son".split()
 NEGATIONS = "not never no isn't aren't wasn't don't nobody nicht kein keine nie pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say wrote quoted quote called reported sagte sagt schrieb zitierte dit disait écrit dijo dice escribió".split()
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 #: A learned feature needs so many toxic documents and such log odds.
 LEAST_TOXIC, LEAST_ODDS, STRONG_ODDS = 5, 3.5, 4.5
-SIGN = {"insult": "I", "weak": "i", "threat": "V", "target": "T", "negation": "N", "report": "R", "end": "|"}
-SIGNS = "IiVTNR."
-#: Weights: of an insult and a weak one; what a negation, a report and a target add to each; of a threat that has a target.
-INSULT, NEGATED, REPORTED, TARGETED, THREAT = {"I": 1.0, "i": 0.5}, {"I": -0.6, "i": -0.3}, {"I": -0.4, "i": -0.2}, {"I": 0.3, "i": 0.5}, 1.5
-#: How many words a negation reaches; how far a target is before or after an insult, and before or after a threat.
-NEGATION_REACH, TARGET_BEFORE, TARGET_AFTER, THREAT_REACH = 3, 4, 4, 4
+SIGN = {"insult": "I", "weak": "i", "threat": "V", "target": "T", "negation": "N", "report": "R", "actor": "A", "predicate": "P", "end": "|"}
+SIGNS = "IiVTNRAP."
+#: Weights: of an insult and a weak one; what a negation, a report, a predicate and a target add to each; of a threat by an actor at a target.
+INSULT, NEGATED, REPORTED = {"I": 0.5, "i": 0.3}, {"I": -0.4, "i": -0.25}, {"I": -0.3, "i": -0.2}
+PREDICATED, TARGETED, THREAT = {"I": 0.4, "i": 0.3}, {"I": 0.5, "i": 0.4}, 1.5
+#: How many words a negation and a predicate reach; how far a target is before or after an insult; an actor before a threat, and a target after it.
+NEGATION_REACH, PREDICATE_REACH, TARGET_BEFORE, TARGET_AFTER, ACTOR_REACH, THREAT_REACH = 3, 3, 4, 4, 4, 4
 LONGEST_REACH = 5
+#: Marks that end a clause, and marks that are read over as a word is.
+ENDS, MARKS = ".;!?|\x00", ",:"
 FAR = re.compile(rf"\.{{{LONGEST_REACH},}}")
 PART = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.,;:!?|\x00]")
 
@@ -55,7 +61,7 @@ class Lexicon:
 
     strong: frozenset[str]
     weak: frozenset[str]
-    calibration: tuple[float, float] = (-3.0, 4.0)
+    calibration: tuple[float, float] = (-3.0, 6.0)
 
 
 def _insults() -> Transducer:
@@ -84,34 +90,59 @@ def _reports() -> Transducer:
     return Transducer.of(0, [0, 1], before + after)
 
 
-def _near_target(weights: dict[str, float], wrote: str, before: int, after: int, unmatched: str, signs: str) -> Transducer:
-    """Signs with a target within reach on either side are written anew and gain weight.
+def _predicates() -> Transducer:
+    """The state is how many more words a predicate reaches; an insult there gains weight and keeps its sign."""
+    arcs: list[Arc] = []
+    for left in range(PREDICATE_REACH + 1):
+        for sign in SIGNS + "nr":
+            arcs.append((left, sign, sign, PREDICATED.get(sign, 0.0) if left else 0.0, PREDICATE_REACH if sign == "P" else max(0, left - 1)))
+    return Transducer.of(0, range(PREDICATE_REACH + 1), arcs)
+
+
+def _targets() -> Transducer:
+    """Insults with a target within reach on either side are written anew (S) and gain weight.
 
     State (k, "seen"): a target was read at most before - k words ago. State (k, "due"): a path has counted on a target that
-    must come within k words; it is not final. Both ways are open to a sign that no target precedes; the best path decides.
+    must come within k words; it is not final. Both ways are open to an insult that no target precedes; the best path decides.
     """
     free, arcs = (0, "seen"), []
-    for k, kind in [(k, "seen") for k in range(before + 1)] + [(k, "due") for k in range(1, after + 1)]:
+    for k, kind in [(k, "seen") for k in range(TARGET_BEFORE + 1)] + [(k, "due") for k in range(1, TARGET_AFTER + 1)]:
         on = (k - 1, kind) if k > (kind == "due") else free if kind == "seen" else None
-        for sign in signs:
+        for sign in SIGNS + "nr":
+            matched = sign in TARGETED
             if sign == "T":
-                arcs.append(((k, kind), "T", "T", 0.0, (before, "seen")))
-                continue
-            matched = sign in weights
-            if on and (kind == "due" or k):
-                arcs.append(((k, kind), sign, wrote if matched else sign, weights.get(sign, 0.0), on))
+                arcs.append(((k, kind), "T", "T", 0.0, (TARGET_BEFORE, "seen")))
+            elif on and (kind == "due" or k):
+                arcs.append(((k, kind), sign, "S" if matched else sign, TARGETED.get(sign, 0.0), on))
             elif on:
-                arcs.append(((k, kind), sign, unmatched or sign if matched else sign, 0.0, free))
+                arcs.append(((k, kind), sign, sign, 0.0, free))
                 if matched:
-                    arcs.append(((k, kind), sign, wrote, weights[sign], (after, "due")))
-    return Transducer.of(free, [(k, "seen") for k in range(before + 1)], arcs)
+                    arcs.append(((k, kind), sign, "S", TARGETED[sign], (TARGET_AFTER, "due")))
+    return Transducer.of(free, [(k, "seen") for k in range(TARGET_BEFORE + 1)], arcs)
+
+
+def _threats() -> Transducer:
+    """A threat (W) carries weight if an actor is within reach before it and a target after it; else it is another word.
+
+    State (left, due): how many more words an actor reaches, and, if due, within how many a target must come.
+    """
+    arcs: list[Arc] = []
+    for left in range(ACTOR_REACH + 1):
+        for due in range(THREAT_REACH + 1):
+            for sign in SIGNS + "nrS":
+                ahead = ACTOR_REACH if sign == "A" else max(0, left - 1)
+                if sign == "T":
+                    arcs.append(((left, due), sign, sign, 0.0, (ahead, 0)))
+                elif due != 1:
+                    arcs.append(((left, due), sign, "." if sign == "V" else sign, 0.0, (ahead, max(0, due - 1))))
+                if sign == "V" and left and due != 1:
+                    arcs.append(((left, due), sign, "W", THREAT, (ahead, due - 1 if due else THREAT_REACH)))
+    return Transducer.of((0, 0), [(left, 0) for left in range(ACTOR_REACH + 1)], arcs)
 
 
 def machines() -> list[Transducer]:
     """The transducers in the order of their composition."""
-    targets = _near_target(TARGETED, "S", TARGET_BEFORE, TARGET_AFTER, "", SIGNS + "nr")
-    threats = _near_target({"V": THREAT}, "W", THREAT_REACH, THREAT_REACH, ".", SIGNS + "nrS")
-    return [_insults(), _negations(), _reports(), targets, threats]
+    return [_insults(), _negations(), _reports(), _predicates(), _targets(), _threats()]
 
 
 @cache
@@ -129,7 +160,7 @@ class Grammar:
     """The signs of a text's words, by fixed words and a learned lexicon, and the weights of its clauses."""
 
     def __init__(self, lexicon: Lexicon):
-        self.classes = {w: SIGN[name] for name, words in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", THREATS), ("insult", INSULTS)) for w in words}
+        self.classes = {w: SIGN[name] for name, words in (("report", REPORTS), ("negation", NEGATIONS), ("predicate", PREDICATES), ("actor", ACTORS), ("target", TARGETS), ("threat", THREATS), ("insult", INSULTS)) for w in words}
         self.lexicon = lexicon
         self.signs = Memo(self._signs_of)
         self.clauses = Memo(clause_weight)
@@ -141,7 +172,7 @@ class Grammar:
         return "I" if any(f in self.lexicon.strong for f in features) else "i" if any(f in self.lexicon.weak for f in features) else "."
 
     def _signs_of(self, token: str) -> str:
-        return "".join("|" if part in ".,;:!?|\x00" else self._sign(part) for part in PART.findall(token))
+        return "".join("|" if part in ENDS else "." if part in MARKS else self._sign(part) for part in PART.findall(token))
 
     def raw(self, text: str | None) -> float:
         """The summed weights of the clauses."""
@@ -169,10 +200,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """A logistic fit of label on log(1 + raw), by Newton steps with a small ridge."""
-    x, w = np.stack([np.ones(len(raw)), np.log1p(raw)], axis=1), np.array([-3.0, 4.0])
+    x, w = np.stack([np.ones(len(raw)), np.log1p(raw)], axis=1), np.array(Lexicon.calibration)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - label) + 0.02 * (w - [-3.0, 4.0])
+        gradient = x.T @ (p - label) + 0.02 * (w - Lexicon.calibration)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.02 * np.eye(2), gradient)
         w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
     return float(w[0]), float(max(0.5, w[1]))
