@@ -1,8 +1,10 @@
 """Event groups of equal texts, null texts among them."""
 
+import random
 from collections import Counter
 
 import duckdb
+import pytest
 
 from tidemark import registry
 from tidemark.operators import merging as M
@@ -77,3 +79,44 @@ def test_event_sources(spark):
     said = spark.createDataFrame([(0, "https://example.com/1", "official_company_blog"), (0, "https://arxiv.org/abs/1", "social_post")], "primary_pos long, url string, role string")
     assert primary(said) == {(1, 0), (2, 3), (3, 0)}
     assert M.event_sources(items, groups).count() == 8 and M.event_sources(items.limit(0), groups).count() == 0
+
+
+def similar_sets(rows, percent):
+    """Pairs of class representatives by comparing all."""
+    reps = {}
+    for i, tokens in rows:
+        if tokens:
+            reps[frozenset(tokens)] = min(i, reps.get(frozenset(tokens), i))
+    known = sorted((i, t) for t, i in reps.items())
+    return sorted((a, b, len(x & y), len(x | y)) for k, (a, x) in enumerate(known) for b, y in known[k + 1 :] if 100 * len(x & y) >= percent * len(x | y))
+
+
+@pytest.mark.parametrize(("percent", "hot"), [(50, 64), (50, 3), (75, 5), (30, 2)])
+def test_event_candidates_are_those_of_all_pairs(spark, percent, hot):
+    pick = random.Random(percent + hot)
+    rows = [(k, [f"t{min(int(pick.expovariate(0.15)), 60)}" for _ in range(pick.choice([1, 2, 3, 5, 8, 13]))]) for k in range(400)]
+    rows += [(900, None), (901, []), (902, [f"t{k}" for k in range(90)]), (903, [f"t{k}" for k in range(80)] + ["x"]), (904, ["t1", "t1"])]
+    pairs, members = M.event_candidates(spark.createDataFrame(rows, "id long, tokens array<string>"), percent, hot)
+    assert sorted(map(tuple, pairs.collect())) == similar_sets(rows, percent)
+    assert members.count() == sum(bool(t) for _, t in rows)
+
+
+def test_hot_tokens_meet_in_pairs(spark, monkeypatch):
+    """Half of all titles share their early tokens: what meets grows as the titles do."""
+    met = []
+    keys = M._meeting_keys
+
+    def counted(*args):
+        smaller, larger = keys(*args)
+        met.append(smaller.select("class", "key").join(larger.select("class", "key"), ["class", "key"]).count())
+        return smaller, larger
+
+    monkeypatch.setattr(M, "_meeting_keys", counted)
+    for n in (1000, 2000):
+        pick, rows = random.Random(n), []
+        for k in range(n):
+            head = ["breaking", "news", "live"] if k % 2 else []
+            rows.append((k, head + [f"w{pick.randrange(n)}" for _ in range(5)]))
+        pairs, _ = M.event_candidates(spark.createDataFrame(rows, "id long, tokens array<string>"), 50)
+        assert sorted(map(tuple, pairs.collect())) == similar_sets(rows, 50)
+    assert met[1] < 2.6 * met[0] and met[1] < 100 * 2000

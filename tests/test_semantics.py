@@ -145,4 +145,5 @@ def test_emptied_partitions_go(spark, tmp_path):
     K.save_items(spark, path, rows(1, 2), "2024-01-01")
     K.save_items(spark, path, rows(2, 3), "2024-01-02")
     K.save_items(spark, path, rows(1), "2024-01-02")
-    assert [(r.id, str(r.run_date)) for r in spark.read.parquet(path).collect()] == [(1, "2024-01-02")]
+    assert [(r.id, str(r.run_date)) for r in K.read_items(spark, path, "id int, v string").collect()] == [(1, "2024-01-02")]
+    assert set(K.slots(spark, path)[1]) == {"2024-01-02"}

@@ -58,3 +58,29 @@ def test_stream_drops_repeats_and_upserts(spark, tmp_path):
     sink.option("checkpointLocation", f"file://{tmp_path}/state2").trigger(availableNow=True).start().awaitTermination()
     assert {p.name for p in (tmp_path / "table").iterdir()} >= {"delta-0", "delta-1", "base-1"}
     assert sorted((r.id, r.url) for r in J.read_upserts(spark, f"file://{tmp_path}/table", ["id"]).collect()) == [(1, "http://a.org/z"), (2, "http://www.a.org/x/?utm_source=q"), (3, "http://a.org/x#y")]
+
+
+def test_a_source_that_fails_costs_only_itself(spark, tmp_path):
+    """A truncated Parquet file, a malformed feed and a missing folder beside sources that land."""
+    from tidemark.sources.normalise import BROKEN, land_sources
+
+    good = spark.createDataFrame([(1, "a"), (2, "b")], "id long, title string")
+    good.coalesce(1).write.parquet(f"file://{tmp_path}/cut")
+    part = next((tmp_path / "cut").glob("*.parquet"))
+    part.write_bytes(part.read_bytes()[:-20])
+    (tmp_path / "feed.json").write_text('{"id": 3, "title": "c"}\n{"id": 4, "tit\n{"id": 5}\n')
+    (tmp_path / "feed.xml").write_text("<rss><item><id>6</id></item><item><id>7</item></rss>")
+    fields = "id long, title string"
+    sources = {
+        "good": lambda: good,
+        "cut": lambda: spark.read.schema(fields).parquet(f"file://{tmp_path}/cut"),
+        "json": lambda: spark.read.schema(f"{fields}, {BROKEN} string").json(f"file://{tmp_path}/feed.json"),
+        "xml": lambda: spark.read.schema("id long").option("rowTag", "item").option("mode", "FAILFAST").xml(f"file://{tmp_path}/feed.xml"),
+        "missing": lambda: spark.read.parquet(f"file://{tmp_path}/nowhere"),
+    }
+    found, status = land_sources(spark, sources, f"file://{tmp_path}/out")
+    assert sorted((r.id, r.title or "") for r in found.collect()) == [(1, "a"), (2, "b"), (3, "c"), (5, "")]
+    told = {r.source: (r.status, r["rows"], r.quarantined, r.error is None) for r in status.collect()}
+    assert told == {"good": ("landed", 2, 0, True), "json": ("landed", 2, 1, True), "cut": ("failed", 0, 0, False), "xml": ("failed", 0, 0, False), "missing": ("failed", 0, 0, False)}
+    none, failed = land_sources(spark, {"missing": sources["missing"]}, f"file://{tmp_path}/none")
+    assert none.columns == [] and failed.first().status == "failed"

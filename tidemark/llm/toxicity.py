@@ -151,6 +151,12 @@ def clause_grammar() -> Transducer:
     return reduce(lambda one, next_one: one.then(next_one, SIGNS), machines())
 
 
+def plain_signs(clause: str) -> str:
+    """The clause without signs that change nothing in it: actors where there is no threat, predicates where there is no insult."""
+    clause = clause if "V" in clause else clause.replace("A", ".")
+    return (clause if "I" in clause or "i" in clause else clause.replace("P", ".")).strip(".")
+
+
 def clause_weight(signs: str) -> float:
     """The weight of the best path over a clause. Other words beyond every reach change nothing, so they are cut short."""
     return clause_grammar().best(FAR.sub("." * LONGEST_REACH, signs.strip(".")))
@@ -179,7 +185,7 @@ class Grammar:
         signs = "".join(map(self.signs.__getitem__, (text or "").lower().replace("\n", " \x00 ").split()))
         if not ("I" in signs or "i" in signs or "V" in signs):
             return 0.0
-        return sum(self.clauses[clause.strip(".")] for clause in signs.split("|") if "I" in clause or "i" in clause or "V" in clause)
+        return sum(self.clauses[plain_signs(clause)] for clause in signs.split("|") if "I" in clause or "i" in clause or "V" in clause)
 
     def score(self, raw: float) -> float:
         a, b = self.lexicon.calibration

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.urls import ROLE_PRIORITY, normalize_url, with_role
 
 MOST_IMAGES, TITLE_CHARS = 20, 60
+#: Step of the classes of set sizes; holders from which a token is hot; the largest sets whose hot tokens are paired.
+SIZE_STEP, HOT_TOKEN, MOST_PAIRED_TOKENS = 1.25, 64, 64
 
 
 def truthy(value: Column) -> Column:
@@ -173,13 +177,41 @@ def event_sources(items: DataFrame, groups: DataFrame, answers: DataFrame | None
     return marked.select("group_id", "primary_pos", "at", "pos", "label", "url", "role", "title", "source_type", "is_primary")
 
 
-def event_candidates(items: DataFrame, percent: int = 50) -> tuple[DataFrame, DataFrame]:
+def size_class(n: Column) -> Column:
+    """Sizes in steps of SIZE_STEP."""
+    return F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP)).cast("int")
+
+
+def _meeting_keys(sets: DataFrame, percent: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(smaller, larger): keys under which sets (rep, n, order: array of (place, df, token)) meet as the smaller or the larger of two.
+
+    A pair is looked for in the class of its smaller size, which gives the overlap it needs. Where that is two or more, both
+    share two tokens within one place more than a single one would take: a token with at most ``hot`` holders is a key by
+    itself, and hot ones are keys only two by two. So what meets under a single token is bounded for each set.
+    """
+    share = lambda both: F.ceil(both * percent / (100 + percent))
+    least = F.floor(F.pow(F.lit(SIZE_STEP), "class"))
+    deep = (share(2 * least) >= 2) & (F.col("n") <= MOST_PAIRED_TOKENS)
+    smaller = sets.withColumn("class", size_class(F.col("n"))).withColumn("need", share(2 * F.col("n")))
+    larger = sets.withColumn("class", F.explode(F.sequence(size_class(F.ceil(F.col("n") * percent / 100)), size_class(F.col("n"))))).withColumn("need", share(F.col("n") + least))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        reach = F.col("n") - F.col("need") + 1 + deep.cast("int")
+        rows = rows.withColumn("deep", deep).withColumn("near", F.filter("order", lambda t: t["place"] <= reach))
+        single = F.transform(F.filter("near", lambda t: ~F.col("deep") | (t["df"] <= hot)), lambda t: F.xxhash64(t["token"]))
+        rows = rows.withColumn("hot", F.filter("near", lambda t: F.col("deep") & (t["df"] > hot)))
+        pairs = F.flatten(F.transform("hot", lambda t, k: F.transform(F.slice("hot", k + 2, F.size("hot")), lambda u: F.xxhash64(t["token"], u["token"]))))
+        return rows.withColumn("key", F.explode(F.concat(single, pairs))).select("class", "key", "rep", "n", "s0", "s1")
+
+    return keyed(smaller), keyed(larger)
+
+
+def event_candidates(items: DataFrame, percent: int = 50, hot: int = HOT_TOKEN) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): classes of items (id, tokens) with equal token sets, and pairs of class representatives whose Jaccard similarity reaches the percentage.
 
-    Sets are compared only if they share one of their rarest tokens: with tokens in order of frequency, similar sets must share
-    one within the first n - ceil(n percent / 100) + 1, and what can follow it must suffice. Frequent tokens come last. A
-    parity sketch of 128 bits, whose differing bits no two sets can exceed by fewer differing tokens, refutes most of the
-    other pairs in the join; what it looks at still grows with the square of the sets that share a frequent early token.
+    Tokens are ordered by frequency, the rarest first. Sets meet under early tokens, frequent ones only two by two (see
+    _meeting_keys), and a parity sketch of 128 bits, whose differing bits no two sets can exceed by fewer differing tokens,
+    refutes most of what meets in the join. Sets of more than MOST_PAIRED_TOKENS tokens meet under single tokens only.
     """
     sets = items.select("id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).filter(F.size("tokens") > 0)
     reps = sets.groupBy("tokens").agg(F.min("id").alias("rep"))
@@ -187,20 +219,22 @@ def event_candidates(items: DataFrame, percent: int = 50) -> tuple[DataFrame, Da
     hashes = F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(128)).cast("int"))
     odd = lambda half: F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: F.when(F.floor(h / 64) == half, bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h % 64))).otherwise(bits))
     shown = reps.select("rep", F.size("tokens").alias("n"), odd(0).alias("s0"), odd(1).alias("s1"), F.explode("tokens").alias("token"))
-    ranked = shown.join(shown.groupBy("token").agg(F.count("*").alias("df")), "token")
-    ranked = ranked.withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy("df", "token")))
-    early = ranked.filter((F.col("df") > 1) & (100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")))
-    side = lambda x: early.select("token", F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "s0", "s1")))
-    sizes = F.col("n_a") + F.col("n_b")
-    fits = (100 + percent) * (1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))) >= percent * sizes
-    differ = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
+    counted = shown.join(shown.groupBy("token").agg(F.count("*").alias("df")), "token")
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda t, k: F.struct((k + 1).alias("place"), t["df"].alias("df"), t["token"].alias("token")))
+    ordered = counted.groupBy("rep", "n", "s0", "s1").agg(F.filter(ranked, lambda t: t["df"] > 1).alias("order"))
+    smaller, larger = _meeting_keys(ordered, percent, hot)
+    x, y = smaller.alias("x"), larger.alias("y")
+    sizes = F.col("x.n") + F.col("y.n")
+    differ = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
     near = (100 + percent) * differ <= (100 - percent) * sizes
-    pairs = side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & fits & near).select("a", "b").distinct()
+    once = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
+    met = x.join(y, (F.col("x.class") == F.col("y.class")) & (F.col("x.key") == F.col("y.key")) & once & near)
+    pairs = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(reps.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - shared
-    near = both.withColumn("shared", shared).withColumn("total", union).filter(100 * F.col("shared") >= percent * F.col("total"))
-    return near.select("a", "b", "shared", "total"), members.select("id", "rep")
+    found = both.withColumn("shared", shared).withColumn("total", union).filter(100 * F.col("shared") >= percent * F.col("total"))
+    return found.select("a", "b", "shared", "total"), members.select("id", "rep")
 
 
 def source_attribution(entries: DataFrame, key: str = "key") -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import json
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 
 def _files(spark: SparkSession, path: str):
@@ -48,29 +50,103 @@ def workdir(spark: SparkSession, label: str) -> str:
     return path
 
 
+SLOT, MANIFEST = "_slot", "manifest-"
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(name.removeprefix(MANIFEST)) for name in children(spark, path) if name.startswith(MANIFEST))
+
+
+def slots(spark: SparkSession, path: str, number: int | None = None) -> tuple[int, dict[str, str]]:
+    """The number of a table's newest commit (or ``number``), and the folder that each of its slots lives in; (-1, {}) before the first."""
+    there = _manifests(spark, path)
+    if not there:
+        return -1, {}
+    number = there[-1] if number is None else number
+    files, at = _files(spark, f"{path}/{MANIFEST}{number:012d}")
+    stream = files.open(at)
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return number, json.loads(text)
+
+
+def commit(spark: SparkSession, path: str, number: int, live: dict[str, str]) -> None:
+    """Makes ``live`` the table, by one rename to a name that nobody else has taken; then drops what the two newest commits do not use.
+
+    Readers see the old slots or the new ones. Of two writers that started from one commit, the second fails.
+    """
+    files, staged = _files(spark, f"{path}/staged-{uuid.uuid4().hex}")
+    out = files.create(staged)
+    out.write(bytearray(json.dumps(live).encode()))
+    out.close()
+    _, target = _files(spark, f"{path}/{MANIFEST}{number:012d}")
+    if files.exists(target) or not files.rename(staged, target):
+        files.delete(staged, False)
+        raise RuntimeError(f"another writer has committed {path}")
+    _sweep(spark, path)
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    numbers = _manifests(spark, path)
+    used = {folder.split("/")[0] for n in numbers[-2:] for folder in slots(spark, path, n)[1].values()}
+    for n in numbers[:-2]:
+        remove(spark, f"{path}/{MANIFEST}{n:012d}")
+    for name in children(spark, f"{path}/data"):
+        if name not in used and numbers and int(name.split("-")[0]) <= numbers[-1]:
+            remove(spark, f"{path}/data/{name}")
+
+
+def read_slots(spark: SparkSession, path: str, schema: StructType | str, wanted: set[str] | None = None) -> DataFrame:
+    """The rows of a table as of its newest commit, of the wanted slots only if they are named; other folders are not opened."""
+    live = slots(spark, path)[1]
+    folders = [f"{path}/data/{folder}" for slot, folder in live.items() if wanted is None or slot in wanted]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def replace_slots(spark: SparkSession, path: str, rows: DataFrame, touched: set[str]) -> None:
+    """Puts ``rows``, each with its slot in SLOT, in place of the touched slots; a touched slot without rows goes."""
+    number, live = slots(spark, path)
+    folder = f"{number + 1:012d}-{uuid.uuid4().hex}"
+    rows.repartition(SLOT).write.partitionBy(SLOT).parquet(f"{path}/data/{folder}")
+    made = {name.split("=", 1)[1]: f"{folder}/{name}" for name in children(spark, f"{path}/data/{folder}") if name.startswith(f"{SLOT}=")}
+    commit(spark, path, number + 1, {slot: at for slot, at in live.items() if slot not in touched} | made)
+
+
 def save_items(spark: SparkSession, path: str, new: DataFrame, run_date: str) -> None:
-    """Replaces the snapshot of a date; an id that another date holds moves here. Only touched partitions are rewritten.
+    """Replaces the snapshot of a date; an id that another date holds moves here. Only touched dates are rewritten.
 
-    Plain files know no transaction over several partitions: the new partitions are renamed into place one by one, and dates
-    that lost their last id go after that. A writer that dies in between leaves an id on two dates until the call is repeated.
+    The dates' new folders become the table by one rename, so an id is never on two dates, whenever a writer dies. read_items
+    gives the table. An empty snapshot takes the date away.
     """
     fresh = new.withColumn("run_date", F.lit(run_date).cast("date"))
-    if not exists(spark, path):
-        fresh.write.partitionBy("run_date").parquet(path)
-        return
-    old = spark.read.schema(fresh.schema).parquet(path)
-    elsewhere = old.filter(F.col("run_date") != F.lit(run_date).cast("date"))
+    live = slots(spark, path)[1]
+    elsewhere = read_slots(spark, path, fresh.schema, set(live) - {run_date})
     left = elsewhere.join(fresh.select("id"), "id", "left_semi").select("run_date").distinct()
-    dates = [r[0] for r in left.collect()]  # one value per touched date
-    staged = f"{path}-staged-{uuid.uuid4().hex}"
-    stay = elsewhere.filter(F.col("run_date").isin(dates)).join(fresh.select("id"), "id", "left_anti") if dates else elsewhere.limit(0)
-    stay.unionByName(fresh).write.parquet(staged)
-    rows = spark.read.schema(fresh.schema).parquet(staged)
-    kept = {r[0] for r in rows.select("run_date").distinct().collect()}
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
-    for day in {*map(str, dates), run_date} - set(map(str, kept)):
-        remove(spark, f"{path}/run_date={day}")
-    remove(spark, staged)
+    dates = {str(r[0]) for r in left.collect()}  # one value per touched date
+    stay = read_slots(spark, path, fresh.schema, dates).join(fresh.select("id"), "id", "left_anti")
+    replace_slots(spark, path, stay.unionByName(fresh).withColumn(SLOT, F.col("run_date").cast("string")), dates | {run_date})
+
+
+def read_items(spark: SparkSession, path: str, schema: StructType | str, dates: set[str] | None = None) -> DataFrame:
+    """The items of save_items, of the given dates only if they are named; ``schema`` is that of the saved rows."""
+    fields = StructType([*(spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema).fields, StructField("run_date", DateType())])
+    return read_slots(spark, path, fields, dates)
+
+
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, policy: dict[str, str], key: str = "id", buckets: int = 256) -> int:
+    """Merges ``new`` (one row per key) into a table by ``upsert``; gives the number of buckets that were read and rewritten.
+
+    Rows live in buckets of their key's hash, and only buckets with an arriving key are touched, so what is rewritten follows
+    what arrives. ``buckets`` must stay the same for a table. The merge becomes visible by one rename; merging the same rows
+    again changes nothing. Repeated keys and null keys in ``new`` are the caller's to resolve; null keys are left out.
+    """
+    bucket = lambda: F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string")
+    fresh = new.filter(F.col(key).isNotNull())
+    touched = {r[0] for r in fresh.select(bucket()).distinct().collect()}  # at most ``buckets`` values
+    if touched:
+        merged = upsert(read_slots(spark, path, fresh.schema, touched), fresh, policy, key)
+        replace_slots(spark, path, merged.withColumn(SLOT, bucket()), touched)
+    return len(touched)
 
 
 def upsert(old: DataFrame, new: DataFrame, policy: dict[str, str], key: str = "id") -> DataFrame:

@@ -159,3 +159,28 @@ def s19_union_sources(spark, sf_dir):
         lambda: table(spark, sf_dir, "no_such_source"),
         lambda: table(spark, sf_dir, "events").selectExpr("'events' AS origin", "event_id AS id", "event_type AS title"),
     ])
+
+
+def _landed(spark, sf_dir):
+    """Documents, pages and events land; one source fails in its first task, one cannot be resolved."""
+    from tidemark.operators.sinks import workdir
+    from tidemark.sources.normalise import land_sources
+
+    sources = {
+        "docs": lambda: table(spark, sf_dir, "documents").selectExpr("'docs' AS origin", "doc_id AS id", "text AS title"),
+        "pages": lambda: table(spark, sf_dir, "pages").selectExpr("'pages' AS origin", "page_id AS id"),
+        "broken": lambda: table(spark, sf_dir, "pages").selectExpr("'broken' AS origin", "CAST(raise_error('a broken payload') AS bigint) AS id"),
+        "missing": lambda: table(spark, sf_dir, "no_such_source"),
+        "events": lambda: table(spark, sf_dir, "events").selectExpr("'events' AS origin", "event_id AS id", "event_type AS title"),
+    }
+    return land_sources(spark, sources, workdir(spark, "sources"))
+
+
+@query("SELECT 'docs' AS origin, doc_id AS id, text AS title FROM documents UNION ALL SELECT 'pages', page_id, NULL FROM pages UNION ALL SELECT 'events', event_id, event_type FROM events")
+def s19_landed_sources(spark, sf_dir):
+    return _landed(spark, sf_dir)[0]
+
+
+@query("SELECT 'docs' AS source, 'landed' AS status, count(*) AS rows FROM documents UNION ALL SELECT 'pages', 'landed', count(*) FROM pages UNION ALL SELECT 'events', 'landed', count(*) FROM events UNION ALL VALUES ('broken', 'failed', 0), ('missing', 'failed', 0)")
+def s19_source_status(spark, sf_dir):
+    return _landed(spark, sf_dir)[1].select("source", "status", "rows")

@@ -23,7 +23,7 @@ def w1_save_items(spark, sf_dir):
     for day in range(5):
         K.save_items(spark, path, d.filter(f"day = {day}").select("id", "v"), f"2024-01-0{day + 1}")
     K.save_items(spark, path, d.filter("id % 10 IN (3, 4)").selectExpr("id", "'b' AS v"), "2024-01-04")
-    return spark.read.parquet(path).select("id", "v", F.date_format("run_date", "yyyy-MM-dd").alias("run_date"))
+    return K.read_items(spark, path, d.select("id", "v").schema).select("id", "v", F.date_format("run_date", "yyyy-MM-dd").alias("run_date"))
 
 
 _OLD = "o AS (SELECT doc_id AS id, source AS title, CASE WHEN doc_id % 2 = 0 THEN 'raw' END AS raw, 'first' AS published FROM documents WHERE doc_id % 3 <> 0)"
@@ -41,6 +41,17 @@ def w2_upsert_items(spark, sf_dir):
     return K.upsert(*_old_new(spark, sf_dir), {"raw": "fill"})
 
 
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 50 = 0 AND doc_id % 4 <> 0 THEN lang ELSE source END AS title, CASE WHEN doc_id % 50 = 0 THEN 'second' ELSE 'first' END AS seen, 'first' AS published FROM documents")
+def w2_upsert_table(spark, sf_dir):
+    """A table of all documents, and a second arrival of every fiftieth merged into the buckets that hold it."""
+    d, path = table(spark, sf_dir, "documents"), K.workdir(spark, "papers")
+    policy = {"title": "fill", "published": "keep"}
+    K.upsert_table(spark, path, d.selectExpr("doc_id AS id", "source AS title", "'first' AS seen", "'first' AS published"), policy)
+    again = d.filter("doc_id % 50 = 0").selectExpr("doc_id AS id", "IF(doc_id % 4 = 0, NULL, lang) AS title", "'second' AS seen", "'second' AS published")
+    K.upsert_table(spark, path, again, policy)
+    return K.read_slots(spark, path, again.schema)
+
+
 @query(f"WITH {_SEL} SELECT id, selected, CASE WHEN NOT selected THEN CASE WHEN ai_relevant IS TRUE THEN 'score' ELSE 'relevance' END END AS drop_reason FROM sel")
 def w3_mark_selected(spark, sf_dir):
     i = selected_items(spark, sf_dir)

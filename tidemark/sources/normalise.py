@@ -7,12 +7,14 @@ import json
 import logging
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,6 +37,45 @@ def union_sources(sources: list[Callable[[], DataFrame]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
+#: Column of rows that a reader could not parse.
+BROKEN = "_corrupt_record"
+
+
+def land_sources(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], path: str, at_once: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(rows, status): every source lands in a job and a folder of its own, and a source that fails at any time costs only itself.
+
+    rows are those of all sources that landed, columns by name; status has source, status (landed or failed), rows,
+    quarantined and error. Rows whose BROKEN column is not null are quarantined under path/quarantine/<source>; that column
+    is dropped from the rest. ``at_once`` sources run at a time. A folder counts only if its job has committed, and ``path``
+    must be new. If no source lands, rows has no columns.
+    """
+
+    def land(name: str) -> tuple:
+        try:
+            rows = sources[name]()
+            out, bad = f"{path}/landed/{name}", f"{path}/quarantine/{name}"
+            watched = BROKEN in rows.columns
+            if watched:
+                # Kept as they were parsed: a reader may not be asked for broken rows alone.
+                rows.write.parquet(f"{path}/parsed/{name}")
+                parsed = spark.read.schema(rows.schema).parquet(f"{path}/parsed/{name}")
+                parsed.filter(F.col(BROKEN).isNotNull()).write.parquet(bad)
+                rows = parsed.filter(F.col(BROKEN).isNull()).drop(BROKEN)
+            rows.write.parquet(out)
+            landed = spark.read.schema(rows.schema).parquet(out)
+            broken = spark.read.parquet(bad).count() if watched else 0
+            return name, "landed", landed.count(), broken, None, landed
+        except Exception as error:  # whatever a source's reader or its data raises
+            log.warning("source %s failed: %s", name, error)
+            return name, "failed", 0, 0, str(error).splitlines()[0][:500], None
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        ended = list(pool.map(inheritable_thread_target(spark)(land), sources))
+    status = spark.createDataFrame([e[:5] for e in ended], "source string, status string, rows long, quarantined long, error string")
+    landed = [e[5] for e in ended if e[5] is not None]
+    return (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), landed) if landed else spark.range(0).select()), status
+
+
 COMMENTS = "--- Top Comments ---"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
 from tidemark.functions.urls import normalize_url
-from tidemark.operators.sinks import children, exists
+from tidemark.operators.sinks import children, exists, remove
 
 
 def landing(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int = 16) -> DataFrame:
@@ -33,30 +33,44 @@ def hourly_counts(events: DataFrame, ts: str, kind: str, late_hours: int = 24) -
 def upsert_sink(stream: DataFrame, path: str, order: list[str], keys: list[str], policy: dict[str, str] | None = None, compact_every: int = 32) -> DataStreamWriter:
     """Each batch adds its last rows per key as a delta of its own; every so many batches all so far become one base.
 
-    A batch that is repeated after a failure replaces its own delta, so numbers may have gaps and may come again. read_upserts
-    gives the table.
+    A batch that is repeated after a failure replaces its own delta, so numbers may have gaps and may come again; a base that is
+    complete is never written again. The two newest bases stay, with the deltas after the older one. read_upserts gives the table.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         rest = [c for c in batch.columns if c not in (*order, *keys)]
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order) if order else F.lit(0)).alias("r")).select(*keys, "r.*")
         last.write.mode("overwrite").parquet(f"{path}/delta-{number}")
-        if number and number % compact_every == 0:
-            read_upserts(batch.sparkSession, path, keys, policy).write.mode("overwrite").parquet(f"{path}/base-{number}")
+        if number and number % compact_every == 0 and not exists(spark := batch.sparkSession, f"{path}/base-{number}/_SUCCESS"):
+            read_upserts(spark, path, keys, policy).write.mode("overwrite").parquet(f"{path}/base-{number}")
+            _forget(spark, path)
 
     return stream.writeStream.foreachBatch(add)
 
 
+def _complete(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the complete tables of a kind, in order."""
+    return sorted(int(name.split("-")[1]) for name in children(spark, path) if name.startswith(f"{kind}-") and exists(spark, f"{path}/{name}/_SUCCESS"))
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Removes what the two newest bases replace; a reader that has begun with the older one still finds its deltas."""
+    bases = _complete(spark, path, "base")
+    if len(bases) > 1:
+        for kind, last in (("base", bases[-2] - 1), ("delta", bases[-2])):
+            for number in _complete(spark, path, kind):
+                if number <= last:
+                    remove(spark, f"{path}/{kind}-{number}")
+
+
 def read_upserts(spark: SparkSession, path: str, keys: list[str], policy: dict[str, str] | None = None) -> DataFrame:
     """The table of an upsert_sink: the newest complete base and the deltas after it, by key.
 
     Per column the policy is new (default: the last batch that has the key), fill (the last value that is not null) or keep
     (the first batch's).
     """
-    found = children(spark, path)
-    numbered = lambda kind: sorted(int(name.split("-")[1]) for name in found if name.startswith(f"{kind}-") and exists(spark, f"{path}/{name}/_SUCCESS"))
-    base = max(numbered("base"), default=None)
-    names = ([f"base-{base}"] if base is not None else []) + [f"delta-{n}" for n in numbered("delta") if base is None or n > base]
+    base = max(_complete(spark, path, "base"), default=None)
+    names = ([f"base-{base}"] if base is not None else []) + [f"delta-{n}" for n in _complete(spark, path, "delta") if base is None or n > base]
     if not names:
         raise FileNotFoundError(f"no batch has arrived at {path}")
     parts = [spark.read.parquet(f"{path}/{name}").withColumn("_at", F.lit(at)) for at, name in enumerate(names)]
