@@ -147,3 +147,52 @@ def test_emptied_partitions_go(spark, tmp_path):
     K.save_items(spark, path, rows(1), "2024-01-02")
     assert [(r.id, str(r.run_date)) for r in K.read_items(spark, path, "id int, v string").collect()] == [(1, "2024-01-02")]
     assert set(K.slots(spark, path)[1]) == {"2024-01-02"}
+
+
+def test_main_text_without_article_or_paragraphs():
+    """Articles in div elements and line breaks are found; link lists, menus and footers are not taken for them."""
+    menu = "<div><ul>" + "".join(f'<li><a href="/{k}">Section number {k} of our site</a></li>' for k in range(40)) + "</ul></div>"
+    links = "<div>" + " ".join(f'<a href="/x{k}">More about the thing called {k}</a>' for k in range(30)) + "</div>"
+    body = [f"Sentence {k} of the story tells what happened on that day and who was there to see it." for k in range(6)]
+    page = f"<html><body>{menu}<h2>The headline</h2><div><div>{body[0]}</div><div>{body[1]} <a href='/s'>source</a></div><span>{body[2]}</span><br>{body[3]}<h3>Part</h3><div>{body[4]}</div><div>{body[5]}</div></div>{links}<div>Contact us</div></body></html>"
+    lines = H.article_text(page).split("\n")
+    assert lines[0] == "The headline" and "Part" in lines and not any("Section" in x or "More about" in x or "Contact" in x for x in lines)
+    assert " ".join(lines).count("of the story") == 6
+    assert "<h3>The headline</h3>" in H.structured(page) and "Section" not in H.structured(page)
+    assert H.article_text("<div>short</div>") == "short" and H.article_text(None) == ""
+    inside = f"<article><div>{body[0]}</div></article><div>{' '.join(body)}</div>"
+    assert H.article_text(inside) == body[0]
+
+
+def test_best_run_is_that_of_all_runs():
+    import random
+
+    pick = random.Random(2)
+    for _ in range(200):
+        blocks = ["".join(f"<a>w{k}</a> " if pick.random() < 0.3 else f"w{k} " for k in range(pick.choice([1, 3, 9, 15, 40]))) for _ in range(pick.randint(1, 9))]
+        root = H.parse("".join(f"<div>{b}</div>" for b in blocks))
+        weights = [H.block_weight(b) for b in H.text_blocks(root)]
+        runs = [(sum(weights[i:j]), i, j) for i in range(len(weights)) for j in range(i + 1, len(weights) + 1)]
+        best = max(x[0] for x in runs)
+        found = H.main_run(root)
+        if best <= 0:
+            assert found is root
+        else:
+            assert sum(map(H.block_weight, found.children)) == best
+
+
+@pytest.mark.parametrize("sort", ["score", "newest", "title", "other"])
+def test_pages_by_cursor_are_pages_by_number(spark, sort):
+    """Page after page by the last row's key gives every row once in the order of numbered pages, ties and missing keys included."""
+    from tidemark.operators import reads as R
+
+    rows = [(k, None if k % 5 == 0 else float(k % 4), 1000 + k // 3, None if k % 7 == 0 else f"t{k % 6}") for k in range(60)]
+    items = spark.createDataFrame(rows, "id long, ai_score double, published_sec long, title string")
+    seen, cursor = [], None
+    while part := R.page_after(items, sort, 7, cursor).collect():
+        seen += [r.id for r in part]
+        cursor = (part[-1].cursor_key, part[-1].id)
+    order = {"newest": lambda r: (-r[2], r[0]), "title": lambda r: (r[3] or "", r[0])}.get(sort, lambda r: (-(r[1] or 0.0), r[0]))
+    assert seen == [r[0] for r in sorted(rows, key=order)]
+    deep = R.page_after(items, sort, 7, cursor)._jdf.queryExecution().toString()
+    assert "Offset" not in deep and "TakeOrdered" in deep

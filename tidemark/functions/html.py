@@ -106,14 +106,58 @@ def text_of(node: Node | str) -> str:
     return "\n".join(line for line in lines if line)
 
 
+#: Words that a block must have over twice its linked ones to raise the sum of a run of blocks; headings before a run belong to it.
+BLOCK_COST = 8
+WHOLE_BLOCKS = set("ul ol table figure blockquote pre p h1 h2 h3 h4 h5 h6".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+
+
+def text_blocks(node: Node) -> list[Node]:
+    """The page as a row of blocks: whole paragraphs, headings, lists and tables, and what stands between them, as paragraphs."""
+    blocks, loose = [], []
+
+    def close() -> None:
+        if any(isinstance(c, Node) or c.strip() for c in loose):
+            blocks.append(Node("p", {}, list(loose)))
+        loose.clear()
+
+    for c in node.children:
+        if isinstance(c, str) or c.tag not in BLOCKS | {"html", "body", "form", "dl", "dt", "dd"} or c.tag == "br":
+            loose.append(c)
+            continue
+        close()
+        blocks += [c] if c.tag in WHOLE_BLOCKS else text_blocks(c)
+    close()
+    return blocks
+
+
+def block_weight(block: Node) -> int:
+    """Words less twice the linked ones and the cost of a block, so that menus and short notes weigh less than nothing."""
+    linked = sum(len(text_of(n).split()) for n in block.walk() if n.tag == "a")
+    return len(text_of(block).split()) - 2 * linked - BLOCK_COST
+
+
+def main_run(root: Node) -> Node:
+    """The run of blocks of greatest summed weight, with the headings just before it; the whole page if no block weighs anything."""
+    blocks = text_blocks(root)
+    best, run, start = (0, 0, 0), 0, 0
+    for at, weight in enumerate(map(block_weight, blocks)):
+        if run <= 0:
+            run, start = 0, at
+        run += weight
+        best = max(best, (run, start, at + 1), key=lambda x: x[0])
+    _, first, last = best
+    while first and last and blocks[first - 1].tag in HEADINGS:
+        first -= 1
+    return Node("", {}, blocks[first:last]) if last else root
+
+
 def main_node(root: Node) -> Node:
-    """The article or main element, else the element with the most paragraph text of its own."""
+    """The longest article or main element, else the best run of blocks."""
     for tag in ("article", "main"):
         if found := [n for n in root.walk() if n.tag == tag]:
             return max(found, key=lambda n: len(text_of(n)))
-    own = lambda n: sum(len(text_of(c)) for c in n.children if isinstance(c, Node) and c.tag == "p")
-    best = max(root.walk(), key=own)
-    return best if own(best) else root
+    return main_run(root)
 
 
 def article_text(source: str | None) -> str:

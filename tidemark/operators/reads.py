@@ -55,6 +55,23 @@ def page(found: DataFrame, sort: str, number: int, size: int) -> DataFrame:
     return found.orderBy(*order).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(total))
 
 
+CURSORS = {"score": lambda: (F.coalesce("ai_score", F.lit(0.0)), "double", True), "newest": lambda: (F.col("published_sec"), "bigint", True), "title": lambda: (F.coalesce("title", F.lit("")), "string", False)}
+
+
+def page_after(found: DataFrame, sort: str, size: int, cursor: tuple | None = None) -> DataFrame:
+    """The page that follows ``cursor``, the (key, id) of the last row before it, or the first page; adds ``cursor_key``.
+
+    The order is that of ``page``, equal keys by id, with missing scores as 0 and missing titles as empty. What lies before the
+    cursor is filtered out where it is scanned, so a deep page sorts no more rows than the first. ``published_sec`` may not be null.
+    """
+    key, kind, falling = CURSORS[sort if sort in CURSORS else "score"]()
+    if cursor is not None:
+        last, at = F.lit(cursor[0]).cast(kind), F.lit(cursor[1])
+        beyond = key < last if falling else key > last
+        found = found.filter(beyond | ((key == last) & (F.col("id") > at)))
+    return found.withColumn("cursor_key", key).orderBy(F.desc("cursor_key") if falling else F.asc("cursor_key"), "id").limit(size)
+
+
 def without_blocked(items: DataFrame, blocked: DataFrame) -> DataFrame:
     """Items that are not under any blocked topic; blocked has their ids."""
     return items.join(blocked.select("id"), "id", "left_anti")

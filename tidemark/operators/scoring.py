@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -125,12 +126,11 @@ def duplicate_categories(groups: DataFrame) -> DataFrame:
 
 
 def drop_audit(items: DataFrame, relevant: DataFrame, scored: DataFrame, unique: DataFrame, final: DataFrame) -> DataFrame:
-    """(id, drop_reason) of every item that is not final: the first stage that it failed."""
-    found = items.select("id")
-    for name, stage in (("r", relevant), ("s", scored), ("u", unique), ("f", final)):
-        found = found.join(stage.select("id").distinct().withColumn(name, F.lit(True)), "id", "left")
-    reason = F.when(F.col("r").isNull(), "relevance").when(F.col("s").isNull(), "score").when(F.col("u").isNull(), "topic_duplicate").when(F.col("f").isNull(), "category_quota")
-    return found.select("id", reason.alias("drop_reason")).filter("drop_reason IS NOT NULL")
+    """(id, drop_reason) of every item that is not final: the first stage that it failed. Ids are unique; all stages meet in one aggregate."""
+    marks = [stage.select("id", F.lit(k).alias("stage")) for k, stage in enumerate((items, relevant, scored, unique, final))]
+    reached = reduce(DataFrame.union, marks).groupBy("id").agg(*(F.bool_or(F.col("stage") == k).alias(f"s{k}") for k in range(5)))
+    reason = F.when(~F.col("s1"), "relevance").when(~F.col("s2"), "score").when(~F.col("s3"), "topic_duplicate").when(~F.col("s4"), "category_quota")
+    return reached.filter("s0").select("id", reason.alias("drop_reason")).filter("drop_reason IS NOT NULL")
 
 
 def multi_source_bonus(items: DataFrame) -> DataFrame:

@@ -100,8 +100,8 @@ def ensure_content_form(rows: DataFrame) -> DataFrame:
 def attach_topics(rows: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(attached, rejected) of rows (id, slug, confidence, pos): the last row per item and active topic; unknown and inactive slugs are rejected."""
     active = topics.filter("is_active").select("topic", "slug")
-    last = rows.join(F.broadcast(active), "slug").groupBy("id", "topic").agg(F.max_by("confidence", "pos").alias("confidence"))
-    return last, rows.join(F.broadcast(active), "slug", "left_anti")
+    last = rows.join(active, "slug").groupBy("id", "topic").agg(F.max_by("confidence", "pos").alias("confidence"))
+    return last, rows.join(active, "slug", "left_anti")
 
 
 def seed_topics(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ RATINGS = {
 }
 _SUM = " + ".join(f"coalesce({e}, 0)" for e in RATINGS.values())
 _EXPRESSIONS = {
-    "id": "d.doc_id", "pos": "d.doc_id", "title": "substr(d.text, 1, 40)", "text": "d.text", "n_chars": "d.n_chars",
+    "id": "d.doc_id", "pos": "d.doc_id", "title": r"regexp_extract(d.text, '^([^.\n]*)', 1)", "text": "d.text", "n_chars": "d.n_chars",
     "url": "concat('https://site', cast(d.doc_id % 50 AS VARCHAR(9)), '.example.com/a/', cast(d.doc_id AS VARCHAR(20)))",
     "source_type": "concat('s', cast(d.doc_id % 4 AS VARCHAR(9)))", "category": "CASE WHEN d.doc_id % 13 = 0 THEN NULL ELSE d.source END",
     "published_sec": f"{START} + d.doc_id * 3600", "day": "d.doc_id % 10", "ai_relevant": "CASE WHEN d.quality IS NULL THEN NULL ELSE d.quality = 1 END",
@@ -34,13 +34,13 @@ _EXPRESSIONS = {
 }
 _COLUMNS = ", ".join(f"{e.replace('d.quality', 'l.quality')} AS {c}" for c, e in _EXPRESSIONS.items())
 ITEMS = f"items AS (SELECT {_COLUMNS} FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
-TAGS = """item_tags AS (SELECT DISTINCT doc_id AS id, tag FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS tag FROM documents) WHERE tag <> '')"""
+TAGS = """item_tags AS (SELECT doc_id AS id, tag FROM (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS tag FROM documents) WHERE tag <> '')"""
 NEWS_TOPICS = """news_topics AS (SELECT DISTINCT doc_id AS id, topic FROM (SELECT doc_id, doc_id % 25 AS topic FROM documents UNION ALL SELECT doc_id, (doc_id * 7) % 25 FROM documents))"""
 URL_ITEMS = """url_items AS (
   SELECT page_id AS pos, page_id AS id, url, 'web' AS source_type, html AS content FROM pages
   UNION ALL
   SELECT page_id + 1000000, page_id + 1000000, concat(CASE WHEN contains(url, '#') THEN split_part(url, '#', 1) ELSE url END,
-         CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'utm_campaign=x'), 'feed', substr(html, 1, 2000) FROM pages WHERE page_id % 3 = 0)"""
+         CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'utm_campaign=x'), 'feed', replace(html, 'e', '') FROM pages WHERE page_id % 3 = 0)"""
 THREADS = "threads AS (SELECT conv_id, turn, role, text, length(text) % 100 AS score FROM conversations)"
 
 
@@ -62,7 +62,7 @@ RATINGS_SQL = "ratings AS (SELECT d.doc_id AS id, l.quality = 1 AS relevant, " +
 
 def item_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.selectExpr("doc_id AS id", "explode(split(lower(text), ' ')) AS tag").filter("tag != ''").distinct()
+    return d.selectExpr("doc_id AS id", "explode(array_distinct(split(lower(text), ' '))) AS tag").filter("tag != ''")
 
 
 def news_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def url_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     tracked = "concat(split_part(url, '#', 1), CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'utm_campaign=x')"
     first = p.selectExpr("page_id AS pos", "page_id AS id", "url", "'web' AS source_type", "html AS content")
-    return first.unionByName(p.filter("page_id % 3 = 0").selectExpr("page_id + 1000000 AS pos", "page_id + 1000000 AS id", f"{tracked} AS url", "'feed' AS source_type", "substr(html, 1, 2000) AS content"))
+    return first.unionByName(p.filter("page_id % 3 = 0").selectExpr("page_id + 1000000 AS pos", "page_id + 1000000 AS id", f"{tracked} AS url", "'feed' AS source_type", "replace(html, 'e', '') AS content"))
 
 
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:

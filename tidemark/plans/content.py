@@ -139,7 +139,7 @@ def c13_looks_like_icon(spark, sf_dir):
     return links(spark, sf_dir).withColumn("is_icon", U.looks_like_icon(F.col("url")))
 
 
-_TIERS = """t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN '' END AS raw, CASE WHEN doc_id % 6 = 0 THEN substr(text, 1, 50) END AS clean,
+_TIERS = """t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN '' END AS raw, CASE WHEN doc_id % 6 = 0 THEN replace(text, 'e', '') END AS clean,
  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'summary ' || doc_id END AS summary, CASE WHEN doc_id % 4 = 0 THEN 'failed' END AS status FROM documents)"""
 
 
@@ -147,7 +147,7 @@ _TIERS = """t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id
 CASE WHEN nullif(raw, '') IS NOT NULL THEN 'full_text' WHEN nullif(summary, '') IS NOT NULL THEN 'rss_summary' ELSE 'none' END AS tier,
 nullif(raw, '') IS NOT NULL AS is_full, coalesce(status, 'unknown') AS status FROM t""")
 def c14_resolve_content(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN '' END AS raw", "CASE WHEN doc_id % 6 = 0 THEN substr(text, 1, 50) END AS clean", "CASE WHEN doc_id % 5 != 0 THEN concat('summary ', doc_id) END AS summary", "CASE WHEN doc_id % 4 = 0 THEN 'failed' END AS status")
+    t = table(spark, sf_dir, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN '' END AS raw", "CASE WHEN doc_id % 6 = 0 THEN replace(text, 'e', '') END AS clean", "CASE WHEN doc_id % 5 != 0 THEN concat('summary ', doc_id) END AS summary", "CASE WHEN doc_id % 4 = 0 THEN 'failed' END AS status")
     return t.select("doc_id", T.resolve_content(*map(F.col, ("clean", "raw", "summary", "status"))).alias("c")).select("doc_id", "c.*")
 
 
@@ -183,11 +183,11 @@ def c18_content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"))
 
 
-_MIXED = "t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substr(text, 1, 5) || '中文内容很多AI模型' WHEN 1 THEN ' ' ELSE text END AS text FROM documents)"
+_MIXED = "t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || repeat('中文内容很多AI模型', length(text) // 10 + 1) WHEN 1 THEN ' ' || text ELSE text END AS text FROM documents)"
 
 
 def _mixed(spark, sf_dir):
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", "CASE doc_id % 4 WHEN 0 THEN concat(substr(text, 1, 5), '中文内容很多AI模型') WHEN 1 THEN ' ' ELSE text END AS text")
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", "CASE doc_id % 4 WHEN 0 THEN concat(text, repeat('中文内容很多AI模型', CAST(length(text) div 10 + 1 AS int))) WHEN 1 THEN concat(' ', text) ELSE text END AS text")
 
 
 @query(f"WITH {_MIXED} SELECT doc_id, CASE WHEN coalesce(trim(text), '') = '' THEN 'unknown' WHEN length(regexp_replace(text, '[^{T.CJK}]', '', 'g')) / length(text) > 0.3 THEN 'zh' ELSE 'en' END AS language FROM t")

@@ -47,9 +47,9 @@ def s3_github_event_items(spark, sf_dir):
     return N.github_event_items(e, START + 86400).select("id", "title", "content")
 
 
-@query(f"SELECT 'github:release:' || event_id AS id, 'o/r v' || user_id || CASE WHEN event_id % 2 = 0 THEN ' (pre-release)' ELSE '' END AS title, props AS content FROM events WHERE event_type = 'click' AND floor(epoch(ts))::BIGINT >= {START}")
+@query(f"SELECT 'github:release:' || event_id AS id, 'o/r v' || user_id || CASE WHEN event_id % 2 = 0 THEN ' (pre-release)' ELSE '' END AS title, props AS content FROM events WHERE floor(epoch(ts))::BIGINT >= {START}")
 def s4_github_release_items(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type = 'click'").selectExpr("event_id AS id", "'o/r' AS repo", "concat('v', user_id) AS tag", "event_id % 2 = 0 AS prerelease", "'u' AS html_url", "props AS body", "unix_seconds(cast(ts AS timestamp)) AS sec")
+    e = table(spark, sf_dir, "events").selectExpr("event_id AS id", "'o/r' AS repo", "concat('v', user_id) AS tag", "event_id % 2 = 0 AS prerelease", "'u' AS html_url", "props AS body", "unix_seconds(cast(ts AS timestamp)) AS sec")
     return N.github_release_items(e, START).select("id", "title", "content")
 
 

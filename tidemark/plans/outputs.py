@@ -87,9 +87,9 @@ def w7_stage_runs(spark, sf_dir):
     return K.list_runs(spark.read.parquet(path))
 
 
-@query(f"WITH {_SEL} SELECT id FROM sel WHERE day % 3 = 1 AND ai_score IS NOT NULL")
+@query(f"WITH {_SEL} SELECT id FROM sel WHERE ai_score IS NOT NULL")
 def w7_load_latest_stage(spark, sf_dir):
-    path, i = K.workdir(spark, "stages"), selected_items(spark, sf_dir).filter("day % 3 = 1").select("id", "ai_score")
+    path, i = K.workdir(spark, "stages"), selected_items(spark, sf_dir).select("id", "ai_score")
     K.save_stage(spark, path, "run1", "raw", i)
     K.save_stage(spark, path, "run1", "scored", i.filter("ai_score IS NOT NULL"))
     return K.load_stage(spark, path, "run1").select("id")

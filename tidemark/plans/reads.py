@@ -29,6 +29,12 @@ def q1_get_items(spark, sf_dir):
     return R.page(R.get_items(selected_items(spark, sf_dir), day=3, source_type="s1", min_score=1), "score", 2, 5).select("id", "total", "pages")
 
 
+@query(f"WITH {_SEL} SELECT id, coalesce(ai_score, 0) AS cursor_key FROM sel WHERE source_type = 's1' AND (coalesce(ai_score, 0) < 5 OR coalesce(ai_score, 0) = 5 AND id > 100) ORDER BY cursor_key DESC, id LIMIT 20")
+def q1_page_after(spark, sf_dir):
+    """The page behind an item that was shown with a score of 5."""
+    return R.page_after(R.get_items(items(spark, sf_dir), source_type="s1"), "score", 20, (5.0, 100)).select("id", "cursor_key")
+
+
 @query(f"WITH {_SEL}, f AS (SELECT * FROM sel WHERE contains(lower(title), 'the') OR contains(lower(text), 'erth%')) {_PAGED.format(size=20, skip=0, order='published_sec DESC, id')}")
 def q2_search(spark, sf_dir):
     found = selected_items(spark, sf_dir).filter(R.matches("THE", "title") | R.matches("erth%", "text"))
