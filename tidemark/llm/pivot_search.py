@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
-from tidemark.llm.vectors import CELL_ROWS, KEYS, MOST_CELLS, asked_once, best, celled, matrices, meetings, sharded, spread_out, usable, visits, with_kth
+from tidemark.llm.vectors import CELL_ROWS, KEYS, MOST_CELLS, asked_once, best, celled, matrices, meetings, several_cells, sharded, spread_out, usable, visits, with_kth
 
 SCALE = 1024
 PIVOTS = 24
@@ -117,5 +117,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, pivots: int =
         return left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(search, "query_id long, vec_id long, score long")
 
     first = written(best(met(written(visits(asked, promise, first=True), "first")), k), "found")
+    if not several_cells(known):
+        return first
     more = met(written(visits(with_kth(asked, first, k), promise, first=False), "more"))
     return best(first.select("query_id", "vec_id", "score").union(more), k)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
-from tidemark.llm.vectors import CELL_ROWS, KEYS, MOST_CELLS, asked_once, best, celled, meetings, sharded, spread_out, units, usable, visits, with_kth
+from tidemark.llm.vectors import CELL_ROWS, KEYS, MOST_CELLS, asked_once, best, celled, meetings, several_cells, sharded, spread_out, units, usable, visits, with_kth
 
 LEAF = 48
 FACTOR = 1.5
@@ -178,5 +178,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 5, factor: float = FA
         return left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(search, "query_id long, vec_id long, score double")
 
     first = written(best(met(written(visits(asked, promise, first=True), "first")), k), "found")
+    if not several_cells(known):
+        return first
     more = met(written(visits(with_kth(asked, first, k), promise, first=False), "more"))
     return best(first.select("query_id", "vec_id", "score").union(more), k)

@@ -88,6 +88,11 @@ def sharded(rows: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], tuple[int
     return joined.withColumn("shard", shard).drop("of_dim", "of_cell", "shards"), kept
 
 
+def several_cells(known: dict[tuple[int, int], object]) -> bool:
+    """Whether vectors of one length are dealt to several cells (dim, cell); else the first visit has seen everything."""
+    return len({dim for dim, _ in known}) < len(known)
+
+
 def asked_once(queries: DataFrame) -> DataFrame:
     """(query_id, dim, v, ...): a query_id that repeats is asked once, with its least vector."""
     rest = [c for c in queries.columns if c not in ("query_id", "dim")]
