@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
+from tidemark.operators import sinks as K
 from tidemark.plans.bindings import START, table, threads
 from tidemark.registry import query
+from tidemark.sources import landed
 from tidemark.sources import normalise as N
 
 
@@ -248,3 +252,13 @@ SELECT pos, id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos)
 def s28_cutoff_and_caps(spark, sf_dir):
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS pos", "o_custkey % 50 AS org", "o_orderkey % 3000 AS id", "o_orderdate")
     return N.capped_by_group(o, "org", F.col("o_orderdate") >= F.lit("1995-01-01"), 60, "id").select("pos", "id")
+
+
+@query("""SELECT doc_id AS id, source, '2024-01-' || lpad((doc_id % 10 + 1)::VARCHAR, 2, '0') AS day, text AS content FROM documents WHERE doc_id % 10 >= 4""")
+def s0_landed_payloads(spark, sf_dir):
+    """Documents that have landed as JSON lines by source and date; the dates asked for are the feature."""
+    out = K.workdir(spark, "landed")
+    lines = table(spark, sf_dir, "documents").selectExpr("to_json(struct(doc_id AS id, text AS content)) AS value", "source", "concat('2024-01-', lpad(doc_id % 10 + 1, 2, '0')) AS date")
+    lines.write.partitionBy("source", "date").text(f"{out}/landed")
+    rows = landed.read_landed(spark, f"{out}/landed", since=date(2024, 1, 5))
+    return rows.select(F.from_json("payload", "id long, content string").alias("r"), "source", F.col("date").cast("string").alias("day")).select("r.id", "source", "day", "r.content")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import facets as C
 from tidemark.operators import reads as R
+from tidemark.operators import sinks as K
 from tidemark.plans.bindings import ITEMS, NEWS_TOPICS, TAGS, item_tags, items, news_topics, table
 from tidemark.registry import query
 
@@ -256,3 +261,21 @@ def u6_subscribers(spark, sf_dir):
 SELECT provider, sum(greatest(0, i))::BIGINT AS tokens_in, sum(greatest(0, o))::BIGINT AS tokens_out, count(*) AS calls FROM l WHERE i > 0 OR o > 0 GROUP BY provider""")
 def u7_usage_by_provider(spark, sf_dir):
     return R.usage_by_provider(table(spark, sf_dir, "events").selectExpr("event_type AS provider", "event_id % 7 - 2 AS tokens_in", "user_id % 5 - 1 AS tokens_out"))
+
+
+@query(f"""WITH {ITEMS}, {NEWS_TOPICS}, i AS (SELECT id, source_type, category, ai_score, CASE WHEN id % 20 = 4 THEN 3 ELSE day END AS day FROM items WHERE NOT (id % 10 = 3 AND id % 4 = 1)),
+f AS (SELECT 'source_type' AS facet, source_type AS value, ai_score FROM i UNION ALL SELECT 'category', category, ai_score FROM i
+UNION ALL SELECT 'topic', topic::VARCHAR, ai_score FROM i JOIN news_topics USING (id) UNION ALL SELECT '*', NULL, ai_score FROM i)
+SELECT facet, value, count(*) AS n, count(ai_score) AS scored, round(avg(ai_score), 6) AS avg_score, max(ai_score) AS max_score FROM f GROUP BY facet, value""")
+def q9_kept_facets(spark, sf_dir):
+    """Facets of ten dates; then one date is saved anew, without some of its items and with some of another date, and refreshed."""
+    out = K.workdir(spark, "facets")
+    all_items = items(spark, sf_dir).select("id", "source_type", "category", "ai_score", "day")
+    topics_of = {"source_type": F.col("source_type"), "category": F.col("category"), "topic": F.expr("array(id % 25, (id * 7) % 25)")}
+    dated = all_items.withColumn("run_date", F.expr("date_add(DATE '2024-01-01', cast(day AS int))"))
+    K.replace_slots(spark, f"{out}/items", dated.withColumn(K.SLOT, F.col("run_date").cast("string")), set())
+    C.refresh_facets(spark, f"{out}/items", all_items.schema, f"{out}/facets", topics_of)
+    K.save_items(spark, f"{out}/items", all_items.filter("(day = 3 AND id % 4 != 1) OR id % 20 = 4"), "2024-01-04")
+    C.refresh_facets(spark, f"{out}/items", all_items.schema, f"{out}/facets", topics_of)
+    kept = [C.facet_counts(spark, f"{out}/facets", facet).withColumn("facet", F.lit(facet)) for facet in ("*", *topics_of)]
+    return reduce(DataFrame.unionByName, kept).select("facet", "value", "n", "scored", "avg_score", "max_score")
