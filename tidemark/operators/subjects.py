@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # arXiv codes by unified topic.
 ARXIV_TOPICS = {
@@ -51,19 +54,54 @@ PAPER_GROUPS = {
 }
 #: Most sources and domains that count as configuration; more of them is an error, not a plan.
 MOST_CONFIGURED = 10_000
+#: Keywords up to which each is looked for by itself.
+FEW_KEYWORDS = 16
 
 
 def _mapping(table: dict[str, list[str]]) -> Column:
     return F.create_map(*(F.lit(x) for topic, names in table.items() for name in names for x in (name, topic)))
 
 
+def keyword_hits(text: Column, keywords: list[str]) -> Column:
+    """The distinct keywords, which are lower-case and not empty, that the lower-cased text contains; none for a null text.
+
+    Up to FEW_KEYWORDS are looked for natively, more by one automaton of all of them in one pass over the text.
+    """
+    distinct = list(dict.fromkeys(k for k in keywords if k))
+    if not distinct:
+        return F.array().cast("array<string>")
+    if len(distinct) > FEW_KEYWORDS:
+        return _found_by_automaton(distinct)(F.lower(text))
+    # The text is bound once: every mention of an expression under a condition would lower it again.
+    within = F.transform(F.array(F.lower(text)), lambda t: F.filter(F.array(*map(F.lit, distinct)), lambda k: t.contains(k)))
+    return F.filter(F.flatten(within), lambda k: k.isNotNull())
+
+
+def _found_by_automaton(keywords: list[str]) -> Callable[[Column], Column]:
+    @F.pandas_udf(ArrayType(StringType()))
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for k in keywords:
+            automaton.add_word(k, k)
+        automaton.make_automaton()
+
+        def inside(text: str | None) -> list[str]:
+            # A keyword that ends another's match is reported too.
+            return [] if text is None else list({k for _, k in automaton.iter(text)})
+
+        for texts in batches:
+            yield texts.map(inside, na_action=None)
+
+    return found
+
+
 def paper_topics(papers: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
     """(id, slug, confidence, reason) of papers (id, title, abstract, categories).
 
     Catalogue names and codes give 0.85, of several names of one topic the last; a keyword gives 0.7 where these gave
     nothing, of several the first; papers without any topic get other with 0.5. One row at a time, without a shuffle.
     """
-    text = F.lower(F.concat_ws(" ", "title", "abstract"))
+    papers = papers.withColumn("_hits", keyword_hits(F.concat_ws(" ", "title", "abstract"), [t for terms in keywords.values() for t in terms]))
 
     def found(table: dict, label: str) -> Column:
         mapping = _mapping(table)
@@ -76,11 +114,12 @@ def paper_topics(papers: DataFrame, keywords: dict[str, list[str]] = KEYWORDS) -
 
     words = []
     for slug, terms in keywords.items():
-        hit = F.coalesce(*(F.when(text.contains(t), t) for t in terms))
+        hit = F.get(F.filter(F.array(*map(F.lit, terms)), lambda t: F.array_contains("_hits", t)), F.lit(0))
         words.append(F.when(hit.isNotNull(), F.struct(F.lit(slug).alias("slug"), F.lit(0.7).alias("confidence"), F.concat(F.lit("keyword: "), hit).alias("reason"))))
     other = F.array(F.struct(F.lit("other").alias("slug"), F.lit(0.5).alias("confidence"), F.lit("no topic matched").alias("reason")))
     named = papers.withColumn("_n", once(found(CATALOGUE_TOPICS, "catalogue topic"), True)).withColumn("_c", once(found(ARXIV_TOPICS, "arXiv category"), False))
-    every = once(F.concat("_n", "_c", F.array_compact(F.array(*words))), False)
+    named = named.withColumn("_all", F.concat("_n", "_c", F.array_compact(F.array(*words))))
+    every = once(F.col("_all"), False)
     return named.withColumn("_t", every).select("id", F.explode(F.when(F.size("_t") == 0, other).otherwise(F.col("_t"))).alias("t")).select("id", "t.*")
 
 
@@ -133,10 +172,7 @@ def top_per_section(items: DataFrame) -> DataFrame:
 
 def filter_by_keywords(papers: DataFrame, keywords: list[str], columns: list[str]) -> DataFrame:
     """Papers with any keyword in any column; all papers if there is none."""
-    text, hit = F.lower(F.concat_ws(" ", *columns)), F.lit(False)
-    for k in keywords:
-        hit = hit | text.contains(k.lower())
-    marked = papers.withColumn("_hit", hit)
+    marked = papers.withColumn("_hit", F.size(keyword_hits(F.concat_ws(" ", *columns), [k.lower() for k in keywords])) > 0)
     any_hit = marked.agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("_any"))
     return marked.crossJoin(F.broadcast(any_hit)).filter("_hit OR NOT _any").drop("_hit", "_any")
 
