@@ -217,19 +217,14 @@ v AS (SELECT *, sum(fresh) OVER (PARTITION BY url_key ORDER BY sec, id) AS visit
 SELECT url_key, min(sec)::BIGINT AS began, max(sec)::BIGINT + {_GAP} AS ended, first(id ORDER BY length(content) DESC, sec, id) AS id, max(content) AS content, count(*) AS n_items, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS sources
 FROM v GROUP BY url_key, visit""")
 def x1_merged_urls_stream(spark, sf_dir):
-    """Events as items that land in files, then a mark far ahead that ends all visits but its own."""
+    """Events as items that land in files, and last a mark far ahead that ends all visits but its own."""
     out = K.workdir(spark, "visits")
     e = table(spark, sf_dir, "events").selectExpr("event_id AS id", "concat('https://www.x.org/', user_id, '/?utm_source=', event_id) AS url", "event_type AS source_type", "repeat('a', cast(event_id % 11 AS int)) AS content", "timestamp_seconds(unix_seconds(cast(ts AS timestamp))) AS published_at")
-    e.write.parquet(f"{out}/landed")
     mark = spark.range(1).selectExpr("-1L AS id", "'https://x.org/end' AS url", "'' AS source_type", "'' AS content", f"timestamp_seconds({_FAR}) AS published_at")
-    items = J.landing(spark, f"{out}/landed", e.schema)
-    # Nothing is late, in whatever order the files are taken.
-    visits = lambda: J.merged_urls(items, f"{_GAP} seconds", f"{_FAR // 2} seconds")
-    for step in ("items", "mark"):
-        if step == "mark":
-            mark.coalesce(1).write.mode("append").parquet(f"{out}/landed")
-        visits().writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(visits().schema).parquet(f"{out}/rows")
+    e.write.parquet(f"{out}/landed")
+    mark.coalesce(1).write.mode("append").parquet(f"{out}/landed")
+    # The mark's file is the newest and comes last; before it nothing is late, in whatever order the files are taken.
+    rows = _drain(spark, J.merged_urls(J.landing(spark, f"{out}/landed", e.schema), f"{_GAP} seconds", f"{_FAR // 2} seconds"), "append", "visits")
     return rows.select("url_key", F.unix_seconds("began").alias("began"), F.unix_seconds("ended").alias("ended"), "id", "content", "n_items", F.array_join("sources", ",").alias("sources"))
 
 
