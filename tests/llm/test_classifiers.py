@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -142,3 +143,52 @@ def test_samples_are_bounded_in_rows(spark):
     labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
     found = [r.doc_id for r in sample(docs, labels, "quality", 5, 0, rows=10).collect()]
     assert len(found) == len(set(found)) == 10
+
+
+def looped(texts):
+    """Counts and context sums by bucket, token by token."""
+    tokens, index = Q.Tokens(), Q.index_vectors().astype(np.int64)
+    n, sums = {}, {}
+    for text in texts:
+        ids = tokens(text).tolist()
+        for at, own in enumerate(ids):
+            n[own] = n.get(own, 0) + 1
+            for near in range(max(0, at - Q.WINDOW), min(len(ids), at + Q.WINDOW + 1)):
+                sums.setdefault(own, np.zeros(Q.DIM, np.int64))
+                if near != at:
+                    sums[own] += index[ids[near]]
+    return n, sums
+
+
+def context_texts():
+    rng = random.Random(11)
+    words = [f"w{k}" if k % 3 else "abc"[k % 2 :] + "é" * (k % 4) for k in range(30)]
+    return [None, "", "one", "a, b; c 12", "same same same", *(" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(60))]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 100_000])
+def test_context_sums_equal_a_double_loop(monkeypatch, chunk):
+    """Documents do not reach into one another, and pieces of a chunk lose no neighbour at their borders."""
+    monkeypatch.setattr(Q, "CHUNK", chunk)
+    texts = context_texts()
+    n, sums = looped(texts)
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[at : at + 9], pa.string())], ["text"]) for at in range(0, len(texts), 9)]
+    found = pa.Table.from_batches(Q._contexts(iter(batches))).to_pylist()
+    assert {r["bucket"]: r["n"] for r in found} == n
+    for r in found:
+        assert [r[f"d{k}"] for k in range(Q.DIM)] == sums[r["bucket"]].tolist()
+
+
+def test_word_vectors_equal_a_double_loop(spark):
+    texts = context_texts()
+    n, sums = looped(texts)
+    wanted, total = np.zeros((Q.BUCKETS, Q.DIM)), sum(n.values())
+    for b in n:
+        wanted[b] = sums[b] / n[b]
+    centre = sum(wanted[b] * n[b] for b in n) / total
+    for b in n:
+        wanted[b] -= centre
+        wanted[b] /= max(np.sqrt((wanted[b] ** 2).sum()), 1e-9)
+    docs = spark.createDataFrame([(t, "x") for t in texts], "text string, bucket string").repartition(3)
+    assert np.allclose(Q.word_vectors(docs), wanted, atol=1e-5)
+    assert not Q.word_vectors(docs.limit(0)).any()
