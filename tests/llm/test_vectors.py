@@ -28,16 +28,29 @@ def good(rows, zero=True):
 
 def small_cells(monkeypatch):
     """Several cells of several shards, as large tables have them."""
-    for module in (pivot_search, vantage):
+    for module in (pivot_search, vantage, vectors_):
         monkeypatch.setattr(module, "CELL_ROWS", 150)
     monkeypatch.setattr(vectors_, "SHARD_ROWS", 60)
     monkeypatch.setattr(vectors_, "QUERY_BLOCK", 3)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_top_k_is_exact(spark, monkeypatch, small):
-    if small:
-        small_cells(monkeypatch)
+def split_small_cells(monkeypatch):
+    """Few cells that all are cells of cells, as tables beyond MOST_CELLS cells have them."""
+    for module in (pivot_search, vantage, vectors_):
+        monkeypatch.setattr(module, "CELL_ROWS", 30)
+        monkeypatch.setattr(module, "MOST_CELLS", 4)
+    monkeypatch.setattr(vectors_, "SPLIT_ROWS", 60)
+    monkeypatch.setattr(vectors_, "SHARD_ROWS", 20)
+    monkeypatch.setattr(vectors_, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vectors_, "VISITS", 5)
+
+
+CELLS = pytest.mark.parametrize("cells", [lambda monkeypatch: None, small_cells, split_small_cells], ids=["one", "several", "split"])
+
+
+@CELLS
+def test_top_k_is_exact(spark, monkeypatch, cells):
+    cells(monkeypatch)
     rows = vectors()
     frame = spark.createDataFrame(rows, SCHEMA)
     whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in good(rows)]
@@ -49,10 +62,9 @@ def test_top_k_is_exact(spark, monkeypatch, small):
     assert sorted(map(tuple, found)) == sorted(wanted)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_nearest_recall_and_exact_factor(spark, monkeypatch, small):
-    if small:
-        small_cells(monkeypatch)
+@CELLS
+def test_nearest_recall_and_exact_factor(spark, monkeypatch, cells):
+    cells(monkeypatch)
     rows = vectors()
     frame = spark.createDataFrame(rows, SCHEMA)
     index, known = build_index(frame), good(rows, zero=False)
@@ -69,8 +81,9 @@ def test_nearest_recall_and_exact_factor(spark, monkeypatch, small):
     assert len(found & pairs) >= 0.9 * len(pairs)
 
 
-def test_ties_beyond_k_go_to_the_smallest_ids(spark, monkeypatch):
-    small_cells(monkeypatch)
+@pytest.mark.parametrize("cells", [small_cells, split_small_cells], ids=["several", "split"])
+def test_ties_beyond_k_go_to_the_smallest_ids(spark, monkeypatch, cells):
+    cells(monkeypatch)
     draw = np.random.default_rng(5)
     one = draw.normal(size=8)
     rows = [(k, one.tolist() if k % 3 == 0 else (one * 2.0 ** (k % 7)).tolist() if k % 3 == 1 and k % 2 else draw.normal(size=8).tolist(), "x") for k in range(900)]
@@ -88,6 +101,39 @@ def test_ties_beyond_k_go_to_the_smallest_ids(spark, monkeypatch):
                 assert [(n + 1, int(ids[k]), score[k]) for n, k in enumerate(order)] == sorted(found[q])
 
 
+@pytest.mark.parametrize("module", [pivot_search, vantage], ids=["top_k", "nearest"])
+def test_shards_that_a_query_visits_do_not_grow_with_the_table(spark, monkeypatch, module):
+    """Beyond the cap of cells: four cells of clusters, twice as many rows and clusters, as many shards for each query."""
+    monkeypatch.setattr(module, "CELL_ROWS", 20)
+    monkeypatch.setattr(module, "MOST_CELLS", 4)
+    monkeypatch.setattr(vectors_, "CELL_ROWS", 20)
+    monkeypatch.setattr(vectors_, "MOST_CELLS", 64)
+    monkeypatch.setattr(vectors_, "SHARD_ROWS", 20)
+    draw, seen = np.random.default_rng(8), []
+    plain = vectors_.meetings
+
+    def counted(going, rows, shards):
+        left, right = plain(going, rows, shards)
+        seen[-1] += left.count()
+        return left, right
+
+    monkeypatch.setattr(module, "meetings", counted)
+    for split in (60, 10**9):
+        monkeypatch.setattr(vectors_, "SPLIT_ROWS", split)
+        for clusters in (40, 80):
+            middles = draw.normal(size=(clusters, 8))
+            middles *= 10 / np.sqrt((middles**2).sum(axis=1))[:, None]
+            rows = [(k, (middles[k % clusters] + 0.02 * draw.normal(size=8)).tolist()) for k in range(40 * clusters)]
+            frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+            queries = frame.filter(f"vec_id < {clusters}")
+            seen.append(0)
+            found = (top_k(queries, frame, k=3) if module is pivot_search else nearest(queries, build_index(frame), k=3, factor=1.0)).count()
+            assert found == 3 * clusters
+            seen[-1] /= clusters
+    few, many, few_unsplit, many_unsplit = seen
+    assert many < 1.5 * few and many < many_unsplit / 3 and many_unsplit > 1.6 * few_unsplit
+
+
 def test_recall_on_the_given_embeddings(spark):
     """Against brute force over all rows of the table."""
     frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
-from tidemark.llm.vectors import CELL_ROWS, KEYS, MOST_CELLS, asked_once, best, celled, matrices, meetings, several_cells, sharded, spread_out, usable, visits, with_kth
+from tidemark.llm.vectors import CELL_ROWS, KEYS, MOST_CELLS, asked_once, best, celled, matrices, meetings, several_cells, sharded, split_cells, spread_out, usable, visits, with_kth
 
 SCALE = 1024
 PIVOTS = 24
@@ -65,20 +65,21 @@ def search_shard(query: np.ndarray, near: np.ndarray, own: int, ids: np.ndarray,
     return ids[seen[top]], scores[top], len(seen)
 
 
-def _promise(centres: dict[int, np.ndarray], radii: dict[tuple[int, int], float]):
+def _promise(centres: dict[int, np.ndarray], dealt: dict[tuple[int, int], tuple[int, float, int]]):
     """A query's inner product with a cell's rows is at most that with the centre and its length times the radius."""
-    known = {}
-    for dim, cell in radii:
-        known.setdefault(dim, []).append(cell)
-
-    def promise(query: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cells = np.array(known.get(dim, []), np.int64)
-        if dim not in centres:
-            return cells, np.full(len(cells), np.inf), np.zeros(len(cells))
-        with_centre = centres[dim][cells] @ query
-        reach = np.sqrt(query @ query) * np.array([radii[dim, int(c)] for c in cells])
-        slack = 1e-9 * (np.abs(centres[dim][cells]) @ np.abs(query) + reach) + 1e-3
-        return cells, with_centre + reach + slack, with_centre
+    known, none = {}, (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), None)
+    for dim in {dim for dim, _ in dealt}:
+        cells = np.array(sorted(cell for d, cell in dealt if d == dim), np.int64)
+        radius, sizes = (np.array([dealt[dim, int(c)][k] for c in cells]) for k in (1, 2))
+        known[dim] = cells, radius, sizes, centres[dim][cells] if dim in centres else None
+
+    def promise(query: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        cells, radius, sizes, centre = known.get(dim, none)
+        if centre is None:
+            return cells, np.full(len(cells), np.inf), np.zeros(len(cells)), sizes
+        with_centre, reach = centre @ query, np.sqrt(query @ query) * radius
+        slack = 1e-9 * (np.abs(centre) @ np.abs(query) + reach) + 1e-3
+        return cells, with_centre + reach + slack, with_centre, sizes
 
     return promise
 
@@ -97,10 +98,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, pivots: int =
     far = spread_out(points, max(pivots, MOST_CELLS))
     cells = min(MOST_CELLS, max(1, -(-points.count() // CELL_ROWS)))
     chosen, centres = {dim: v[:pivots] for dim, v in far.items()}, {dim: v[:cells] for dim, v in far.items()}
-    rows, known = sharded(written(celled(pivot_table(points, chosen), centres, unit=False), "pivots"))
+    dealt = written(celled(pivot_table(points, chosen), centres, unit=False), "pivots")
+    finer, centres = split_cells(dealt, centres, unit=False)
+    rows, known = sharded(dealt if finer is dealt else written(finer, "cells"))
     asked = written(asked_once(pivot_table(usable(queries).withColumn("v", whole), chosen).withColumnRenamed("vec_id", "query_id")), "asked")
-    promise = _promise(centres, {key: radius for key, (_, radius) in known.items()})
-    shards = {key: n for key, (n, _) in known.items()}
+    promise = _promise(centres, known)
+    shards = {key: n for key, (n, *_) in known.items()}
 
     def search(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []

@@ -11,11 +11,12 @@ import io
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
-from tidemark.llm.vectors import CELL_ROWS, KEYS, MOST_CELLS, asked_once, best, celled, meetings, several_cells, sharded, spread_out, units, usable, visits, with_kth
+from tidemark.llm.vectors import CELL_ROWS, KEYS, MOST_CELLS, asked_once, best, celled, meetings, several_cells, sharded, split_cells, spread_out, units, usable, visits, with_kth
 
 LEAF = 48
 FACTOR = 1.5
@@ -114,38 +115,39 @@ class Tree:
 
 
 def build_index(vectors: DataFrame) -> DataFrame:
-    """(dim, cell, shard, centre, radius, tree) over all usable rows of (vec_id, embedding); other columns are ignored.
+    """(dim, cell, shard, centre, radius, size, tree) over all usable rows of (vec_id, embedding); other columns are ignored.
 
     Zero vectors have no cosine and take no part. Rows that repeat are indexed each time. The centres of the cells come from
-    a bounded sample, of at most SAMPLE_ROWS rows; they affect speed, and recall at factors over 1. An empty table gives no rows.
+    bounded samples; they affect speed, and recall at factors over 1. An empty table gives no rows.
     """
     points = usable(vectors).filter(F.exists("v", lambda x: x != 0))
     cells = min(MOST_CELLS, max(1, -(-points.count() // CELL_ROWS)))
     centres = spread_out(points, cells, unit=True)
-    dealt, _ = sharded(written(celled(points, centres, unit=True), "points"))
+    first = written(celled(points, centres, unit=True), "points")
+    finer, centres = split_cells(first, centres, unit=True)
+    dealt, _ = sharded(first if finer is first else written(finer, "cells"))
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         dim, cell, _ = key
         centre = centres[dim][cell].tolist() if dim in centres else None
         tree = Tree(rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy())).dumps()
-        return pd.DataFrame([(*key, centre, rows["away"].max(), tree)], columns=["dim", "cell", "shard", "centre", "radius", "tree"])
+        return pd.DataFrame([(*key, centre, rows["away"].max(), len(rows), tree)], columns=["dim", "cell", "shard", "centre", "radius", "size", "tree"])
 
-    return written(dealt.groupBy("dim", "cell", "shard").applyInPandas(grow, "dim int, cell int, shard int, centre array<double>, radius double, tree binary"), "trees")
+    return written(dealt.groupBy("dim", "cell", "shard").applyInPandas(grow, "dim int, cell int, shard int, centre array<double>, radius double, size long, tree binary"), "trees")
 
 
-def _promise(known: dict[tuple[int, int], tuple[np.ndarray | None, float]], factor: float):
-    """A row of a cell is at least as far from a query as the centre less the radius; ``factor`` stretches that bound."""
-    by: dict[int, list[int]] = {}
-    for dim, cell in known:
-        by.setdefault(dim, []).append(cell)
+def _promise(known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]], factor: float):
+    """By length: cells, radii, numbers of rows and centres. A row of a cell is at least as far from a query as the centre less the radius; ``factor`` stretches that bound."""
 
-    def promise(query: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cells = np.array(by.get(dim, []), np.int64)
-        if not len(cells) or known[dim, int(cells[0])][0] is None:
-            return cells, np.full(len(cells), np.inf), np.zeros(len(cells))
-        away = np.sqrt(((np.stack([known[dim, int(c)][0] for c in cells]) - units(query)) ** 2).sum(axis=1))
-        low = np.maximum(0.0, (away - np.array([known[dim, int(c)][1] for c in cells])) * factor - DISTANCE_SLACK)
-        return cells, 1 - low * low / 2 + COSINE_SLACK, -away
+    none = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), None)
+
+    def promise(query: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        cells, radius, sizes, centre = known.get(dim, none)
+        if centre is None:
+            return cells, np.full(len(cells), np.inf), np.zeros(len(cells)), sizes
+        away = np.sqrt(((centre - units(query)) ** 2).sum(axis=1))
+        low = np.maximum(0.0, (away - radius) * factor - DISTANCE_SLACK)
+        return cells, 1 - low * low / 2 + COSINE_SLACK, -away, sizes
 
     return promise
 
@@ -159,9 +161,13 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 5, factor: float = FA
     repeats is asked once, with its least vector. Empty tables give no rows.
     """
     asked = written(asked_once(usable(queries).filter(F.exists("v", lambda x: x != 0)).withColumnRenamed("vec_id", "query_id")), "asked")
-    cells = index.groupBy("dim", "cell").agg((F.max("shard") + 1).alias("shards"), F.max("radius").alias("radius"), F.first("centre").alias("centre")).collect()
-    shards = {(r.dim, r.cell): r.shards for r in cells}
-    known = {(r.dim, r.cell): (None if r.centre is None else np.array(r.centre), r.radius) for r in cells}
+    cells = index.groupBy("dim", "cell").agg((F.max("shard") + 1).alias("shards"), F.max("radius").alias("radius"), F.sum("size").alias("size"), F.first("centre").alias("centre")).toArrow()
+    shards = {(d, c): n for d, c, n in zip(*(cells.column(name).to_pylist() for name in ("dim", "cell", "shards")), strict=True)}
+    known = {}
+    for dim in {d for d, _ in shards}:
+        of = cells.filter(pc.equal(cells.column("dim"), dim)).combine_chunks()
+        centre = of.column("centre").combine_chunks()
+        known[dim] = of.column("cell").to_numpy().astype(np.int64), of.column("radius").to_numpy(), of.column("size").to_numpy(), None if centre.null_count else centre.flatten().to_numpy().reshape(-1, dim)
     promise = _promise(known, factor)
 
     def search(asked: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
@@ -178,7 +184,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 5, factor: float = FA
         return left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(search, "query_id long, vec_id long, score double")
 
     first = written(best(met(written(visits(asked, promise, first=True), "first")), k), "found")
-    if not several_cells(known):
+    if not several_cells(shards):
         return first
     more = met(written(visits(with_kth(asked, first, k), promise, first=False), "more"))
     return best(first.select("query_id", "vec_id", "score").union(more), k)
