@@ -2,6 +2,8 @@
 
 import difflib
 
+import pandas as pd
+
 from tidemark.operators import linking as L
 
 WORDS = "deep networks network transformers transformer learning for image images recognition with attention".split()
@@ -28,3 +30,18 @@ def test_pool_is_that_of_all_pairs(spark, monkeypatch):
     found = sorted((r.seed_id, r.work_id, round(r.similarity, 9), r.place) for r in pool.collect())
     wanted = brute([x for x in seeds if L.plain_title(x[1])], [w for w in works if w[1] is None or L.plain_title(w[1])])
     assert (0, 1) in {x[:2] for x in found} and found == wanted
+
+
+def test_pool_of_many_similar_titles(spark, monkeypatch):
+    """Hundreds of titles near one seed, ties among them and titles that several works bear; no cell gives more than its best."""
+    monkeypatch.setattr(L, "WORK_BLOCK", 40)
+    monkeypatch.setattr(L, "TITLE_BLOCK", 8)
+    base = "deep residual learning for image recognition at scale"
+    titles = [base[:k] + c + base[k + 1 :] for k in range(0, 50, 2) for c in "xyz"] + [base[:k] + base[k + 2 :] for k in range(0, 50, 3)] + [base] * 3
+    works = [((37 * k) % 1009, t, k % 29 == 28) for k, t in enumerate(titles * 2)]
+    seeds = [(1, base), (2, base + "s"), (3, base.replace("deep", "dep")), (4, "x" * 300 + " " + base)]
+    columns = "work_id long, title string, is_retracted boolean"
+    pool = L.candidate_pool(spark.createDataFrame(seeds, "seed_id long, title string"), spark.createDataFrame(works, columns))
+    assert sorted((r.seed_id, r.work_id, round(r.similarity, 9), r.place) for r in pool.collect()) == brute(seeds, works)
+    near = L._nearest_in_cell(pd.DataFrame({"plain": [base]}), pd.DataFrame({"plain": sorted(set(titles)), "first_id": range(len(set(titles)))}))
+    assert len(near) == L.MOST_CANDIDATES

@@ -18,6 +18,8 @@ from tidemark.operators.reads import institutions
 SIMILAR, DOI_SIMILAR, SAME_WORK, MOST_CANDIDATES = 0.85, 0.75, 0.95, 5
 #: Distinct titles of seeds and of works in a cell that is compared at once.
 SEED_BLOCK, WORK_BLOCK = 2048, 16_384
+#: Titles whose common subsequences are found at once.
+TITLE_BLOCK = 128
 REQUIRED = ["title", "authors", "abstract", "publication_year", "doi", "url", "journal_ref"]
 
 
@@ -78,57 +80,78 @@ def _common_length(a: str, codes: np.ndarray) -> np.ndarray:
     return len(a) - np.bitwise_count(v & np.uint64((1 << len(a)) - 1)).astype(np.int64)
 
 
-def _similar_cell(seeds: pd.DataFrame, works: pd.DataFrame) -> pd.DataFrame:
-    """(a, b, similarity) of all similar titles of one cell; only pairs that bounds on the ratio rule out are not compared."""
-    names, found = works["plain"].sort_values(key=lambda c: c.str.len()).to_numpy(), []
-    lengths = np.array([len(n) for n in names], dtype=np.int64)
-    rows = [np.frombuffer(n.encode("ascii"), dtype=np.uint8) for n in names]
-    counts = np.zeros((128, len(names)), dtype=np.uint16)
-    for k, row in enumerate(rows):
-        counts[:, k] = np.bincount(row, minlength=128)
+def _nearest_in_cell(seeds: pd.DataFrame, works: pd.DataFrame) -> pd.DataFrame:
+    """(a, b, similarity, first_id): of one cell each seed title's MOST_CANDIDATES most similar titles, ties to the smaller first_id.
+
+    Titles are taken in the order of a bound on the ratio, by characters in common, then by the longest common subsequence;
+    once the bound falls below the last of the best, no other title can come among them.
+    """
+    works = works.sort_values("plain", key=lambda c: c.str.len())
+    names, ids = works["plain"].to_numpy(), works["first_id"].to_numpy()
+    if not len(names):
+        return pd.DataFrame({"a": [], "b": [], "similarity": [], "first_id": []}).astype({"a": object, "b": object, "similarity": float, "first_id": "int64"})
+    rows, found = [np.frombuffer(n.encode("ascii"), dtype=np.uint8) for n in names], []
+    lengths = np.array([len(r) for r in rows], dtype=np.int64)
+    counts = np.stack([np.bincount(r, minlength=128) for r in rows], axis=1)
+    most, total = counts.max(), np.min_scalar_type(lengths[-1])
+    counts = counts.astype(np.min_scalar_type(most))
     for a in seeds["plain"]:
         low, high = np.searchsorted(lengths, [np.floor(len(a) * SIMILAR / (2 - SIMILAR)), np.ceil(len(a) * (2 - SIMILAR) / SIMILAR) + 1])
-        need = SIMILAR * (len(a) + lengths[low:high]) - 1e-6
         own = np.bincount(np.frombuffer(a.encode("ascii"), dtype=np.uint8), minlength=128)
-        shared = np.zeros(high - low, dtype=np.uint16)
+        shared = np.zeros(high - low, dtype=total)
         for c in np.flatnonzero(own):
-            shared += np.minimum(counts[c, low:high], np.uint16(own[c]))
-        near = np.flatnonzero(2.0 * shared >= need)
-        if not len(near):
-            continue
-        codes = np.zeros((len(near), int(lengths[low + near].max())), dtype=np.uint8)
-        for k, n in enumerate(near + low):
-            codes[k, : lengths[n]] = rows[n]
-        for n in near[2.0 * _common_length(a, codes) >= need[near]]:
-            ratio = difflib.SequenceMatcher(None, a, names[low + n]).ratio()
-            if ratio >= SIMILAR:
-                found.append((a, names[low + n], ratio))
-    return pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": object, "b": object, "similarity": float})
-
-
-def similar_titles(seeds: DataFrame, works: DataFrame) -> DataFrame:
-    """(a, b, similarity) of all pairs of the distinct ``plain`` titles of both sides that reach SIMILAR, none left out.
-
-    Both sides are dealt to blocks and each pair of blocks is a cell, so the number of pairs grows with both sides: the ratio has
-    no selective exact index, as 0.85 allows nine changed letters in sixty. A pair is compared if its lengths, its counts of
-    characters and its longest common subsequence allow the ratio.
+            shared += np.minimum(counts[c, low:high], counts.dtype.type(min(own[c], most)))
+        bound = 2.0 * shared / (len(a) + lengths[low:high])
+        near = np.flatnonzero(bound >= SIMILAR)
+        near, best = near[np.argsort(-bound[near], kind="stable")], []
+        for start in range(0, len(near), TITLE_BLOCK):
+            least = best[-1][0] if len(best) == MOST_CANDIDATES else SIMILAR
+            block = near[start : start + TITLE_BLOCK]
+            block = low + block[bound[block] >= least]
+            if not len(block):
+                break
+            codes = np.zeros((len(block), int(lengths[block].max())), dtype=np.uint8)
+            for k, n in enumerate(block):
+                codes[k, : lengths[n]] = rows[n]
+            ratio = 2.0 * _common_length(a, codes) / (len(a) + lengths[block])
+            for k in np.argsort(-ratio, kind="stable"):
+                if ratio[k] < (best[-1][0] if len(best) == MOST_CANDIDATES else SIMILAR):
+                    break
+                similarity = difflib.SequenceMatcher(None, a, names[block[k]]).ratio()
+                if similarity >= SIMILAR:
+                    best = sorted([*best, (similarity, int(ids[block[k]]), names[block[k]])], key=lambda x: (-x[0], x[1]))[:MOST_CANDIDATES]
+        found += [(a, b, similarity, first) for similarity, first, b in best]
+    return pd.DataFrame(found, columns=["a", "b", "similarity", "first_id"]).astype({"a": object, "b": object, "similarity": float, "first_id": "int64"})
+
+
+def nearest_titles(seeds: DataFrame, works: DataFrame) -> DataFrame:
+    """(a, b, similarity): for each distinct ``plain`` title of the seeds the MOST_CANDIDATES most similar ones of the works.
+
+    Similarities are at least SIMILAR; ties go to the title with the smaller ``first_id`` (works: plain, first_id, one row for
+    each title), and none that belongs among the best is left out. Both sides are dealt to blocks and each pair of blocks is a
+    cell, so comparisons grow with both sides: the ratio has no selective exact index, as 0.85 allows nine changed letters in
+    sixty. What leaves a cell is at most MOST_CANDIDATES rows for each of its seed titles, however many are similar.
     """
-    s, w = (x.select("plain").filter("plain != ''").distinct() for x in (seeds, works))
+    s, w = seeds.select("plain").filter("plain != ''").distinct(), works.select("plain", "first_id").filter("plain != ''")
     n_s, n_w = (max(1, -(-x.count() // block)) for x, block in ((s, SEED_BLOCK), (w, WORK_BLOCK)))
     deal = lambda n: F.pmod(F.xxhash64("plain"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     x = s.select("plain", deal(n_s).alias("i")).withColumn("j", every(n_w))
-    y = w.select("plain", deal(n_w).alias("j")).withColumn("i", every(n_s))
-    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(_similar_cell, "a string, b string, similarity double")
+    y = w.withColumn("j", deal(n_w)).withColumn("i", every(n_s))
+    near = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(_nearest_in_cell, "a string, b string, similarity double, first_id long")
+    place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("similarity"), "first_id"))
+    return near.withColumn("_n", place).filter(F.col("_n") <= MOST_CANDIDATES).select("a", "b", "similarity")
 
 
 def candidate_pool(seeds: DataFrame, works: DataFrame) -> DataFrame:
     """(seed_id, work_id, similarity, place): the best works per seed that are not retracted and similar in title.
 
-    Titles are compared once however many rows have them; of works with one title the first MOST_CANDIDATES can be chosen.
+    Titles are compared once however many rows have them. The best MOST_CANDIDATES works bear at most that many titles, which
+    are the best titles by similarity and first work, and of works with one title only the first MOST_CANDIDATES can be chosen.
+    Works without an id and titles that are null or have no letters or digits take no part.
     """
-    s, w = seeds.withColumn("plain", normalize_title(F.col("title"))), works.filter(~F.coalesce("is_retracted", F.lit(False))).withColumn("plain", normalize_title(F.col("title")))
-    close = similar_titles(s, w)
+    s, w = seeds.withColumn("plain", normalize_title(F.col("title"))), works.filter(F.col("work_id").isNotNull() & ~F.coalesce("is_retracted", F.lit(False))).withColumn("plain", normalize_title(F.col("title")))
+    close = nearest_titles(s, w.groupBy("plain").agg(F.min("work_id").alias("first_id")))
     first = w.select("work_id", F.col("plain").alias("b")).withColumn("_n", F.row_number().over(W.partitionBy("b").orderBy("work_id"))).filter(F.col("_n") <= MOST_CANDIDATES).drop("_n")
     ranked = close.join(first, "b").withColumn("place", F.row_number().over(W.partitionBy("a").orderBy(F.desc("similarity"), "work_id")))
     best = ranked.filter(F.col("place") <= MOST_CANDIDATES).withColumnRenamed("a", "plain")
