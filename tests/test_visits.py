@@ -60,3 +60,19 @@ def test_stream_and_table_agree_in_any_order(spark, tmp_path):
         spark.createDataFrame([(-1, "https://z.org/end", "", "", START + timedelta(days=365))], KIND).coalesce(1).write.mode("append").parquet(source)
         ended, held = drain()
         assert given(ended) == plain(data, gap) and held == 1
+
+
+def test_an_item_at_exactly_the_gap_begins_a_visit(spark, tmp_path):
+    hours = [(1, 0, 0), (2, 6, 0), (3, 12, -1), (4, 18, -1)]  # 2 and 4 come at the gap, 3 a microsecond before it
+    data = [(k, "https://a.org/x", "rss", "x" * k, START + timedelta(hours=h, microseconds=us)) for k, h, us in hours]
+    wanted = [(1, 1, START), (3, 2, START + timedelta(hours=6)), (4, 1, START + timedelta(hours=18, microseconds=-1))]
+    table = J.merged_urls(spark.createDataFrame(data, KIND), "6 hours")
+    visits = sorted((r[3], r[5], r[1]) for r in given(table))
+    assert visits == wanted
+    assert {r[2] for r in given(table)} == {START + timedelta(hours=h, microseconds=us) for h, us in ((6, 0), (18, -1), (24, -1))}
+    source, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    for rows in (*([d] for d in data), [(-1, "https://z.org/end", "", "", START + timedelta(days=365))]):
+        spark.createDataFrame(rows, KIND).coalesce(1).write.mode("append").parquet(source)
+    stream = J.merged_urls(J.landing(spark, source, spark.createDataFrame([], KIND).schema, files_per_batch=1), "6 hours", "30 days")
+    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    assert given(spark.read.schema(stream.schema).parquet(f"{out}/rows")) == given(table)

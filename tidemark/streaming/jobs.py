@@ -27,7 +27,8 @@ def unique_urls(items: DataFrame, hours: int = 24) -> DataFrame:
 def merged_urls(items: DataFrame, gap: str = "6 hours", late: str = "24 hours") -> DataFrame:
     """One row per URL key and visit of items (id, url, source_type, content, published_at), as a stream or a table.
 
-    Items of a key that follow one another within ``gap`` are one visit. Its row has url_key, began and ended (the last item's
+    Items of a key that follow one another by less than ``gap`` are one visit; Spark's own sessions would also take one at exactly
+    the gap, so they are told a microsecond less. Its row has url_key, began and ended (the last item's
     time plus ``gap``), the id and content of the primary (longest content, then the earliest, then the smallest id), n_items,
     and the distinct source types in order. A stream gives a visit once, when it has ended ``late`` before the newest item;
     its state, the longest content so far, then goes, and items that come later still are dropped. A table gives the same rows
@@ -36,9 +37,9 @@ def merged_urls(items: DataFrame, gap: str = "6 hours", late: str = "24 hours")
     keyed = items.withColumn("url_key", normalize_url(F.col("url"))).filter("url_key IS NOT NULL AND published_at IS NOT NULL")
     keyed = keyed.withColumn("content", F.coalesce("content", F.lit("")))
     best = F.struct(F.length("content").alias("n"), (-F.unix_micros("published_at")).alias("at"), (-F.col("id")).alias("i"))
-    visits = keyed.withWatermark("published_at", late).groupBy(F.session_window("published_at", gap).alias("w"), "url_key")
+    visits = keyed.withWatermark("published_at", late).groupBy(F.session_window("published_at", f"{gap} -1 microseconds").alias("w"), "url_key")
     told = visits.agg(F.max_by(F.struct("id", "content"), best).alias("p"), F.count("*").alias("n_items"), F.array_sort(F.collect_set("source_type")).alias("sources"))
-    return told.select("url_key", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "p.id", "p.content", "n_items", "sources")
+    return told.select("url_key", F.col("w.start").alias("began"), (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("ended"), "p.id", "p.content", "n_items", "sources")
 
 
 def hourly_counts(events: DataFrame, ts: str, kind: str, late_hours: int = 24) -> DataFrame:
