@@ -222,10 +222,20 @@ def canonical_overrides(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.coalesce("canonical_title", "work_title").alias("title"), year.alias("publication_year"), doi.alias("doi"), F.when(move, moved).otherwise(F.col("published_at")).alias("published_at"))
 
 
+def invert_abstracts(papers: DataFrame, words: Column, out: str) -> DataFrame:
+    """Adds ``out``, a map from each word of an array to its places, in order; row by row, so nothing is moved."""
+    placed = papers.withColumn("_placed", F.sort_array(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p")))))
+    first = F.array_compact(F.transform("_placed", lambda x, k: F.when(~x["w"].eqNullSafe(F.get("_placed", k - 1)["w"]), k)))
+    runs = placed.withColumn("_first", first)
+    end = lambda k: F.coalesce(F.get("_first", k + 1), F.size("_placed"))
+    entry = lambda at, k: F.struct(F.get("_placed", at)["w"], F.transform(F.slice("_placed", at + 1, end(k) - at), lambda x: x["p"]))
+    return runs.withColumn(out, F.map_from_entries(F.transform("_first", entry))).drop("_placed", "_first")
+
+
 def reconstruct_abstract(index: Column) -> Column:
     """Text of a map from words to their places."""
     placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " ")
+    return F.array_join(F.transform(F.sort_array(placed), lambda x: x["w"]), " ")
 
 
 def extract_arxiv_id(doi: Column, landing: Column) -> Column:

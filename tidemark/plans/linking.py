@@ -86,9 +86,8 @@ def p8_canonical_overrides(spark, sf_dir):
 
 @query("SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda w: w <> ''), ' ') AS abstract FROM documents")
 def p9_reconstruct_abstract(spark, sf_dir):
-    # Dealt by document before the words are taken apart: texts move once, and neither grouping moves words.
-    words = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("p", "w"))
-    index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("i"))
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    index = L.invert_abstracts(table(spark, sf_dir, "documents"), words, "i")
     return index.select("doc_id", L.reconstruct_abstract(F.col("i")).alias("abstract"))
 
 
