@@ -37,10 +37,10 @@ def strip_tags(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"[ \t\r\n]+", " "))
 
 
-@F.pandas_udf(StringType())
-def unescape(text: pd.Series) -> pd.Series:
-    """Decodes HTML entities."""
-    return text.map(lambda t: html.unescape(t) if t is not None else None)
+@F.udf(StringType(), useArrow=False)
+def unescape(text: str | None) -> str | None:
+    """Decodes HTML entities; workers hold a hundred texts at a time, not an Arrow batch of 10,000."""
+    return html.unescape(text) if text is not None else None
 
 
 def sentences(text: Column) -> Column:
