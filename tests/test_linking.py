@@ -61,3 +61,21 @@ def test_abstracts_are_rebuilt_row_by_row(spark, tmp_path):
     wanted = documents.execute(registry.oracle_sql()["p9_reconstruct_abstract"]).fetchall()
     assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_seeds_share_passes_over_a_cell(spark, monkeypatch):
+    """Short and long titles and many of one character, as all pairs give; many seeds take one pass for their subsequences."""
+    calls, real = [], L._common_lengths
+    monkeypatch.setattr(L, "_common_lengths", lambda *a: calls.append(len(a[0])) or real(*a))
+    base = [" ".join(WORDS[(k * j + j * j) % len(WORDS)] for j in range(1, 2 + k % 7))[: 20 + k % 60] for k in range(150)]
+    base += ["a" * k for k in (1, 2, 15, 16, 17, 18, 40, 63, 64, 65, 66)] + ["z" * 30 + "q" * 270, "z" * 31 + "q" * 268, "x" * 300, "0"]
+    works = pd.DataFrame({"plain": list(dict.fromkeys(base))})
+    works["first_id"] = range(len(works))
+    seeds = pd.DataFrame({"plain": sorted({x[:-1] + "s" for x in base} | set(base))})
+    found = L._nearest_in_cell(seeds, works)
+    wanted = []
+    for a in seeds["plain"]:
+        near = [(-difflib.SequenceMatcher(None, a, b).ratio(), i, b) for b, i in zip(works["plain"], works["first_id"], strict=True)]
+        wanted += [(a, b, -r, i) for r, i, b in sorted(x for x in near if -x[0] >= L.SIMILAR)[:5]]
+    assert sorted(map(tuple, found.to_numpy().tolist())) == sorted(wanted)
+    assert max(calls) > 20 and len(calls) < len(seeds) / 4

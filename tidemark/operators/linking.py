@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,11 @@ from tidemark.operators.reads import institutions
 
 SIMILAR, DOI_SIMILAR, SAME_WORK, MOST_CANDIDATES = 0.85, 0.75, 0.95, 5
 #: Distinct titles of seeds and of works in a cell that is compared at once.
-SEED_BLOCK, WORK_BLOCK = 2048, 16_384
-#: Titles whose common subsequences are found at once.
-TITLE_BLOCK = 128
+SEED_BLOCK, WORK_BLOCK = 4096, 16_384
+#: Titles of works, for each of so many seeds, whose common subsequences are found at once.
+TITLE_BLOCK, SEEDS_AT_ONCE = 128, 64
+#: Counts of a character up to which a cell keeps the smaller of the count and each title's.
+KEPT_COUNTS = 16
 REQUIRED = ["title", "authors", "abstract", "publication_year", "doi", "url", "journal_ref"]
 
 
@@ -80,47 +83,98 @@ def _common_length(a: str, codes: np.ndarray) -> np.ndarray:
     return len(a) - np.bitwise_count(v & np.uint64((1 << len(a)) - 1)).astype(np.int64)
 
 
+def _common_lengths(seeds: list[str], of: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """As _common_length for pairs of seeds[of[k]], of 64 characters at most, and codes[:, k]; all pairs at once."""
+    masks = np.zeros((len(seeds), 128), dtype=np.uint64)
+    for n, a in enumerate(seeds):
+        for k, c in enumerate(a):
+            masks[n, ord(c)] |= np.uint64(1 << k)
+    masks, v = masks.ravel(), np.full(len(of), np.uint64(2**64 - 1))
+    u, m = np.empty_like(v), np.empty_like(v)
+    for place in codes + of * 128:
+        np.take(masks, place, out=m, mode="clip")
+        np.bitwise_and(v, m, out=u)
+        np.add(v, u, out=m)
+        np.subtract(v, u, out=v)
+        np.bitwise_or(v, m, out=v)
+    sizes = np.array([len(a) for a in seeds])
+    full = np.array([(1 << len(a)) - 1 for a in seeds], dtype=np.uint64)
+    return sizes[of] - np.bitwise_count(v & full[of]).astype(np.int64)
+
+
 def _nearest_in_cell(seeds: pd.DataFrame, works: pd.DataFrame) -> pd.DataFrame:
     """(a, b, similarity, first_id): of one cell each seed title's MOST_CANDIDATES most similar titles, ties to the smaller first_id.
 
     Titles are taken in the order of a bound on the ratio, by characters in common, then by the longest common subsequence;
-    once the bound falls below the last of the best, no other title can come among them.
+    once the bound falls below the last of the best, no other title can come among them. Subsequences are found for
+    SEEDS_AT_ONCE seeds together, a block of titles each.
     """
     works = works.sort_values("plain", key=lambda c: c.str.len())
     names, ids = works["plain"].to_numpy(), works["first_id"].to_numpy()
     if not len(names):
         return pd.DataFrame({"a": [], "b": [], "similarity": [], "first_id": []}).astype({"a": object, "b": object, "similarity": float, "first_id": "int64"})
-    rows, found = [np.frombuffer(n.encode("ascii"), dtype=np.uint8) for n in names], []
-    lengths = np.array([len(r) for r in rows], dtype=np.int64)
-    counts = np.stack([np.bincount(r, minlength=128) for r in rows], axis=1)
-    most, total = counts.max(), np.min_scalar_type(lengths[-1])
-    counts = counts.astype(np.min_scalar_type(most))
-    for a in seeds["plain"]:
+    lengths = np.array([len(n) for n in names], dtype=np.int64)
+    text, starts = np.frombuffer("".join(names).encode("ascii"), dtype=np.uint8), np.cumsum(lengths) - lengths
+    total = np.min_scalar_type(lengths[-1])
+    owner = np.repeat(np.arange(len(names)), lengths)
+    counts = np.bincount(text * np.int64(len(names)) + owner, minlength=128 * len(names)).reshape(128, -1).astype(total)
+    most, kept, found = counts.max(axis=1), {}, []
+
+    def at_most(c: int, n: int) -> np.ndarray:
+        """The smaller of n and each title's count of a character."""
+        if n >= most[c]:
+            return counts[c]
+        if n > KEPT_COUNTS:
+            return np.minimum(counts[c], total.type(n))
+        if (c, n) not in kept:
+            kept[c, n] = np.minimum(counts[c], total.type(n))
+        return kept[c, n]
+
+    def near(a: str) -> tuple[np.ndarray, np.ndarray]:
+        """Titles that may be similar and their bounds, highest first."""
         low, high = np.searchsorted(lengths, [np.floor(len(a) * SIMILAR / (2 - SIMILAR)), np.ceil(len(a) * (2 - SIMILAR) / SIMILAR) + 1])
-        own = np.bincount(np.frombuffer(a.encode("ascii"), dtype=np.uint8), minlength=128)
-        shared = np.zeros(high - low, dtype=total)
+        shared, own = np.zeros(high - low, dtype=total), np.bincount(np.frombuffer(a.encode("ascii"), dtype=np.uint8), minlength=128)
         for c in np.flatnonzero(own):
-            shared += np.minimum(counts[c, low:high], counts.dtype.type(min(own[c], most)))
-        bound = 2.0 * shared / (len(a) + lengths[low:high])
-        near = np.flatnonzero(bound >= SIMILAR)
-        near, best = near[np.argsort(-bound[near], kind="stable")], []
-        for start in range(0, len(near), TITLE_BLOCK):
-            least = best[-1][0] if len(best) == MOST_CANDIDATES else SIMILAR
-            block = near[start : start + TITLE_BLOCK]
-            block = low + block[bound[block] >= least]
-            if not len(block):
-                break
-            codes = np.zeros((len(block), int(lengths[block].max())), dtype=np.uint8)
-            for k, n in enumerate(block):
-                codes[k, : lengths[n]] = rows[n]
-            ratio = 2.0 * _common_length(a, codes) / (len(a) + lengths[block])
-            for k in np.argsort(-ratio, kind="stable"):
-                if ratio[k] < (best[-1][0] if len(best) == MOST_CANDIDATES else SIMILAR):
-                    break
-                similarity = difflib.SequenceMatcher(None, a, names[block[k]]).ratio()
-                if similarity >= SIMILAR:
-                    best = sorted([*best, (similarity, int(ids[block[k]]), names[block[k]])], key=lambda x: (-x[0], x[1]))[:MOST_CANDIDATES]
-        found += [(a, b, similarity, first) for similarity, first, b in best]
+            shared += at_most(c, own[c])[low:high]
+        # Whole numbers pass first, less one for rounding; the bound itself decides.
+        some = np.flatnonzero(shared >= least_shared(len(a))[low:high])
+        bound = 2.0 * shared[some] / (len(a) + lengths[low + some])
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound >= SIMILAR)]
+        return low + some[order], bound[order]
+
+    @lru_cache(maxsize=64)
+    def least_shared(n: int) -> np.ndarray:
+        return np.minimum(np.maximum(np.floor(SIMILAR * (n + lengths) / 2) - 1, 0), np.iinfo(total).max).astype(total)
+
+    def codes(block: np.ndarray) -> np.ndarray:
+        """Characters of titles, a column each, 0 where a title has ended."""
+        place = np.arange(lengths[block].max())[:, None]
+        return np.where(place < lengths[block], text[np.minimum(starts[block] + place, len(text) - 1)], 0)
+
+    every = seeds["plain"].tolist()
+    for group in (every[k : k + SEEDS_AT_ONCE] for k in range(0, len(every), SEEDS_AT_ONCE)):
+        best = {n: [] for n in range(len(group))}
+        least = lambda n: best[n][-1][0] if len(best[n]) == MOST_CANDIDATES else SIMILAR
+        open_, start = {n: near(a) for n, a in enumerate(group)}, 0
+        while open_:
+            blocks = {n: some[start : start + TITLE_BLOCK][bound[start : start + TITLE_BLOCK] >= least(n)] for n, (some, bound) in open_.items()}
+            blocks = {n: block for n, block in blocks.items() if len(block)}
+            common = {n: _common_length(group[n], codes(block).T) for n, block in blocks.items() if len(group[n]) > 64}
+            if short := [n for n in blocks if n not in common]:
+                ends = np.cumsum([len(blocks[n]) for n in short])
+                of = np.repeat(np.arange(len(short)), np.diff(ends, prepend=0))
+                of_all = _common_lengths([group[n] for n in short], of, codes(np.concatenate([blocks[n] for n in short])))
+                common |= dict(zip(short, np.split(of_all, ends[:-1]), strict=True))
+            for n, block in blocks.items():
+                ratio = 2.0 * common[n] / (len(group[n]) + lengths[block])
+                for k in np.argsort(-ratio, kind="stable"):
+                    if ratio[k] < least(n):
+                        break
+                    similarity = difflib.SequenceMatcher(None, group[n], names[block[k]]).ratio()
+                    if similarity >= SIMILAR:
+                        best[n] = sorted([*best[n], (similarity, int(ids[block[k]]), names[block[k]])], key=lambda x: (-x[0], x[1]))[:MOST_CANDIDATES]
+            open_, start = {n: open_[n] for n in blocks}, start + TITLE_BLOCK
+        found += [(a, b, similarity, first) for n, a in enumerate(group) for similarity, first, b in best[n]]
     return pd.DataFrame(found, columns=["a", "b", "similarity", "first_id"]).astype({"a": object, "b": object, "similarity": float, "first_id": "int64"})
 
 
