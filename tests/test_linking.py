@@ -2,6 +2,7 @@
 
 import difflib
 
+import numpy as np
 import pandas as pd
 
 from tidemark.operators import linking as L
@@ -79,3 +80,24 @@ def test_seeds_share_passes_over_a_cell(spark, monkeypatch):
         wanted += [(a, b, -r, i) for r, i, b in sorted(x for x in near if -x[0] >= L.SIMILAR)[:5]]
     assert sorted(map(tuple, found.to_numpy().tolist())) == sorted(wanted)
     assert max(calls) > 20 and len(calls) < len(seeds) / 4
+
+
+def test_ratio_is_that_of_the_matcher():
+    random = np.random.default_rng(6)
+    for k in range(3000):
+        a, b = ("".join(random.choice(list("abc "), random.integers(0, 30 if k % 100 else 250))) for _ in "ab")
+        ratio = difflib.SequenceMatcher(None, a, b).ratio()
+        assert L._ratio(a, b) == ratio and L._ratio(a, b, 0.7) in ({ratio} if ratio >= 0.7 else {ratio, 0.0})
+
+
+def _plan(spark, name, folder):
+    from tidemark import registry
+
+    rows = [(k, f"a title about {WORDS[k % 12]} and {WORDS[k * 7 % 11]} in part {k // 30}") for k in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return registry.queries()[name](spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_seeds_reach_python_by_the_batch(spark, tmp_path):
+    plan = _plan(spark, "p7_collapse_same_work", tmp_path)
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan

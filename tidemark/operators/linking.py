@@ -5,10 +5,12 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,6 +104,32 @@ def _common_lengths(seeds: list[str], of: np.ndarray, codes: np.ndarray) -> np.n
     return sizes[of] - np.bitwise_count(v & full[of]).astype(np.int64)
 
 
+def _ratio(a: str, b: str, least: float = 0.0) -> float:
+    """SequenceMatcher(None, a, b).ratio(), its longest blocks found by searches in strings; 0 once it cannot reach ``least``."""
+    if not a or not b or len(b) >= 200:  # from 200 characters it sets frequent ones aside
+        return difflib.SequenceMatcher(None, a, b).ratio()
+    total, matched, hope, open_ = len(a) + len(b), 0, min(len(a), len(b)), [(0, len(a), 0, len(b))]
+    while open_:
+        a_low, a_high, b_low, b_high = open_.pop()
+        i, j, size, k = a_low, b_low, 0, a_low
+        while k + size < a_high:
+            at = b.find(a[k : k + size + 1], b_low, b_high)
+            if at < 0:
+                k += 1
+                continue
+            i, j, size = k, at, size + 1
+            while i + size < a_high and j + size < b_high and a[i + size] == b[j + size]:
+                size += 1
+        hope -= min(a_high - a_low, b_high - b_low)
+        if size:
+            left, right = min(i - a_low, j - b_low), min(a_high - i, b_high - j) - size
+            matched, hope = matched + size, hope + left + right
+            open_ += [(a_low, i, b_low, j)] * (left > 0) + [(i + size, a_high, j + size, b_high)] * (right > 0)
+        if 2.0 * (matched + hope) / total < least:
+            return 0.0
+    return 2.0 * matched / total
+
+
 def _nearest_in_cell(seeds: pd.DataFrame, works: pd.DataFrame) -> pd.DataFrame:
     """(a, b, similarity, first_id): of one cell each seed title's MOST_CANDIDATES most similar titles, ties to the smaller first_id.
 
@@ -226,25 +254,31 @@ def match_by_keys(seeds: DataFrame, works: DataFrame) -> DataFrame:
 def collapse_same_work(candidates: DataFrame) -> DataFrame:
     """Of accepted candidates (seed_id, work_id, title, year, is_preprint, doi, citations, place) one per work: published, with DOI, most cited.
 
-    Groups are the at most MOST_CANDIDATES candidates of a seed.
+    Groups are the at most MOST_CANDIDATES candidates of a seed, one row each, so that seeds reach Python by the batch.
     """
 
-    def collapse(rows: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        for row in rows.sort_values("place").itertuples():
-            for group in groups:
-                head = group[0]
-                near = pd.isna(head.year) or pd.isna(row.year) or abs(head.year - row.year) <= 1
-                if near and difflib.SequenceMatcher(None, plain_title(row.title), plain_title(head.title)).ratio() >= SAME_WORK:
-                    group.append(row)
-                    break
-            else:
-                groups.append([row])
-        best = [max(g, key=lambda r: (not r.is_preprint, bool(r.doi), r.citations if pd.notna(r.citations) else 0)) for g in groups]
-        return pd.DataFrame([(r.seed_id, r.work_id, len(groups)) for r in best], columns=["seed_id", "work_id", "distinct_works"])
-
-    kept = candidates.filter(F.col("place") <= MOST_CANDIDATES).withColumn("doi", F.coalesce("doi", F.lit("")))
-    return kept.groupBy("seed_id").applyInPandas(collapse, "seed_id long, work_id long, distinct_works long")
+    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for seed, rows in zip(batch["seed_id"].to_pylist(), batch["rows"].to_pylist(), strict=True):
+                groups: list[list[dict]] = []
+                for row in rows:
+                    for group in groups:
+                        head = group[0]
+                        near = head["year"] is None or row["year"] is None or abs(head["year"] - row["year"]) <= 1
+                        if near and _ratio(row["plain"], head["plain"], SAME_WORK) >= SAME_WORK:
+                            group.append(row)
+                            break
+                    else:
+                        groups.append([row])
+                best = (max(g, key=lambda r: (not r["is_preprint"], r["doi"] != "", r["citations"] or 0)) for g in groups)
+                found += [(seed, row["work_id"], len(groups)) for row in best]
+            columns = zip(*found, strict=True) if found else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["seed_id", "work_id", "distinct_works"])
+
+    kept = candidates.filter(F.col("place") <= MOST_CANDIDATES).withColumns({"doi": F.coalesce("doi", F.lit("")), "plain": normalize_title(F.col("title"))})
+    rows = F.sort_array(F.collect_list(F.struct("place", "work_id", "plain", "year", "is_preprint", "doi", "citations")))
+    return kept.groupBy("seed_id").agg(rows.alias("rows")).mapInArrow(collapse, "seed_id long, work_id long, distinct_works long")
 
 
 def match_seeds(seeds: DataFrame, works: DataFrame) -> DataFrame:
