@@ -82,6 +82,44 @@ def test_seeds_share_passes_over_a_cell(spark, monkeypatch):
     assert max(calls) > 20 and len(calls) < len(seeds) / 4
 
 
+def test_few_titles_are_compared_by_subsequence(spark, monkeypatch):
+    """Titles of one language, which have their letters in common: sketches leave few of the pairs, and none of the similar ones is lost."""
+    pairs, real = [], L._common_lengths
+    monkeypatch.setattr(L, "_common_lengths", lambda seeds, of, codes: pairs.append(len(of)) or real(seeds, of, codes))
+    random = np.random.default_rng(4)
+    parts = "the an ed th ou is on en er re nd ha at in es or ti to it st ea hi ng le".split()
+    titles = [" ".join("".join(random.choice(parts, 1 + k % 3)) for k in range(14))[:60].strip() for _ in range(3000)]
+    near = []
+    for t in titles[:120]:
+        places = random.choice(len(t), random.integers(1, 12), replace=False)
+        near.append(L.plain_title("".join(("", c + "q", "x", c)[random.integers(4)] if k in places else c for k, c in enumerate(t))))
+    works = pd.DataFrame({"plain": list(dict.fromkeys([*titles, *near[:60]]))})
+    works["first_id"] = range(len(works))
+    seeds = pd.DataFrame({"plain": sorted({*titles[60:180], *near[30:], titles[0] + "s"})})
+    found, wanted = L._nearest_in_cell(seeds, works), []
+    for a in seeds["plain"]:
+        close = [(-difflib.SequenceMatcher(None, a, b).ratio(), i, b) for b, i in zip(works["plain"], works["first_id"], strict=True) if difflib.SequenceMatcher(None, a, b).quick_ratio() >= L.SIMILAR]
+        wanted += [(a, b, -r, i) for r, i, b in sorted(x for x in close if -x[0] >= L.SIMILAR)[:5]]
+    assert len(wanted) > len(seeds) and sorted(map(tuple, found.to_numpy().tolist())) == sorted(wanted)
+    assert sum(pairs) < 0.03 * len(seeds) * len(works)
+
+
+def test_sketches_never_differ_more_than_titles():
+    random = np.random.default_rng(5)
+    titles = ["".join(random.choice(list("aabbbcde 12"), random.integers(1, 90))) for _ in range(200)]
+    counts = np.array([[t.count(c) for t in titles] for c in "abcde 12"])
+    first, bits = np.full(128, 63), np.ones(128, dtype=int)
+    codes = [ord(c) for c in "abcde 12"]
+    first[codes], bits[codes] = L._sketch_bits(counts)
+    cut = L._cut_sketches(titles, first, bits)
+    for n, a in enumerate(titles):
+        for m, b in enumerate(titles[:20]):
+            for i, j in ((len(a), len(b)), (len(a) // 2, len(b) // 3)):
+                outside = lambda x, y: sum(abs(x.count(c) - y.count(c)) for c in "abcde 12")
+                assert np.bitwise_count(cut[n][0][i] ^ cut[m][0][j]) <= outside(a[:i], b[:j])
+                assert np.bitwise_count(cut[n][1][i] ^ cut[m][1][j]) <= outside(a[i:], b[j:])
+
+
 def test_ratio_is_that_of_the_matcher():
     random = np.random.default_rng(6)
     for k in range(3000):
@@ -101,3 +139,8 @@ def _plan(spark, name, folder):
 def test_seeds_reach_python_by_the_batch(spark, tmp_path):
     plan = _plan(spark, "p7_collapse_same_work", tmp_path)
     assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
+def test_titles_are_normalised_once(spark, tmp_path):
+    """What follows reads the written titles, no more the documents."""
+    assert "doc_id" not in _plan(spark, "p5_candidate_pool", tmp_path)

@@ -17,14 +17,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from tidemark.operators.reads import institutions
+from tidemark.operators.sinks import workdir
 
 SIMILAR, DOI_SIMILAR, SAME_WORK, MOST_CANDIDATES = 0.85, 0.75, 0.95, 5
 #: Distinct titles of seeds and of works in a cell that is compared at once.
-SEED_BLOCK, WORK_BLOCK = 4096, 16_384
+SEED_BLOCK, WORK_BLOCK = 8192, 65_536
+#: Cells that there are at least, while each has this many seeds, so that they keep all cores busy.
+CELLS, LEAST_SEEDS = 64, 1024
 #: Titles of works, for each of so many seeds, whose common subsequences are found at once.
-TITLE_BLOCK, SEEDS_AT_ONCE = 128, 64
-#: Counts of a character up to which a cell keeps the smaller of the count and each title's.
-KEPT_COUNTS = 16
+TITLE_BLOCK, SEEDS_AT_ONCE = 256, 64
+#: Sketches of works that are compared with a group of seeds before the next ones are read.
+SKETCH_BLOCK = 8192
+#: How far any cut of a seed's title is at most from one that is tried, in the first pass over the halves of works and in the second.
+CUTS_AWAY = (3, 1)
 REQUIRED = ["title", "authors", "abstract", "publication_year", "doi", "url", "journal_ref"]
 
 
@@ -87,11 +92,11 @@ def _common_length(a: str, codes: np.ndarray) -> np.ndarray:
 
 def _common_lengths(seeds: list[str], of: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """As _common_length for pairs of seeds[of[k]], of 64 characters at most, and codes[:, k]; all pairs at once."""
-    masks = np.zeros((len(seeds), 128), dtype=np.uint64)
+    masks = [0] * (128 * len(seeds))
     for n, a in enumerate(seeds):
-        for k, c in enumerate(a):
-            masks[n, ord(c)] |= np.uint64(1 << k)
-    masks, v = masks.ravel(), np.full(len(of), np.uint64(2**64 - 1))
+        for k, c in enumerate(a.encode("ascii")):
+            masks[128 * n + c] |= 1 << k
+    masks, v = np.array(masks, dtype=np.uint64), np.full(len(of), np.uint64(2**64 - 1))
     u, m = np.empty_like(v), np.empty_like(v)
     for place in codes + of * 128:
         np.take(masks, place, out=m, mode="clip")
@@ -130,60 +135,146 @@ def _ratio(a: str, b: str, least: float = 0.0) -> float:
     return 2.0 * matched / total
 
 
+def _sketch_bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first bit, bits) of each character in a sketch of 64 bits, by counts (a row for each character, a column for each title).
+
+    The k-th occurrence of a character turns over one of its bits, in a circle, so two sketches differ in at most as many bits as
+    occurrences. Bits go where they make most difference between titles; the characters that get none share the last one.
+    """
+    some = counts[:, :: max(1, counts.shape[1] // 1024)]
+    apart = np.abs(some - np.roll(some, 1, axis=1))
+    differ = [np.zeros(len(counts)), *(np.minimum(apart % (2 * n), 2 * n - apart % (2 * n)).mean(axis=1) for n in range(1, 17))]
+    more, bits = np.diff(differ, axis=0, append=-np.ones((1, len(counts)))), np.zeros(len(counts), dtype=int)
+    for _ in range(63):
+        c = np.argmax(more[bits, np.arange(len(counts))])
+        bits[c] += more[bits[c], c] > 0
+    return np.where(bits > 0, np.cumsum(bits) - bits, 63), np.maximum(bits, 1)
+
+
+def _signs(counts: np.ndarray) -> np.ndarray:
+    """1, 0 or -1 for each character (a row of counts), so that sums of them over titles lie far apart: two similar titles' sums cannot."""
+    some = counts[:, :: max(1, counts.shape[1] // 1024)]
+    main = np.linalg.eigh(np.cov(some, bias=True).reshape(len(some), len(some)))[1][:, -1]
+    return np.where(np.abs(main) < 0.03, 0, np.sign(main)).astype(np.int64)
+
+
+def _cut_sketches(titles: list[str], first: np.ndarray, bits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each title the sketches of all its beginnings and of the rests after them; first and bits of each character code."""
+    text, sizes = np.frombuffer("".join(titles).encode("ascii"), dtype=np.uint8), np.array([len(a) for a in titles])
+    keys, places = np.repeat(np.arange(len(titles)), sizes) * 128 + text, np.arange(len(text))
+    order = np.argsort(keys, kind="stable")
+    ranked, before, after = keys[order], np.empty_like(places), np.empty_like(places)
+    before[order] = places - np.searchsorted(ranked, ranked, side="left")
+    after[order] = np.searchsorted(ranked, ranked, side="right") - 1 - places
+    # One run over all titles: what lies between two places is the difference of what lies before each.
+    begins, ends = (np.append(np.uint64(0), np.bitwise_xor.accumulate(np.uint64(1) << (first[text] + k % bits[text]).astype(np.uint64))) for k in (before, after))
+    stops = np.cumsum(sizes)
+    return [(begins[i : j + 1] ^ begins[i], ends[i : j + 1] ^ ends[j]) for i, j in zip((stops - sizes).tolist(), stops.tolist(), strict=True)]
+
+
 def _nearest_in_cell(seeds: pd.DataFrame, works: pd.DataFrame) -> pd.DataFrame:
     """(a, b, similarity, first_id): of one cell each seed title's MOST_CANDIDATES most similar titles, ties to the smaller first_id.
 
-    Titles are taken in the order of a bound on the ratio, by characters in common, then by the longest common subsequence;
-    once the bound falls below the last of the best, no other title can come among them. Subsequences are found for
-    SEEDS_AT_ONCE seeds together, a block of titles each.
+    The ratio is at most what the longest common subsequence gives, and characters outside it are few. So few characters are
+    in one title only, counted as a bound by sketches: of whole titles for all pairs, then, for those that pass, of both halves of a
+    work's title against every cut of the seed's. The rest are taken in the order of that bound, then by the subsequence; once the
+    bound falls below the last of the best, no other title can come among them. Subsequences are found for SEEDS_AT_ONCE seeds
+    together, a block of titles each.
     """
-    works = works.sort_values("plain", key=lambda c: c.str.len())
     names, ids = works["plain"].to_numpy(), works["first_id"].to_numpy()
     if not len(names):
         return pd.DataFrame({"a": [], "b": [], "similarity": [], "first_id": []}).astype({"a": object, "b": object, "similarity": float, "first_id": "int64"})
     lengths = np.array([len(n) for n in names], dtype=np.int64)
     text, starts = np.frombuffer("".join(names).encode("ascii"), dtype=np.uint8), np.cumsum(lengths) - lengths
-    total = np.min_scalar_type(lengths[-1])
-    owner = np.repeat(np.arange(len(names)), lengths)
-    counts = np.bincount(text * np.int64(len(names)) + owner, minlength=128 * len(names)).reshape(128, -1).astype(total)
-    most, kept, found = counts.max(axis=1), {}, []
-
-    def at_most(c: int, n: int) -> np.ndarray:
-        """The smaller of n and each title's count of a character."""
-        if n >= most[c]:
-            return counts[c]
-        if n > KEPT_COUNTS:
-            return np.minimum(counts[c], total.type(n))
-        if (c, n) not in kept:
-            kept[c, n] = np.minimum(counts[c], total.type(n))
-        return kept[c, n]
-
-    def near(a: str) -> tuple[np.ndarray, np.ndarray]:
-        """Titles that may be similar and their bounds, highest first."""
-        low, high = np.searchsorted(lengths, [np.floor(len(a) * SIMILAR / (2 - SIMILAR)), np.ceil(len(a) * (2 - SIMILAR) / SIMILAR) + 1])
-        shared, own = np.zeros(high - low, dtype=total), np.bincount(np.frombuffer(a.encode("ascii"), dtype=np.uint8), minlength=128)
-        for c in np.flatnonzero(own):
-            shared += at_most(c, own[c])[low:high]
-        # Whole numbers pass first, less one for rounding; the bound itself decides.
-        some = np.flatnonzero(shared >= least_shared(len(a))[low:high])
-        bound = 2.0 * shared[some] / (len(a) + lengths[low + some])
-        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound >= SIMILAR)]
-        return low + some[order], bound[order]
+    owner, present = np.repeat(np.arange(len(names)), lengths), np.flatnonzero(np.bincount(text))
+    row = np.zeros(128, dtype=np.int64)
+    row[present] = np.arange(len(present))
+    row = row[text] + len(present) * (np.arange(len(text)) - starts[owner] >= (lengths // 2)[owner])
+    counts = np.bincount(row * len(names) + owner, minlength=2 * len(present) * len(names)).reshape(2, len(present), len(names))
+    del owner, row
+    first, bits = np.full(128, 63), np.ones(128, dtype=int)
+    first[present], bits[present] = _sketch_bits(counts[0] + counts[1])
+
+    def sketched(counts: np.ndarray) -> np.ndarray:
+        """A sketch of 64 bits for each column."""
+        sketch = np.zeros(counts.shape[1], dtype=np.uint64)
+        for of, c in zip(counts, present, strict=True):
+            turned = np.bitwise_xor.accumulate([0, *(1 << int(first[c] + k % bits[c]) for k in range(2 * bits[c] - 1))], dtype=np.uint64)
+            sketch ^= turned[of % len(turned)]
+        return sketch
+
+    whole, front, back = sketched(counts[0] + counts[1]), sketched(counts[0]), sketched(counts[1])
+    signs, sums = np.zeros(128, dtype=np.int64), counts[0] + counts[1]
+    signs[present] = _signs(sums)
+    sums = signs[present] @ sums
+    order = np.argsort(sums, kind="stable")
+    names, ids, lengths, starts, whole, front, back, sums = (x[order] for x in (names, ids, lengths, starts, whole, front, back, sums))
+    places = np.arange(len(names))
+    del counts, order
 
     @lru_cache(maxsize=64)
-    def least_shared(n: int) -> np.ndarray:
-        return np.minimum(np.maximum(np.floor(SIMILAR * (n + lengths) / 2) - 1, 0), np.iinfo(total).max).astype(total)
+    def apart(n: int) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+        """For a title of n characters and each one of works: one more than the characters outside the common ones that they may have to be similar,
+        at most 200, 0 for none; and for each of CUTS_AWAY the places where to cut the title, by eights."""
+        both, more = n + lengths, n - lengths
+        least = np.floor(SIMILAR * both / 2)
+        least -= 2.0 * (least - 1) / both >= SIMILAR
+        least += 2.0 * least / both < SIMILAR
+        spare = (both - np.abs(more)) // 2 - least.astype(np.int64)
+        some, half = spare >= 0, lengths // 2
+        low, high = ((half - spare + np.minimum(more, 0))[some].min(), (half + spare + np.maximum(more, 0))[some].max()) if some.any() else (0, 0)
+        cuts = [np.unique(np.clip(np.arange(low + away, high + 2 * away + 1, 2 * away + 1), 0, n))[:, None] for away in CUTS_AWAY]
+        return np.where(some, np.minimum(np.abs(more) + 2 * spare + 1, 200), 0).astype(np.uint8), [[c[k : k + 8] for k in range(0, len(c), 8)] for c in cuts]
+
+    def alike(group: list[str], sketches: list[np.uint64]) -> list[np.ndarray]:
+        """For each title of a group those whose sketch is near enough, and whose sum of signs can be."""
+        found, limits = [[] for _ in group], [apart(len(a))[0] for a in group]
+        own, most = np.array([signs[np.frombuffer(a.encode("ascii"), dtype=np.uint8)].sum() for a in group]), [np.inf if x.max() == 200 else int(x.max()) for x in limits]
+        lows, highs = np.searchsorted(sums, own - most, side="left").tolist(), np.searchsorted(sums, own + most, side="right").tolist()
+        differ, turned, few = (np.empty(min(SKETCH_BLOCK, len(names)), dtype=t) for t in (np.uint64, np.uint8, bool))
+        for start in range(0, len(names), SKETCH_BLOCK):
+            for k, limit in enumerate(limits):
+                low, high = max(start, lows[k]), min(start + SKETCH_BLOCK, highs[k])
+                if low < high:
+                    n = high - low
+                    np.bitwise_xor(whole[low:high], sketches[k], out=differ[:n])
+                    np.bitwise_count(differ[:n], out=turned[:n])
+                    np.less(turned[:n], limit[low:high], out=few[:n])
+                    found[k].append(places[low:high][few[:n]])
+        return [np.concatenate(f) if f else places[:0] for f in found]
+
+    def near(a: str, some: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Titles that may be similar and their bounds, highest first.
+
+        A work's half lies on a beginning of the title, up to some cut. Only every seventh is tried, then every third: the next one
+        to any is at most three, or one, characters away, each of which changes two counts by one.
+        """
+        most, cuts = apart(len(a))
+        for away, eights in zip(CUTS_AWAY, cuts, strict=True):
+            x, y, differ = front[some], back[some], np.full(len(some), 255, dtype=np.uint8)
+            for cut in eights:
+                each = np.bitwise_count(x ^ begins[cut])
+                each += np.bitwise_count(y ^ ends[cut])
+                np.minimum(differ, each.min(axis=0), out=differ)
+            close = np.flatnonzero(differ < most[some] + np.uint8(2 * away))
+            some = some[close]
+        both, differ = len(a) + lengths[some], differ[close].astype(np.int64) - 2 * away
+        bound = 2.0 * ((both - np.maximum(differ, np.abs(2 * len(a) - both))) // 2) / both
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound >= SIMILAR)]
+        return some[order], bound[order]
 
     def codes(block: np.ndarray) -> np.ndarray:
         """Characters of titles, a column each, 0 where a title has ended."""
         place = np.arange(lengths[block].max())[:, None]
         return np.where(place < lengths[block], text[np.minimum(starts[block] + place, len(text) - 1)], 0)
 
-    every = seeds["plain"].tolist()
+    every, found = seeds["plain"].tolist(), []
     for group in (every[k : k + SEEDS_AT_ONCE] for k in range(0, len(every), SEEDS_AT_ONCE)):
         best = {n: [] for n in range(len(group))}
         least = lambda n: best[n][-1][0] if len(best[n]) == MOST_CANDIDATES else SIMILAR
-        open_, start = {n: near(a) for n, a in enumerate(group)}, 0
+        cut = _cut_sketches(group, first, bits)
+        passed = alike(group, [begins[-1] for begins, _ in cut])
+        open_, start = {n: near(a, passed[n], *cut[n]) for n, a in enumerate(group)}, 0
         while open_:
             blocks = {n: some[start : start + TITLE_BLOCK][bound[start : start + TITLE_BLOCK] >= least(n)] for n, (some, bound) in open_.items()}
             blocks = {n: block for n, block in blocks.items() if len(block)}
@@ -195,17 +286,25 @@ def _nearest_in_cell(seeds: pd.DataFrame, works: pd.DataFrame) -> pd.DataFrame:
                 common |= dict(zip(short, np.split(of_all, ends[:-1]), strict=True))
             for n, block in blocks.items():
                 ratio = 2.0 * common[n] / (len(group[n]) + lengths[block])
-                for k in np.argsort(-ratio, kind="stable"):
+                some = np.flatnonzero(ratio >= least(n))
+                for k in some[np.argsort(-ratio[some], kind="stable")]:
                     if ratio[k] < least(n):
                         break
-                    similarity = difflib.SequenceMatcher(None, group[n], names[block[k]]).ratio()
+                    similarity = _ratio(group[n], names[block[k]], least(n))
                     if similarity >= SIMILAR:
                         best[n] = sorted([*best[n], (similarity, int(ids[block[k]]), names[block[k]])], key=lambda x: (-x[0], x[1]))[:MOST_CANDIDATES]
             open_, start = {n: open_[n] for n in blocks}, start + TITLE_BLOCK
-        found += [(a, b, similarity, first) for n, a in enumerate(group) for similarity, first, b in best[n]]
+        found += [(a, b, similarity, first_id) for n, a in enumerate(group) for similarity, first_id, b in best[n]]
     return pd.DataFrame(found, columns=["a", "b", "similarity", "first_id"]).astype({"a": object, "b": object, "similarity": float, "first_id": "int64"})
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the folder that all executors share, so that it is made once."""
+    path = workdir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def nearest_titles(seeds: DataFrame, works: DataFrame) -> DataFrame:
     """(a, b, similarity): for each distinct ``plain`` title of the seeds the MOST_CANDIDATES most similar ones of the works.
 
@@ -214,13 +313,16 @@ def nearest_titles(seeds: DataFrame, works: DataFrame) -> DataFrame:
     cell, so comparisons grow with both sides: the ratio has no selective exact index, as 0.85 allows nine changed letters in
     sixty. What leaves a cell is at most MOST_CANDIDATES rows for each of its seed titles, however many are similar.
     """
-    s, w = seeds.select("plain").filter("plain != ''").distinct(), works.select("plain", "first_id").filter("plain != ''")
-    n_s, n_w = (max(1, -(-x.count() // block)) for x, block in ((s, SEED_BLOCK), (w, WORK_BLOCK)))
+    s, w = _written(seeds.select("plain").filter("plain != ''").distinct(), "seed-titles"), _written(works.select("plain", "first_id").filter("plain != ''"), "work-titles")
+    n_seeds, n_w = s.count(), max(1, -(-w.count() // WORK_BLOCK))
+    n_s = max(1, -(-n_seeds // SEED_BLOCK), min(n_seeds // LEAST_SEEDS, -(-CELLS // n_w)))
     deal = lambda n: F.pmod(F.xxhash64("plain"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Cells are long work on few bytes, so they are dealt by number, which adaptive execution does not put together by bytes.
+    cells = lambda x: x.repartition(2 * n_s * n_w, "i", "j").groupBy("i", "j")
     x = s.select("plain", deal(n_s).alias("i")).withColumn("j", every(n_w))
     y = w.withColumn("j", deal(n_w)).withColumn("i", every(n_s))
-    near = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(_nearest_in_cell, "a string, b string, similarity double, first_id long")
+    near = cells(x).cogroup(cells(y)).applyInPandas(_nearest_in_cell, "a string, b string, similarity double, first_id long")
     place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("similarity"), "first_id"))
     return near.withColumn("_n", place).filter(F.col("_n") <= MOST_CANDIDATES).select("a", "b", "similarity")
 
@@ -228,16 +330,17 @@ def nearest_titles(seeds: DataFrame, works: DataFrame) -> DataFrame:
 def candidate_pool(seeds: DataFrame, works: DataFrame) -> DataFrame:
     """(seed_id, work_id, similarity, place): the best works per seed that are not retracted and similar in title.
 
-    Titles are compared once however many rows have them. The best MOST_CANDIDATES works bear at most that many titles, which
-    are the best titles by similarity and first work, and of works with one title only the first MOST_CANDIDATES can be chosen.
-    Works without an id and titles that are null or have no letters or digits take no part.
+    Titles are normalised once, and compared once however many rows have them. The best MOST_CANDIDATES works bear at most that
+    many titles, which are the best titles by similarity and first work, and of works with one title only the first
+    MOST_CANDIDATES can be chosen. Works without an id and titles that are null or have no letters or digits take no part.
     """
-    s, w = seeds.withColumn("plain", normalize_title(F.col("title"))), works.filter(F.col("work_id").isNotNull() & ~F.coalesce("is_retracted", F.lit(False))).withColumn("plain", normalize_title(F.col("title")))
+    live = works.filter(F.col("work_id").isNotNull() & ~F.coalesce("is_retracted", F.lit(False)))
+    s, w = (_written(x.select(key, normalize_title(F.col("title")).alias("plain")).filter("plain != ''"), "titles") for x, key in ((seeds, "seed_id"), (live, "work_id")))
     close = nearest_titles(s, w.groupBy("plain").agg(F.min("work_id").alias("first_id")))
     first = w.select("work_id", F.col("plain").alias("b")).withColumn("_n", F.row_number().over(W.partitionBy("b").orderBy("work_id"))).filter(F.col("_n") <= MOST_CANDIDATES).drop("_n")
     ranked = close.join(first, "b").withColumn("place", F.row_number().over(W.partitionBy("a").orderBy(F.desc("similarity"), "work_id")))
     best = ranked.filter(F.col("place") <= MOST_CANDIDATES).withColumnRenamed("a", "plain")
-    return s.select("seed_id", "plain").join(best, "plain").select("seed_id", "work_id", "similarity", "place")
+    return s.join(best, "plain").select("seed_id", "work_id", "similarity", "place")
 
 
 def match_by_keys(seeds: DataFrame, works: DataFrame) -> DataFrame:
